@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,8 +23,8 @@ from .common import without
 BLOCK_IDS = 65_536
 #: A chunk is closed when it holds so many ids; one document is never split between chunks.
 CHUNK_IDS = 524_288
-#: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
+#: Pieces of text whose ids a worker remembers; a full memory becomes the old one, and the old one goes.
+CACHE_PIECES = 300_000
 
 CHUNK_SCHEMA = "part int, chunk int, start_in_part bigint, n_ids bigint, doc_ids array<bigint>, doc_lens array<bigint>, block_bytes array<int>, payload binary"
 
@@ -69,43 +71,90 @@ def unpack_block(block: bytes) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Text that the split below covers; other pieces go through the library whole.
+_KNOWN = re.compile(rf"[ \n!-~{_LETTER}]*")
+#: How a byte-level tokenizer splits such text before it merges: contractions, letters, digits, other marks, white space.
+_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that a byte-level vocabulary has for each byte: its own if it prints, else the next one from U+0100."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Encoder:
+    """Encodes pieces of text with the tokenizers library and remembers them for the worker's life, within bounds."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.signs = _byte_signs()
+        shape = json.loads(self.tok.to_str())
+        self.byte_level = shape["normalizer"] is None and shape["model"]["type"] == "BPE" and (shape["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        self.byte_level = self.byte_level and not shape["pre_tokenizer"]["add_prefix_space"] and shape["post_processor"] is None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece without double white space: those of its parts, which never merge with each other."""
+        if not _KNOWN.fullmatch(piece):
+            return self.whole([piece])[0]
+        out = b""
+        for part in _SPLIT.findall(piece):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) >= CACHE_PIECES:
+                    self.parts.clear()
+                merged = self.tok.model.tokenize(part.encode().decode("latin1").translate(self.signs))
+                ids = self.parts[part] = np.array([t.id for t in merged], dtype="<u4").tobytes()
+            out += ids
+        return out
+
+    def known(self, pieces: set[str]) -> None:
+        """Makes sure that all of ``pieces`` are in ``young``."""
+        if len(self.young) >= CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        for p in pieces.difference(self.young):
+            self.young[p] = self.old.get(p) or self.piece(p)
 
 
-def _library(tok, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-    Byte-level tokenizers split a text before they merge, and never inside or across a single space between two visible characters.
-    So a text whose white space is such spaces, or single line feeds, is the ids of its space-led pieces in a row, and each piece
-    goes through the library once in a worker's life. Other texts, and those with ``<|``, which may be a special token, go through whole.
+    Byte-level tokenizers split a text before they merge, and never across the start of a single space. So a text whose
+    white space is single spaces and line feeds between visible characters is the ids of its space-led pieces in a row; each piece
+    is merged by the library's model once and remembered. Other texts, those with ``<|``, which may be a special token, and all texts
+    of other kinds of tokenizers go through the library whole.
     """
-    tok, cache = _tokenizer(path)
+    enc = _encoder(path)
     pieces: list[list[str] | None] = []
     fresh: set[str] = set()
     for text in texts:
         plain = text.replace("\n", " ")
-        if "  " in plain or plain[:1] == " " or plain[-1:] == " " or "<|" in text or len(plain.split()) != plain.count(" ") + 1:
+        if not enc.byte_level or "  " in plain or plain[:1] == " " or plain[-1:] == " " or "<|" in text or len(plain.split()) != plain.count(" ") + 1:
             pieces.append(None)
             continue
         first, *rest = text.split(" ")
         row = [first, *(" " + r for r in rest)]
         pieces.append(row)
         fresh.update(row)
-    if len(cache) > CACHE_PIECES:
-        cache.clear()
-    new = [p for p in fresh if p not in cache]
-    cache.update(zip(new, _library(tok, new), strict=True))
-    whole = iter(_library(tok, [t for t, p in zip(texts, pieces, strict=True) if p is None]))
-    return [next(whole) if p is None else b"".join(map(cache.__getitem__, p)) for p in pieces]
+    enc.known(fresh)
+    whole = iter(enc.whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+    return [next(whole) if p is None else b"".join(map(enc.young.__getitem__, p)) for p in pieces]
 
 
 def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, partitions: int | None = None, planes: str = "byte") -> None:
