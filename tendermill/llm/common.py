@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: White space between words; everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
@@ -37,7 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and it outlives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the job's shuffle files go when it ends, not when the driver happens to collect garbage
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
