@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_rules, sharding, token_output, url_filters
+from . import decontaminate, line_dedup, mixing, quality_rules, sharding, substring_dedup, token_output, url_filters
 from .common import fresh_path
 
 # ---------------------------------------------------------------- parameters
@@ -57,6 +57,16 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.id_digests(token_output.read_ids(spark, out))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filters.host_rule(*r) for r in URL_RULES] + url_filters.default_rules()
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -74,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op4_quality_rules": op4_quality_rules,
         "op6_token_output": op6_token_output,
+        "op7_substring_dedup": op7_substring_dedup,
+        "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_line_dedup": op10_line_dedup,
     }
@@ -155,6 +167,17 @@ f as (select c.*, r.name, r.v, row_number() over (partition by rid order by leng
 select page_id, host, path, name as rule, coalesce(v, case when {own} then 'block' else 'allow' end) as verdict from f where k = 1"""
 
 
+_OP7_SQL = f"""
+with d as (select row_number() over () as rid, doc_id, {_WORDS} as w from documents),
+x as (select rid, doc_id, unnest(range(1, len(w) - 11)) as p, w from d),
+g as (select rid, doc_id, p, list_slice(w, p, p + 12) as g from x),
+f as (select rid, p, doc_id > min(doc_id) over (partition by g) as again from g),
+c as (select distinct rid, p + o as q from f, range(13) as s(o) where again),
+v as (select rid, doc_id, unnest(w) as word, generate_subscripts(w, 1) as q from d),
+k as (select v.rid, count(*) filter (c.q is not null) as n_removed, string_agg(word, ' ' order by v.q) filter (c.q is null) as kept from v left join c on v.rid = c.rid and v.q = c.q group by v.rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (rid)"""
+
+
 _OP10_SQL = f"""
 with d as (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
 x as (select rid, doc_id, unnest(l) as line, generate_subscripts(l, 1) as p from d),
@@ -179,5 +202,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_sharding": _op2_sql(),
         "op4_quality_rules": _op4_sql(),
         "op9_url_filters": _op9_sql(),
+        "op7_substring_dedup": _OP7_SQL,
         "op10_line_dedup": _OP10_SQL,
     }
