@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_rules, sharding, substring_dedup, token_output, url_filters
+from . import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, sharding, substring_dedup, token_output, url_filters
 from .common import fresh_path
 
 # ---------------------------------------------------------------- parameters
@@ -44,6 +44,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARDS, SLOTS)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels"), host="source", path=("source", "lang"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.drop("text", "clean_text")
@@ -82,7 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_token_output": op6_token_output,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_decontamination": op8_decontamination,
