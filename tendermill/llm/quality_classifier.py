@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from .common import written
 
 _UPPER = bytes(range(65, 91))
 _MARKS = b"#*$%&|<>!"
-_STRIPPED = bytes(i for i in range(33, 127) if not chr(i).isalnum())
+_STRIPPED = {i: None for i in range(33, 127) if not chr(i).isalnum()}
 TARGETS = ("quality", "toxic")
 #: Sites that are broadcast at most (about 150 bytes each); beyond it the join is by shuffle, which AQE splits where a site is hot.
 MAX_BROADCAST_SITES = 50_000
@@ -32,14 +34,15 @@ class BayesRules:
 
     max_labelled: int = 20_000
     max_features: int = 5_000
-    min_docs: int = 8
-    min_z: float = 6.0
+    min_docs: int = 5
+    min_z: float = 5.0
+    ridge: float = 1e-4
     min_quality: float = 0.5
     max_toxic: float = 0.5
 
 
-def features(text: str | None) -> set[bytes]:
-    """A text's words in lower case without ASCII punctuation, and bins of its shape (these start with a NUL)."""
+def features(text: str | None) -> set[str]:
+    """A text's words in lower case without ASCII punctuation, and bins of its shape (these start with ``=``, which no word keeps)."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -53,52 +56,53 @@ def features(text: str | None) -> set[bytes]:
         "length": int(math.log2(len(words) + 1)),
         "open": 10 * sum(not re.search(r"[.!?…:;\"'”’»)\]]\s*$", x[-4:]) for x in lines) // max(1, len(lines)),
     }
-    found = set(text.lower().encode("utf-8", "surrogatepass").translate(None, _STRIPPED).split())
-    found.update(f"\0{k}={v}".encode() for k, v in shape.items())
+    found = set(text.lower().translate(_STRIPPED).split())
+    found.update(f"={k}:{v}" for k, v in shape.items())
     return found
 
 
 def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens, quality, toxic = [], [], []
-        for text, q, t in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-            own = features(text)
-            tokens += own
-            quality += [q] * len(own)
-            toxic += [t] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(quality, pa.int32()), pa.array(toxic, pa.int32())], names=["token", "quality", "toxic"])
+        tokens = [sorted(features(t)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string())), *batch.columns[1:]], names=["tokens", *TARGETS])
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, rules: BayesRules = BayesRules()) -> dict:
     """Log-odds of each target: ``{"prior": {target: x}, "weights": {feature: (x, x)}}``, of bounded size.
 
-    Rows of ``labels`` (``doc_id, quality, toxic``) with a null, or without a document, are left out. Without labels of both kinds a
-    target has no evidence and even odds.
+    Features that differ between labels are chosen by counts over the sample; a logistic regression over them gives the
+    weights. Rows of ``labels`` (``doc_id, quality, toxic``) with a null, or without a document, are left out. Without labels of
+    both kinds a target has no evidence and even odds.
     """
     ship(docs.sparkSession)
     labels = labels.dropna(subset=["doc_id", *TARGETS])
     total = max(1, labels.count())
     some = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < rules.max_labelled) if total > rules.max_labelled else labels
-    joined = docs.join(some, "doc_id").select("text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    sample = written(joined, "labelled-sample")
-    n, n_q, n_t = sample.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    ones = dict(zip(TARGETS, (n_q, n_t), strict=True))
-    counts = sample.mapInArrow(_labelled_features, "token binary, quality int, toxic int").groupBy("token").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in TARGETS])
-    z: dict[str, Column] = {}
+    joined = docs.join(some, "doc_id").select("text", *[F.col(c).cast("int").alias(c) for c in TARGETS])
+    sample = written(joined.mapInArrow(_labelled_features, "tokens array<string>, quality int, toxic int"), "labelled-features")
+    n, *sums = sample.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in TARGETS]).first()
+    ones = dict(zip(TARGETS, sums, strict=True))
+    fitted = [c for c in TARGETS if 0 < ones[c] < n]
+    prior = {c: math.log(ones[c] / (n - ones[c])) if c in fitted else 0.0 for c in TARGETS}
+    if not fitted:
+        return {"prior": prior, "weights": {}}
+    counts = sample.select(F.explode("tokens").alias("token"), *TARGETS).groupBy("token").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in TARGETS])
+    # how far a feature's count among the labelled is off what its frequency alone would give, in standard deviations
+    off = [F.abs(F.col(c) - F.col("n") * (ones[c] / n)) / F.sqrt(F.col("n") * (ones[c] / n * (1 - ones[c] / n))) for c in fitted]
+    strong = counts.filter(F.col("n") >= rules.min_docs).withColumn("z", F.greatest(*off, F.lit(0.0))).filter(F.col("z") >= rules.min_z)
+    chosen = [r["token"] for r in strong.orderBy(F.desc("z"), "token").limit(rules.max_features).collect()]
+    if not chosen:
+        return {"prior": prior, "weights": {}}
+    vectors = CountVectorizerModel.from_vocabulary(chosen, inputCol="tokens", outputCol="features").setBinary(True).transform(sample)
+    by_target = []
     for c in TARGETS:
-        p = min(max(ones[c] / n if n else 0.5, 1e-9), 1 - 1e-9)
-        z[c] = F.abs(F.col(c) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    strong = counts.filter(F.col("n") >= rules.min_docs).withColumn("z", F.greatest(*[z[c] for c in TARGETS])).filter(F.col("z") >= rules.min_z)
-    weights: dict[bytes, tuple[float, ...]] = {}
-    for r in strong.orderBy(F.desc("z"), "token").limit(rules.max_features).collect():
-        row = []
-        for c in TARGETS:
-            yes, no = ones[c], n - ones[c]
-            off = abs(r[c] - r["n"] * yes / n) / math.sqrt(max(1e-9, r["n"] * yes / n * (1 - yes / n))) if n else 0
-            row.append(math.log((r[c] + 0.5) / (yes + 1)) - math.log((r["n"] - r[c] + 0.5) / (no + 1)) if yes and no and off >= rules.min_z else 0.0)
-        weights[bytes(r["token"])] = tuple(row)
-    prior = {c: math.log(ones[c] / (n - ones[c])) if 0 < ones[c] < n else 0.0 for c in TARGETS}
-    return {"prior": prior, "weights": weights}
+        if c not in fitted:
+            by_target.append([0.0] * len(chosen))
+            continue
+        model = LogisticRegression(labelCol=c, regParam=rules.ridge, maxIter=100).fit(vectors.select("features", c))
+        prior[c] = model.intercept
+        by_target.append(model.coefficients.toArray().tolist())
+    return {"prior": prior, "weights": dict(zip(chosen, zip(*by_target, strict=True), strict=True))}
 
 
 def _evidence(model):
@@ -144,7 +148,7 @@ def _strength(groups: DataFrame, n: str, mean: str) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: tuple[str, ...] = ("source", "lang"), rules: BayesRules = BayesRules(), key: str = "doc_id") -> DataFrame:
     """``doc_id`` (the ``key``), ``host``, ``path``, ``quality_score``, ``toxic_score`` (double, 0 to 1) and ``kept`` for each row of ``docs``.
 
-    Evidence is a naive Bayes sum of features with a proven difference among labelled documents. The mean probability of every
+    Evidence is the log-odds of a regression on features with a proven difference among labelled documents. The mean probability of every
     host over all of its documents is shrunk to the global mean, and that of every path to its host, the more the fewer documents it
     has; the strength comes from the spread between sites (empirical Bayes). A document's odds are its evidence with its path's
     odds in place of the global ones. ``kept``: good enough and not toxic.
