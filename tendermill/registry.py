@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    return []
+    from .plans import matching
+
+    return [matching]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
