@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import scratch
+
 #: White space between words; everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors see.
-
-    A local session without the setting gets a temporary folder of its own; a cluster without it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
