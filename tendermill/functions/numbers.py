@@ -15,6 +15,11 @@ UNIT_FAMILIES = [
 ]
 
 
+def rounded(value: Column | str, n: int) -> Column:
+    """A double rounded half up by its decimal value, so that engines agree on ties."""
+    return F.round((F.col(value) if isinstance(value, str) else value).cast("decimal(20,8)"), n).cast("double")
+
+
 def parse_br_number(text: Column) -> Column:
     """``R$ 1.234,56`` as a double; a dot groups thousands only if there is a comma. Null if it is no number."""
     bare = F.trim(F.replace(F.replace(text.cast("string"), F.lit("R$"), F.lit("")), F.lit(" "), F.lit("")))

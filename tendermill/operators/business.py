@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..functions.text import first_int, is_package_unit, unit_price
 from .filters import MATCH_KEY, trusted, view_active
 
@@ -29,9 +30,9 @@ def cost_margin(price: Column, cost: Column, per_unit: Column, unit: Column) ->
     same = F.coalesce((n > 1) & (size == n), F.lit(False))
     unproven = F.coalesce((n > 1) & size.isNull() & is_package_unit(unit), F.lit(False))
     differs = F.coalesce((n > 1) & size.isNotNull() & ~same, F.lit(False))
-    comparable = F.round(F.when(same | unproven, cost).otherwise(cost / n), 4)
-    margin = F.round(price - comparable, 4)
-    pct = F.when(price != 0, F.round(margin / F.when(price != 0, price) * 100, 1))
+    comparable = rounded(F.when(same | unproven, cost).otherwise(cost / n), 4)
+    margin = rounded(price - comparable, 4)
+    pct = F.when(price != 0, rounded(margin / F.when(price != 0, price) * 100, 1))
     known = price.isNotNull() & cost.isNotNull()
     alert = differs | unproven | F.coalesce((pct < -300) | (pct > 300), F.lit(False))
     return F.struct(
@@ -57,8 +58,8 @@ def price_stats(match_itens: DataFrame, itens: DataFrame) -> DataFrame:
     values = refs.join(itens.select("edital_id", "numero", unit_price(F.col("descricao"), F.col("valor_unitario")).alias("valor")), ["edital_id", "numero"]).filter("valor is not null")
     kept = values.join(outlier_band(values, ["produto_id"]), "produto_id").filter(in_band(F.col("valor")))
     return kept.groupBy("produto_id").agg(
-        F.count("*").alias("ocorrencias"), F.round(F.min("valor"), 2).alias("minimo"), F.round(F.percentile("valor", F.lit(0.5)), 2).alias("mediana"),
-        F.round(_sum(F.col("valor")) / F.count("*"), 2).alias("media"), F.round(F.max("valor"), 2).alias("maximo"),
+        F.count("*").alias("ocorrencias"), rounded(F.min("valor"), 2).alias("minimo"), rounded(F.percentile("valor", F.lit(0.5)), 2).alias("mediana"),
+        rounded(_sum(F.col("valor")) / F.count("*"), 2).alias("media"), rounded(F.max("valor"), 2).alias("maximo"),
     )
 
 
@@ -71,8 +72,8 @@ def price_evidence(match_itens: DataFrame, itens: DataFrame, editais: DataFrame)
     rows = rows.join(editais.select(F.col("id").alias("edital_id"), "orgao", "uf"), "edital_id")
     reason = F.when(F.col("valor").isNull(), "sem_valor").when(~in_band(F.col("valor")), "fora_do_padrao")
     return rows.select(
-        "produto_id", "edital_id", "numero", "orgao", "uf", F.round("valor", 4).alias("valor"),
-        F.when(~F.col("valor").eqNullSafe(F.col("valor_unitario")), F.round("valor_unitario", 4)).alias("valor_original"),
+        "produto_id", "edital_id", "numero", "orgao", "uf", rounded("valor", 4).alias("valor"),
+        F.when(~F.col("valor").eqNullSafe(F.col("valor_unitario")), rounded("valor_unitario", 4)).alias("valor_original"),
         reason.isNull().alias("usado"), reason.alias("motivo"),
     )
 
@@ -81,16 +82,16 @@ def proposal_totals(rows: DataFrame) -> DataFrame:
     """Totals of each proposal from its lines (``MATCH_KEY, quantidade, preco_venda, preco_custo``)."""
     g = rows.groupBy(*MATCH_KEY).agg(_sum(F.col("quantidade") * F.col("preco_venda")).alias("total_venda"), _sum(F.col("quantidade") * F.col("preco_custo")).alias("total_custo"))
     margin = F.col("total_venda") - F.col("total_custo")
-    return g.select(*MATCH_KEY, F.round("total_venda", 2).alias("total_venda"), F.round("total_custo", 2).alias("total_custo"), F.round(margin, 2).alias("margem"), F.when(F.col("total_venda") > 0, F.round(margin / F.col("total_venda") * 100, 1)).otherwise(F.lit(0.0)).alias("margem_pct"))
+    return g.select(*MATCH_KEY, rounded("total_venda", 2).alias("total_venda"), rounded("total_custo", 2).alias("total_custo"), rounded(margin, 2).alias("margem"), F.when(F.col("total_venda") > 0, rounded(margin / F.col("total_venda") * 100, 1)).otherwise(F.lit(0.0)).alias("margem_pct"))
 
 
 def quotation(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, freight: Column) -> DataFrame:
-    """Quotation rows of trusted items; ``freight`` is in and out together for a line and is spread over its quantity."""
+    """Quotation rows of trusted items; ``freight`` (over their columns) is in and out together for a line and is spread over its quantity."""
     rows = match_itens.filter(trusted() & F.col("produto_id").isNotNull()).select(*MATCH_KEY, "numero", "produto_id")
-    rows = rows.join(itens.select("edital_id", "numero", "quantidade", "valor_unitario"), ["edital_id", "numero"]).join(produtos.select(F.col("id").alias("produto_id"), "preco_custo", "preco_venda"), "produto_id")
+    rows = rows.join(itens.select("edital_id", "numero", "quantidade", "valor_unitario"), ["edital_id", "numero"]).join(produtos.select(F.col("id").alias("produto_id"), "preco_custo", "preco_venda", "itens_por_unidade"), "produto_id")
     unit = F.when(F.col("quantidade") > 0, freight / F.col("quantidade")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("frete_unitario", F.round(unit, 4)).withColumn("custo_total_unitario", F.round(F.col("preco_custo") + unit, 4))
-    return rows.withColumn("total", F.round(F.col("custo_total_unitario") * F.col("quantidade"), 2))
+    rows = rows.withColumn("frete_unitario", rounded(unit, 4)).withColumn("custo_total_unitario", rounded(F.col("preco_custo") + unit, 4))
+    return rows.withColumn("total", rounded(F.col("custo_total_unitario") * F.col("quantidade"), 2))
 
 
 def notice_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, matches: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def summary(matches: DataFrame, editais: DataFrame, produtos: DataFrame, as_of:
     today = F.col("data_abertura") == F.lit(as_of)
     g = live.groupBy("usuario_id").agg(
         F.count("*").alias("ativos"), *[F.count_if(F.col("nivel") == n).alias(n) for n in ("forte", "medio", "fraco")], F.count_if(~F.col("lido")).alias("nao_lidos"),
-        F.count_if(today).alias("abrem_hoje"), F.round(F.coalesce(_sum(F.when(today, F.col("valor_estimado"))), F.lit(0.0)), 2).alias("valor_hoje"),
+        F.count_if(today).alias("abrem_hoje"), rounded(F.coalesce(_sum(F.when(today, F.col("valor_estimado"))), F.lit(0.0)), 2).alias("valor_hoje"),
     )
     n = produtos.groupBy("usuario_id").agg(F.count("*").alias("produtos"))
     return n.join(g, "usuario_id", "left").fillna(0)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine
+from ..functions.numbers import cosine, rounded
 from ..functions.text import clip, digits, normalize, product_text, token_set_ratio
 from .filters import MATCH_KEY, engaged
 
@@ -125,13 +125,13 @@ def candidates(scores: DataFrame, winners: DataFrame, p: MatchParams = MatchPara
     both = w.unionByName(rest.select(*ITEM_KEY, "produto_id", "score", F.lit(1).alias("__o")))
     order = Window.partitionBy(*ITEM_KEY).orderBy("__o", F.desc("score"), "produto_id")
     top = both.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= p.candidates)
-    return top.groupBy(*ITEM_KEY).agg(F.sort_array(F.collect_list(F.struct("posicao", "produto_id", F.round("score", 3).alias("score")))).alias("candidatos"))
+    return top.groupBy(*ITEM_KEY).agg(F.sort_array(F.collect_list(F.struct("posicao", "produto_id", rounded("score", 3).alias("score")))).alias("candidatos"))
 
 
 def detail_rows(winners: DataFrame, items: DataFrame) -> DataFrame:
     """Detail of each listed item, with its place in the notice."""
     rows = winners.join(items.select("edital_id", "numero", "descricao"), ["edital_id", "numero"], "left")
-    rows = rows.select(*ITEM_KEY, clip(F.col("descricao"), 160).alias("descricao_item"), "produto_id", F.round("score", 3).alias("score_item"), "motivo", "confianca", F.lit(False).alias("confirmado_manualmente"))
+    rows = rows.select(*ITEM_KEY, clip(F.col("descricao"), 160).alias("descricao_item"), "produto_id", rounded("score", 3).alias("score_item"), "motivo", "confianca", F.lit(False).alias("confirmado_manualmente"))
     return rows.withColumn("posicao", F.row_number().over(Window.partitionBy(*MATCH_KEY).orderBy(F.desc("score_item"), "numero")))
 
 
@@ -146,7 +146,7 @@ def rollup(item_scores: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     exact = F.when(ok, F.col("score").cast("decimal(18,10)"))
     g = item_scores.groupBy(*MATCH_KEY).agg(F.max("score").alias("melhor"), F.coalesce(F.sum(exact).cast("double") / F.count_if(ok), F.lit(0.0)).alias("media"), F.count_if(ok).alias("itens_compativeis"), F.count("*").alias("__n"))
     g = g.withColumn("fracao", F.col("itens_compativeis") / F.col("__n"))
-    g = g.withColumn("score", F.round(F.least(F.col("melhor") * 0.65 + F.col("media") * 0.25 + F.col("fracao") * 0.10, F.lit(1.0)), 4))
+    g = g.withColumn("score", rounded(F.least(F.col("melhor") * 0.65 + F.col("media") * 0.25 + F.col("fracao") * 0.10, F.lit(1.0)), 4))
     return g.withColumn("nivel", level(F.col("score"), F.col("melhor"), F.col("fracao"), p)).drop("__n", "media")
 
 

@@ -31,7 +31,7 @@ def upsert_catalog(old: DataFrame, batch: DataFrame, row: str, values: list[str]
     both = keyed(old).join(fold, ["usuario_id", "__k"], "full_outer")
     action = F.when(F.col("descricao").isNull(), "criado").when(F.col("__descricao").isNull(), "igual").otherwise("atualizado")
     return both.select(
-        "id", "usuario_id", F.coalesce("descricao", "__descricao").alias("descricao"), *[F.coalesce(f"__{c}", c).alias(c) for c in values], action.alias("acao")
+        "id", "usuario_id", F.coalesce("__descricao", "descricao").alias("descricao"), *[F.coalesce(f"__{c}", c).alias(c) for c in values], action.alias("acao")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import filters, matching
 from .views import AS_OF, Registry, Tables
 
@@ -18,9 +19,9 @@ def _shown(df):
     return df.select("usuario_id", "edital_id", "nivel", "score", "uf", "valor_estimado", "data_abertura", "status")
 
 
-@R.add("flt_01_list_notices", f"{_NOTICE} where {_ACTIVE} and m.nivel = 'forte' and not m.lido and e.uf in ('BRAZIL', 'CANADA') and e.valor_estimado >= 50000 and e.valor_estimado <= 250000 and exists (select 1 from itens i where i.edital_id = e.id and lower(i.descricao) like '%a%') and exists (select 1 from itens i where i.edital_id = e.id and lower(substr(i.material_ou_servico, 1, 1)) = 's')")
+@R.add("flt_01_list_notices", f"{_NOTICE} where {_ACTIVE} and m.nivel = 'forte' and not m.lido and e.uf in ('NATION_2', 'NATION_3') and e.valor_estimado >= 5000 and e.valor_estimado <= 450000 and exists (select 1 from itens i where i.edital_id = e.id and lower(i.descricao) like '%a%') and exists (select 1 from itens i where i.edital_id = e.id and lower(substr(i.material_ou_servico, 1, 1)) = 's')")
 def _(t: Tables):
-    return _shown(filters.list_notices(t.matches, t.editais, t.itens, None, AS_OF, ufs=["brazil", "canada"], kind="s", term="A", valor=(50_000, 250_000), nivel="forte", unread=True))
+    return _shown(filters.list_notices(t.matches, t.editais, t.itens, None, AS_OF, ufs=["nation_2", "NATION_3"], kind="s", term="A", valor=(5_000, 450_000), nivel="forte", unread=True))
 
 
 @R.add("flt_02_by_flags", "select usuario_id, edital_id, score from matches where nivel = 'medio' and status = 'ganho' and not lido and interessante")
@@ -28,9 +29,9 @@ def _(t: Tables):
     return filters.by_flags(t.matches, "medio", "ganho", True, True).select("usuario_id", "edital_id", "score")
 
 
-@R.add("flt_03_by_uf", "select id, uf from editais where uf in ('FRANCE', 'PERU')")
+@R.add("flt_03_by_uf", "select id, uf from editais where uf in ('NATION_6', 'NATION_17')")
 def _(t: Tables):
-    return filters.by_uf(t.editais, ["france", "Peru"]).select("id", "uf")
+    return filters.by_uf(t.editais, ["nation_6", "NATION_17"]).select("id", "uf")
 
 
 @R.add("flt_04_opens_on", f"select id from editais where data_abertura = {_D}")
@@ -139,7 +140,7 @@ def _(t: Tables):
     products = v.select(F.col("texto").alias("texto_produto"), "vetor")
     pairs = F.broadcast(items.select("texto_item")).join(products.select("texto_produto"))
     scored = matching.vector_scorer(items, products)(pairs)
-    return scored.select("texto_item", "texto_produto", F.round("score", 5).alias("score"))
+    return scored.select("texto_item", "texto_produto", rounded("score", 5).alias("score"))
 
 
 @R.add("mat_03_text_scores")
@@ -147,7 +148,7 @@ def _(t: Tables):
     cat = t.produtos.filter("ativo")
     names = t.itens.select(F.regexp_replace("descricao", r"( caixa com .*| \(.*)$", "").alias("texto_item"), (F.col("produto_ref") % 10).alias("usuario_id")).distinct()
     pairs = names.join(cat.select("usuario_id", F.col("descricao").alias("texto_produto")), "usuario_id")
-    return matching.score_pairs(pairs).withColumn("score", F.round("score", 6))
+    return matching.score_pairs(pairs).withColumn("score", rounded("score", 6))
 
 
 _CODES = "select id, usuario_id, cast(id % 97 as varchar(20)) as ncm, '' as ean, cast(id % 53 as varchar(20)) as catmat, cast(null as varchar(20)) as catser from produtos"

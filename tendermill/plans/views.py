@@ -28,7 +28,7 @@ VIEWS: dict[str, str] = {
  l_discount * 10 as score_ref, (l_returnflag = 'R') as confirmado_ref
  from lineitem join part on l_partkey = p_partkey""",
     "produtos": """select p_partkey as id, p_partkey % 10 as usuario_id, p_name as descricao, p_brand as marca, p_type as modelo, p_retailprice as preco_venda, p_retailprice * 0.8 as preco_custo, cast(p_size as double) as itens_por_unidade, p_partkey % 100 as fornecedor_id, (p_partkey % 17 <> 0) as ativo from part""",
-    "fornecedores": """select s_suppkey as id, s_suppkey % 10 as usuario_id, s_name as nome, s_phone as telefone, (s_acctbal > 0) as ativo from supplier""",
+    "fornecedores": """select s_suppkey as id, s_suppkey % 10 as usuario_id, s_name as nome, concat('(', cast(s_nationkey + 10 as varchar(20)), ') 9', lpad(cast(s_suppkey % 40 as varchar(20)), 4, '0'), '-00') as telefone, (s_acctbal > 0) as ativo from supplier""",
     "documentos": """select s_suppkey as id, s_suppkey % 10 as usuario_id, s_name as nome, cast('1998-08-01' as date) + cast(s_suppkey % 60 - 20 as int) as data_validade, (s_acctbal > 0) as ativo, case when s_suppkey % 3 = 0 then cast('1998-08-01' as date) + cast(s_suppkey % 60 - 20 as int) end as avisado_para from supplier""",
     "item_scores": """select u.usuario_id, i.edital_id, i.numero, i.produto_ref, case when i.produto_ref % 10 = u.usuario_id then i.score_ref else 0.0 end as score, (i.produto_ref % 10 = u.usuario_id and i.confirmado_ref) as confirmado
  from (select distinct edital_id, produto_ref % 10 as usuario_id from itens) u join itens i on i.edital_id = u.edital_id""",
@@ -63,6 +63,23 @@ def with_views(sql: str) -> str:
     return f"with {head}, {rest[5:]}" if rest.lower().startswith("with ") else f"with {head} {sql}"
 
 
+def exact_rounding(sql: str) -> str:
+    """``sql`` with every ``round(x, n)`` taken over a decimal, as the operators do."""
+    out, at = "", 0
+    for m in re.finditer(r"\bround\(", sql):
+        if m.start() < at:
+            continue
+        depth, comma, i = 1, 0, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            comma = i if sql[i] == "," and depth == 1 else comma
+            i += 1
+        inner = exact_rounding(sql[m.end() : comma])
+        out += f"{sql[at : m.start()]}round(({inner})::decimal(20,8), {sql[comma + 1 : i - 1].strip()})::double"
+        at = i
+    return out + sql[at:]
+
+
 class Tables:
     """The driver's tables of one folder and the tender tables over them."""
 
@@ -100,7 +117,7 @@ class Registry:
         def keep(f):
             self.queries[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
             if sql:
-                self.oracles[name] = with_views(sql)
+                self.oracles[name] = with_views(exact_rounding(sql))
             return f
 
         return keep

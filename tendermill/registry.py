@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from .plans import matching
+    from .plans import analytics, functions, maintenance, matching
 
-    return [matching]
+    return [matching, maintenance, analytics, functions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
