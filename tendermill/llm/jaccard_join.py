@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,7 +186,8 @@ def _links(rules: JoinRules):
     def links(tile: pa.Table) -> pa.Table:
         tile = tile.sort_by("sid")
         names = tile["sid"].to_pylist()
-        sets = [shingles(t, rules.words) for t in tile["text"].to_pylist()]
+        expand = zstandard.ZstdDecompressor()
+        sets = [shingles(expand.decompress(t), rules.words) for t in tile["text"].to_pylist()]
         left, right, both = _overlaps(sets, _tile_pairs(tile, rules))
         size = np.array([len(s) for s in sets])
         # both / (a + b - both) >= similarity, in whole numbers
@@ -226,6 +228,7 @@ def _signatures(rules: JoinRules):
 
 def _matching_text(rules: JoinRules):
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor()
         for batch in batches:
             sids, texts, sketches = [], [], []
             for text, sid in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -233,7 +236,7 @@ def _matching_text(rules: JoinRules):
                 s = shingles(text, rules.words)
                 if set_id(s) == sid:  # else another text with the same id
                     sids.append(sid)
-                    texts.append(text)
+                    texts.append(squeeze.compress(text or b""))
                     sketches.append(sketch(s))
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sketches, pa.binary()), pa.array(texts, pa.binary())], names=["sid", "sketch", "text"])
 
@@ -242,11 +245,12 @@ def _matching_text(rules: JoinRules):
 
 def _split(rules: JoinRules):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             sids, paths = [], []
             for sid, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 sids.append(sid)
-                paths.append(np.unique(longer_paths(shingles(text.as_py(), rules.words), np.array(keys, dtype=np.int64), rules)))
+                paths.append(np.unique(longer_paths(shingles(expand.decompress(text.as_py()), rules.words), np.array(keys, dtype=np.int64), rules)))
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["sid", "keys"])
 
     return split
@@ -302,7 +306,8 @@ def near_duplicates(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFram
     live = written(_buckets(each), "buckets")
     members = live.select("sid").distinct().join(reps.select("sid", "copy_of"), "sid")
     texts = rows.join(members.withColumnRenamed("copy_of", "doc_id"), "doc_id").select("text", "sid").mapInArrow(_matching_text(rules), "sid binary, sketch binary, text binary")
-    texts = written(texts.dropDuplicates(["sid"]), "set-texts")
+    repeated = real.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    texts = written(texts.dropDuplicates(["sid"]) if repeated else texts, "set-texts")
 
     final = [live.filter(F.col("m") <= rules.split)]
     for level in range(2, rules.depth + 1):
