@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 # Labels of units that name a package.
 PACKAGE_UNITS = [
     "pacote", "pcte", "pct", "caixa", "cx", "resma", "fardo", "frd", "duzia", "dz", "cento", "ct", "rolo", "rl", "kit", "conjunto", "conj",
@@ -149,9 +150,8 @@ def _indel(a: str, b: str) -> int:
     return len(a) + len(b) - 2 * (len(a) - row.bit_count())
 
 
-def _indel_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([_indel(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+def _indel_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_indel(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 def token_set_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
@@ -159,12 +159,8 @@ def token_set_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> Dat
 
     All but the edit distance of the two rests is expressed in columns; the distance is an Arrow function over distinct rests only.
     """
-    from pyspark.sql.functions import pandas_udf
-
-    from ..runtime import ship
-
     ship(pairs.sparkSession)
-    indel = pandas_udf(_indel_batches, "long", F.PandasUDFType.SCALAR_ITER)
+    indel = F.pandas_udf(_indel_batch, "long")
 
     def tokens(c: str) -> Column:
         return F.array_sort(F.array_distinct(F.array_remove(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), "")))
@@ -172,17 +168,17 @@ def token_set_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> Dat
     def size(c: str) -> Column:
         return F.length(F.array_join(F.col(c), " "))
 
-    t = pairs.withColumns({"__a": tokens(a), "__b": tokens(b)})
-    t = t.withColumns({"__s": F.array_intersect("__a", "__b"), "__x": F.array_except("__a", "__b"), "__y": F.array_except("__b", "__a")})
-    empty = (F.size("__a") == 0) | (F.size("__b") == 0)
-    inside = (F.size("__s") > 0) & ((F.size("__x") == 0) | (F.size("__y") == 0))
-    t = t.withColumns({"__easy": F.when(empty, F.lit(0.0)).when(inside, F.lit(1.0)), "__xs": F.array_join("__x", " "), "__ys": F.array_join("__y", " ")})
-    hard = t.filter(F.col("__easy").isNull()).select("__xs", "__ys").distinct()
-    far = hard.withColumn("__d", indel("__xs", "__ys"))
-    t = t.join(far, ["__xs", "__ys"], "left")
-    s, x, y = size("__s"), size("__x"), size("__y")
-    g = F.when(F.size("__s") > 0, F.lit(1)).otherwise(F.lit(0))
-    whole = 1 - F.col("__d") / ((s + g + x) + (s + g + y))
+    t = pairs.withColumns({"__ts_a": tokens(a), "__ts_b": tokens(b)})
+    t = t.withColumns({"__ts_s": F.array_intersect("__ts_a", "__ts_b"), "__ts_x": F.array_except("__ts_a", "__ts_b"), "__ts_y": F.array_except("__ts_b", "__ts_a")})
+    empty = (F.size("__ts_a") == 0) | (F.size("__ts_b") == 0)
+    inside = (F.size("__ts_s") > 0) & ((F.size("__ts_x") == 0) | (F.size("__ts_y") == 0))
+    t = t.withColumns({"__ts_easy": F.when(empty, F.lit(0.0)).when(inside, F.lit(1.0)), "__ts_xs": F.array_join("__ts_x", " "), "__ts_ys": F.array_join("__ts_y", " ")})
+    hard = t.filter(F.col("__ts_easy").isNull()).select("__ts_xs", "__ts_ys").distinct()
+    far = hard.withColumn("__ts_d", indel("__ts_xs", "__ts_ys"))
+    t = t.join(far, ["__ts_xs", "__ts_ys"], "left")
+    s, x, y = size("__ts_s"), size("__ts_x"), size("__ts_y")
+    g = F.when(F.size("__ts_s") > 0, F.lit(1)).otherwise(F.lit(0))
+    whole = 1 - F.col("__ts_d") / ((s + g + x) + (s + g + y))
     rest = [1 - (g + n) / (s + s + g + n) for n in (x, y)]
-    ratio = F.coalesce("__easy", F.when(g == 0, whole).otherwise(F.greatest(whole, *rest)))
-    return t.withColumn(out, ratio).drop("__a", "__b", "__s", "__x", "__y", "__easy", "__xs", "__ys", "__d")
+    ratio = F.coalesce("__ts_easy", F.when(g == 0, whole).otherwise(F.greatest(whole, *rest)))
+    return t.withColumn(out, ratio).drop("__ts_a", "__ts_b", "__ts_s", "__ts_x", "__ts_y", "__ts_easy", "__ts_xs", "__ts_ys", "__ts_d")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from .plans import analytics, functions, maintenance, matching
+    from .plans import analytics, checks, functions, maintenance, matching
 
-    return [matching, maintenance, analytics, functions]
+    return [matching, maintenance, analytics, functions, checks]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
