@@ -257,8 +257,11 @@ def _split(rules: JoinRules):
 
 
 def _buckets(each: DataFrame) -> DataFrame:
-    """``path, sid`` with the size ``m`` of buckets of two sets or more."""
-    sizes = each.groupBy("path").agg(F.count("*").alias("m")).filter("m > 1")
+    """``path, sid`` with the size ``m`` of buckets of two sets or more.
+
+    The sizes are a table of their own, so that the join has a shuffle on both sides and AQE can split a hot path.
+    """
+    sizes = written(each.groupBy("path").agg(F.count("*").alias("m")).filter("m > 1"), "bucket-sizes")
     return each.join(sizes, "path")
 
 
