@@ -203,3 +203,15 @@ def run_matching(item_scores: DataFrame, editais: DataFrame, excluded: DataFrame
     rolled = rollup(item_scores, p).join(e.select("edital_id"), "edital_id", "left_semi")
     acts = lifecycle(old, match_itens, rolled, excluded, full).filter(F.col("acao").isin("criar", "atualizar"))
     return rolled.join(acts.select(*MATCH_KEY, "acao", "novo_forte"), MATCH_KEY).join(e, "edital_id")
+
+
+def apply_actions(old: DataFrame, actions: DataFrame) -> DataFrame:
+    """The match table after ``lifecycle``: kept rows as they are, updated ones with the new score and level and their own flags, new ones, and none that is deleted."""
+    act = actions.filter(F.col("acao").isin("manter", "atualizar", "criar")).select(*MATCH_KEY, "acao", "score_novo", "nivel_novo")
+    both = act.join(old, MATCH_KEY, "left")
+    fresh = F.col("acao") != "manter"
+    values = {
+        "score": F.when(fresh, F.col("score_novo")).otherwise(F.col("score")), "nivel": F.when(fresh, F.col("nivel_novo")).otherwise(F.col("nivel")),
+        "status": F.coalesce("status", F.lit("novo")), "lido": F.coalesce("lido", F.lit(False)), "interessante": F.coalesce("interessante", F.lit(False)),
+    }
+    return both.withColumns(values).select(*old.columns)

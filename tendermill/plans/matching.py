@@ -273,6 +273,11 @@ def _(t: Tables):
     return _life(t, True).select("usuario_id", "edital_id", "acao", "novo_forte")
 
 
+@R.add("snk_04_apply_actions", f"with {_LIFE} select f.usuario_id, f.edital_id, case when f.acao = 'manter' then o.score else f.score_novo end as score, case when f.acao = 'manter' then o.nivel else f.nivel_novo end as nivel, coalesce(o.status, 'novo') as status, coalesce(o.lido, false) as lido from life f left join old o on o.usuario_id = f.usuario_id and o.edital_id = f.edital_id where f.acao in ('manter', 'atualizar', 'criar')")
+def _(t: Tables):
+    return matching.apply_actions(t.matches.filter("edital_id % 2 = 0"), _life(t, True)).select("usuario_id", "edital_id", "score", "nivel", "status", "lido")
+
+
 @R.add("mat_15_incremental", "select distinct usuario_id, edital_id from item_scores where edital_id % 2 <> 0")
 def _(t: Tables):
     return matching.incremental_scope(t.item_scores.select("usuario_id", "edital_id").distinct(), t.matches.filter("edital_id % 2 = 0"))
