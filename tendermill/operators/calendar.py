@@ -47,7 +47,7 @@ def agenda(editais: DataFrame, matches: DataFrame, usuario_id: int, as_of: dt.da
 def opening_alerts(matches: DataFrame, editais: DataFrame, usuarios: DataFrame, as_of: dt.date) -> DataFrame:
     """Strong matches not yet announced that open within each tenant's own days."""
     u = usuarios.filter("ativo and avisar_abertura").select(F.col("id").alias("usuario_id"), F.greatest("dias_antecedencia", F.lit(0)).alias("limite"))
-    rows = matches.filter("nivel = 'forte' and not avisado_abertura").join(F.broadcast(u), "usuario_id").join(_notices(editais, "data_abertura"), "edital_id")
+    rows = matches.filter("nivel = 'forte' and not avisado_abertura").join(u, "usuario_id").join(_notices(editais, "data_abertura"), "edital_id")
     rows = rows.withColumn("dias", days_left(F.col("data_abertura"), as_of))
     return rows.filter("dias >= 0 and dias <= limite").select(*MATCH_ALERT)
 

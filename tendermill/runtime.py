@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,11 +28,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """An unused path in the folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    """An unused path in the folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder of its own."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-scratch-"))
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
