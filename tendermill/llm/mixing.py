@@ -99,11 +99,10 @@ def mix(
     slim = written(marked.select(F.col(key).alias("__key"), *names, tokens.alias("__t")), "mix-sizes")
     leaves = slim.groupBy(*names).agg(F.sum("__t").alias("t"), F.count("*").alias("n")).withColumn("cap", F.col("t") * max_epochs)
     leaves = written(leaves, "mix-leaves")
-    wanted = F.col("cap") * 0 + budget if budget is not None else None
-    whole = leaves.agg(F.sum("t")).first()[0] or 0
-    goal = F.lit(int(whole) * budget_pct // 100 if wanted is None else budget)
+    if budget is None:
+        budget = int(leaves.agg(F.sum("t")).first()[0] or 0) * budget_pct // 100
     given = (
-        allocate(leaves, names, weights, goal)
+        allocate(leaves, names, weights, F.lit(budget))
         .withColumn("epochs", F.expr("case when t = 0 then 0 else budget div t end"))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("t"))
         .withColumn("buckets", F.expr(f"(n + {DOCS_PER_BUCKET - 1}) div {DOCS_PER_BUCKET}"))
