@@ -318,7 +318,9 @@ def near_duplicates(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFram
         if not large.limit(1).count():
             break
         again = large.groupBy("sid").agg(F.collect_list("path").alias("keys")).join(texts.select("sid", "text"), "sid").select("sid", "text", "keys")
-        each = again.mapInArrow(_split(rules), "sid binary, keys array<bigint>").select("sid", F.explode("keys").alias("path"))
+        # the longer paths are a table, as they are read twice and cost a shuffle of the texts
+        deeper = written(again.mapInArrow(_split(rules), "sid binary, keys array<bigint>"), f"paths-{level}")
+        each = deeper.select("sid", F.explode("keys").alias("path"))
         live = written(_buckets(each), f"buckets-{level}")
         final.append(live if level == rules.depth else live.filter(F.col("m") <= rules.split))
     leaves = final[0]
