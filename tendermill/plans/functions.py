@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
@@ -153,6 +154,14 @@ def _(t: Tables):
 
 # ---------------------------------------------------------------- sources
 
+#: Ids of a page: pages keep their size and their number grows with the tables.
+PAGE_IDS = 500
+
+
+def _page() -> Column:
+    return F.floor(F.col("id") / PAGE_IDS)
+
+
 _CTL = "e.id % 19 <> 0"
 
 
@@ -175,7 +184,7 @@ def _(t: Tables):
     from ..runtime import scratch
 
     path = scratch(t.spark, "pages")
-    pages = _records(t).groupBy(F.pmod("id", F.lit(50)).alias("p")).agg(F.concat(F.lit('{"data":['), F.array_join(F.collect_list("json"), ","), F.lit("]}")).alias("value"))
+    pages = _records(t).groupBy(_page().alias("p")).agg(F.concat(F.lit('{"data":['), F.array_join(F.collect_list("json"), ","), F.lit("]}")).alias("value"))
     pages.select("value").write.text(path)
     lines = t.spark.read.text(path).select(notices.variants(F.col("value")).alias("pagina"))
     rows = notices.elements(lines, F.col("pagina"), "data", out="v")
@@ -274,7 +283,7 @@ def _(t: Tables):
 @R.add("src_11_catalog_hits", "select usuario_id, id::varchar as codigo, descricao, marca as pdm, id % 2 = 0 as ativo from produtos")
 def _(t: Tables):
     hit = F.struct(F.when(F.col("id") % 2 == 0, F.col("id")).alias("codigoItem"), F.col("id").alias("codigo"), F.lit("").alias("descricaoItem"), "descricao", F.col("marca").alias("nomePdm"), (F.col("id") % 2 == 0).alias("status"))
-    pages = t.produtos.groupBy("usuario_id").agg(F.to_json(F.struct(F.collect_list(hit).alias("resultado"))).alias("p"))
+    pages = t.produtos.groupBy("usuario_id", _page().alias("n")).agg(F.to_json(F.struct(F.collect_list(hit).alias("resultado"))).alias("p"))
     return notices.map_catalog_hits(pages, "usuario_id", "p", "material").select("usuario_id", "codigo", "descricao", "pdm", "ativo")
 
 
