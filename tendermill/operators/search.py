@@ -71,16 +71,29 @@ def _relevance(pairs: DataFrame, query: str, field: str, contained) -> DataFrame
     return token_set_ratio(pairs, query, field, "relevancia").withColumn("relevancia", F.when(contained, F.greatest("relevancia", F.lit(0.9))).otherwise(F.col("relevancia")))
 
 
-def rank_groups(groups: DataFrame, queries: DataFrame, top: int = 6) -> DataFrame:
-    """The ``top`` groups (``grupo, nome, ativo``) for each query (``query_id, termo``), active ones first if there are any; a group shares a token with its query."""
-    q = queries.withColumn("__q", normalize(F.col("termo")))
-    g = groups.withColumn("__g", normalize(F.col("nome"))).filter("__g <> ''")
-    token = lambda c: F.explode(F.array_distinct(F.split(F.col(c), " "))).alias("__t")
-    pairs = q.select("query_id", "__q", token("__q")).join(g.select("grupo", "ativo", "__g", token("__g")), "__t").select("query_id", "__q", "grupo", "ativo", "__g").distinct()
-    ranked = _relevance(pairs, "__q", "__g", F.contains("__g", "__q") | F.contains("__q", "__g"))
-    alive = Window.partitionBy("query_id")
-    use = ranked.withColumn("__any", F.max("ativo").over(alive)).filter("ativo or not __any")
-    return use.withColumn("posicao", F.row_number().over(alive.orderBy(F.desc("relevancia"), "grupo"))).filter(F.col("posicao") <= top).select("query_id", "grupo", "relevancia", "posicao")
+def rank_groups(groups: DataFrame, queries: DataFrame, top: int = 6, block: int = 1000) -> DataFrame:
+    """The ``top`` groups (``grupo, nome, ativo``) for each query (``query_id, termo``), only active ones if there are any. A group of unknown state counts as active.
+
+    Every query is scored against every distinct name, as names without a common token can be alike too, or hold one another. The pairs
+    are made in cells of about ``block`` queries and ``block`` names, whose number follows the counted rows.
+    """
+    q = queries.select("query_id", normalize(F.col("termo")).alias("__q"))
+    g = groups.select("grupo", F.coalesce("ativo", F.lit(True)).alias("__a"), normalize(F.col("nome")).alias("__g"))
+    g = g.crossJoin(F.broadcast(g.agg(F.max("__a").alias("__any")))).filter("__a or not __any")
+    # of the groups with one name, and of the names for one query, no more than the first can be among its best
+    first = g.withColumn("__n", F.row_number().over(Window.partitionBy("__g").orderBy("grupo"))).filter(F.col("__n") <= top).select("grupo", "__g", "__n")
+    texts, names = q.select("__q").distinct(), first.filter("__n = 1").select("__g", F.col("grupo").alias("__first"))
+    rows, cols = (max(1, -(-df.count() // block)) for df in (texts, names))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = texts.withColumn("__i", part("__q", rows)).withColumn("__j", every(cols))
+    right = names.withColumn("__j", part("__g", cols)).withColumn("__i", every(rows))
+    inside = (F.col("__g") != "") & (F.contains("__g", "__q") | F.contains("__q", "__g"))
+    scored = _relevance(left.join(right, ["__i", "__j"]).select("__q", "__g", "__first"), "__q", "__g", inside)
+    best = scored.withColumn("__n", F.row_number().over(Window.partitionBy("__q").orderBy(F.desc("relevancia"), "__first"))).filter(F.col("__n") <= top)
+    ranked = best.select("__q", "__g", "relevancia").join(first.select("grupo", "__g"), "__g").join(q, "__q")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevancia"), "grupo"))
+    return ranked.withColumn("posicao", place).filter(F.col("posicao") <= top).select("query_id", "grupo", "relevancia", "posicao")
 
 
 def rank_codes(hits: DataFrame, queries: DataFrame, n: int = 30) -> DataFrame:

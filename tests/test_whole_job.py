@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tendermill import registry
+from tendermill.functions import text
+from tendermill.operators import search
 from tendermill.plans import functions as plans
 
 ORDERS, PARTS = 30_000, 12_000
@@ -40,3 +42,20 @@ def test_pages_of_hits_keep_their_size(spark, wide, monkeypatch):
     assert registry.queries()["src_11_catalog_hits"](spark, wide).count() == PARTS
     sizes = [r["n"] for r in seen[0].select(F.regexp_count("p", F.lit("nomePdm")).alias("n")).collect()]
     assert sum(sizes) == PARTS and max(sizes) <= 500
+
+
+GROUPS = [(1, "Papelaria geral", True), (2, "Canetas", True), (3, "Parafuso sextavado", True), (4, "Papel A4", True), (5, "Grampos", False), (6, "", True), (7, "canetas", None), (8, "papel", False), (9, "Clipe", True)]
+TERMS = [(1, "papel"), (2, "caneta"), (3, "Grampo"), (4, "xyz"), (5, "papel")]
+
+
+@pytest.mark.parametrize(("groups", "top", "block"), [(GROUPS, 6, []), (GROUPS, 2, [2]), ([(k, n, False) for k, n, _ in GROUPS], 3, [1])])
+def test_groups_are_ranked_over_all_names(spark, groups, top, block):
+    alive = [g for g in groups if g[2] is not False] or groups
+    pairs = [(q, t.lower(), k, n.lower()) for q, t in TERMS for k, n, _ in alive]
+    scored = text.token_set_ratio(spark.createDataFrame(pairs, "q long, a string, k long, b string"), "a", "b", "s").collect()
+    want = []
+    for q, _ in TERMS:
+        mine = [(max(r["s"], 0.9) if r["b"] and (r["a"] in r["b"] or r["b"] in r["a"]) else r["s"], r["k"]) for r in scored if r["q"] == q]
+        want += [(q, k, round(s, 9), i) for i, (s, k) in enumerate(sorted(mine, key=lambda m: (-m[0], m[1]))[:top], 1)]
+    got = search.rank_groups(spark.createDataFrame(groups, "grupo long, nome string, ativo boolean"), spark.createDataFrame(TERMS, "query_id long, termo string"), top, *block)
+    assert sorted(((r["query_id"], r["grupo"], round(r["relevancia"], 9), r["posicao"]) for r in got.collect()), key=lambda r: (r[0], r[3])) == want
