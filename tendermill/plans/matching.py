@@ -74,13 +74,24 @@ def _(t: Tables):
 _RULES = "select c_custkey % 10 as usuario_id, case when c_custkey % 2 = 0 then 'termo' else 'categoria' end as tipo, case when c_custkey % 2 = 0 then lower(substr(c_mktsegment, 1, 6)) else '5-LOW' end as valor from customer where c_custkey <= 6"
 
 
+_ALL_RULES = "select c_custkey % 10 as usuario_id, case when c_custkey % 2 = 0 then 'termo' else 'categoria' end as tipo, case when c_custkey % 2 = 0 then lower(substr(c_mktsegment, 1, 6)) else '5-LOW' end as valor from customer"
+
+
+def _rules(c):
+    even = F.col("c_custkey") % 2 == 0
+    return c.select((F.col("c_custkey") % 10).alias("usuario_id"), F.when(even, "termo").otherwise("categoria").alias("tipo"), F.when(even, F.substring("c_mktsegment", 1, 6)).otherwise(F.lit("5-LOW")).alias("valor"))
+
+
 @R.add("flt_10_exclude", f"""with regras as ({_RULES}), alvo as (select e.id as edital_id, e.modalidade, lower(e.objeto) || ' ' || coalesce(string_agg(lower(i.descricao), ' ' order by i.numero), '') as t from editais e left join itens i on i.edital_id = e.id group by e.id, e.modalidade, e.objeto)
 select distinct usuario_id, edital_id from alvo join regras on (tipo = 'termo' and contains(t, valor)) or (tipo = 'categoria' and modalidade = valor)""")
 def _(t: Tables):
-    c = t.customer.filter("c_custkey <= 6")
-    even = F.col("c_custkey") % 2 == 0
-    rules = c.select((F.col("c_custkey") % 10).alias("usuario_id"), F.when(even, "termo").otherwise("categoria").alias("tipo"), F.when(even, F.substring("c_mktsegment", 1, 6)).otherwise(F.lit("5-LOW")).alias("valor"))
-    return filters.exclude(t.editais, t.itens, rules)
+    return filters.exclude(t.editais, t.itens, _rules(t.customer.filter("c_custkey <= 6")))
+
+
+@R.add("flt_10_exclude_all", f"""with regras as (select distinct * from ({_ALL_RULES})), alvo as (select e.id as edital_id, e.modalidade, lower(e.objeto) || ' ' || coalesce(string_agg(lower(i.descricao), ' ' order by i.numero), '') as t from editais e left join itens i on i.edital_id = e.id group by e.id, e.modalidade, e.objeto)
+select distinct usuario_id, edital_id from alvo join regras on (tipo = 'termo' and contains(t, valor)) or (tipo = 'categoria' and modalidade = valor)""")
+def _(t: Tables):
+    return filters.exclude(t.editais, t.itens, _rules(t.customer))
 
 
 @R.add("flt_11_matching_scope", f"select u.id as usuario_id, e.id as edital_id from usuarios u, editais e where e.data_encerramento is null or e.data_encerramento >= {_D} union select usuario_id, edital_id from matches where status in ('vou_participar', 'proposta_enviada', 'ganho')")

@@ -59,3 +59,10 @@ def test_groups_are_ranked_over_all_names(spark, groups, top, block):
         want += [(q, k, round(s, 9), i) for i, (s, k) in enumerate(sorted(mine, key=lambda m: (-m[0], m[1]))[:top], 1)]
     got = search.rank_groups(spark.createDataFrame(groups, "grupo long, nome string, ativo boolean"), spark.createDataFrame(TERMS, "query_id long, termo string"), top, *block)
     assert sorted(((r["query_id"], r["grupo"], round(r["relevancia"], 9), r["posicao"]) for r in got.collect()), key=lambda r: (r[0], r[3])) == want
+
+
+def test_exclusions_follow_the_rules_of_all_customers(spark):
+    sf = "/root/testdata/sf0.001"
+    keys = [r["k"] for r in spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k")).collect()]
+    got = {r["usuario_id"] for r in registry.queries()["flt_10_exclude_all"](spark, sf).select("usuario_id").distinct().collect()}
+    assert got == {k % 10 for k in keys}
