@@ -105,7 +105,7 @@ def _(t: Tables):
 @R.add("val_06_categorical", "select p_partkey as par, case when p_partkey % 8 = 0 then true else false end as critico from part where p_partkey % 4 = 0 and (p_partkey % 8 = 0 or p_partkey % 12 = 0)")
 def _(t: Tables):
     k = F.col("p_partkey")
-    p = t.part.filter(k % 4 == 0).select(k.alias("par"), F.lit("grampo 26/6").alias("item_leve"), F.when(k % 8 == 0, "grampo 23/13").when(k % 12 == 0, "clipe").otherwise("grampos 26 / 6").alias("produto_leve"))
+    p = t.part.select(k.alias("par"), F.lit("grampo 26/6").alias("item_leve"), F.when(k % 8 == 0, "grampo 23/13").when(k % 12 == 0, "clipe").otherwise("grampos 26 / 6").alias("produto_leve"))
     return validation.check_categorical(p).select("par", "critico")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tendermill import registry
 from tendermill.functions import text
 from tendermill.operators import search
+from tendermill.plans import checks
 from tendermill.plans import functions as plans
 
 ORDERS, PARTS = 30_000, 12_000
@@ -66,3 +67,10 @@ def test_exclusions_follow_the_rules_of_all_customers(spark):
     keys = [r["k"] for r in spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k")).collect()]
     got = {r["usuario_id"] for r in registry.queries()["flt_10_exclude_all"](spark, sf).select("usuario_id").distinct().collect()}
     assert got == {k % 10 for k in keys}
+
+
+def test_all_parts_are_checked(spark, wide, monkeypatch):
+    seen, whole = [], checks.validation.check_categorical
+    monkeypatch.setattr(checks.validation, "check_categorical", lambda p: seen.append(p) or whole(p))
+    assert registry.queries()["val_06_categorical"](spark, wide).count() == sum(k % 8 == 0 or k % 12 == 0 for k in range(PARTS))
+    assert seen[0].count() == PARTS
