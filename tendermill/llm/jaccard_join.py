@@ -298,6 +298,11 @@ def near_duplicates(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFram
     ones more surely. Only copies' first texts take part. Pairs never become rows: a tile gives each of its texts a count and
     the least text it hangs together with. A hot bucket is shared out over tiles of two blocks, so no task's work grows with it.
     """
+    return _classes(docs, rules).drop("sid")
+
+
+def _classes(docs: DataFrame, rules: JoinRules) -> DataFrame:
+    """The rows of ``near_duplicates`` with the id of each row's set, null for a blank text."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
@@ -345,15 +350,35 @@ def near_duplicates(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFram
     least = named.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     known = reps.select("sid", "copy_of").join(labels.join(least, "label").select("sid", "class_id"), "sid", "left").join(counts, "sid", "left")
     known = known.select("sid", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    told = real.select("doc_id", "sid").join(known, "sid").select("doc_id", "copy_of", "class_id", "n_links")
-    alone = signed.filter("sid is null or doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    told = real.select("doc_id", "sid").join(known, "sid").select("doc_id", "copy_of", "class_id", "n_links", "sid")
+    alone = signed.filter("sid is null or doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "sid")
     return told.unionByName(alone)
 
 
+def _sets(rules: JoinRules):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (shingles(text.as_py(), rules.words) for text in batch.column(1))
+            sids = [set_id(s) if len(s) else None for s in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids, pa.binary())], names=["doc_id", "__text", "sid"])
+
+    return sets
+
+
 def keep_first(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
-    """``docs`` with one document of each class, that of the least id; repeated rows of it become one."""
-    classes = written(near_duplicates(docs, rules), "near-classes")
-    gone = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = classes.filter("doc_id is not null and doc_id = class_id").groupBy("doc_id").count().filter("count > 1")
-    return kept.dropDuplicates(["doc_id", "text"]) if twice.limit(1).count() else kept
+    """``docs`` with one document of each class, that of the least id; repeated rows (same id and text) become one.
+
+    An id with several texts is taken text by text: one that is a copy of an earlier document goes, the others stay. Rows with a null id all stay.
+    """
+    classes = written(_classes(docs, rules), "near-classes")
+    gone = classes.filter("doc_id <> class_id").select("doc_id", "sid").distinct()
+    twice = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not twice.limit(1).count():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = written(twice, "repeated-ids")
+    once = docs.join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # only these rows are told apart by their text
+    many = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("__text", F.encode("text", "UTF-8"))
+    told = many.select(F.col("doc_id").cast("long").alias("doc_id"), "__text").mapInArrow(_sets(rules), "doc_id bigint, __text binary, sid binary")
+    copies = told.join(gone, ["doc_id", "sid"], "left_semi").select("doc_id", "__text")
+    return once.unionByName(many.join(copies, ["doc_id", "__text"], "left_anti").select(*docs.columns))
