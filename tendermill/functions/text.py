@@ -37,27 +37,28 @@ _SPACES = r"[\s\x1c-\x1f]+"
 
 @lru_cache(maxsize=1)
 def _decompositions() -> tuple[str, str, dict[str, str]]:
-    """Signs whose compatibility form is one ASCII sign, those signs, and the few common ones with longer forms."""
+    """Signs whose compatibility form has one ASCII sign, those signs, and the others' longer ASCII forms."""
     single, plain, longer = [], [], {}
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code < 0xE000:
+    for sign in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
+        if not unicodedata.decomposition(sign):
             continue
-        flat = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        flat = unicodedata.normalize("NFKD", sign).encode("ascii", "ignore").decode()
         if len(flat) == 1:
-            single.append(chr(code))
+            single.append(sign)
             plain.append(flat)
-        elif flat and (code < 0x180 or 0x2000 <= code < 0x2190 or 0xFB00 <= code < 0xFB07):
-            longer[chr(code)] = flat
+        elif flat:
+            longer[sign] = flat
     return "".join(single), "".join(plain), longer
 
 
 def _ascii(text: Column) -> Column:
-    """Compatibility decomposition, then only its ASCII part."""
+    """Compatibility decomposition, then only its ASCII part. Texts with a sign of a longer form (``½``, ``㎡``) are spelled out sign by sign."""
     single, plain, longer = _decompositions()
-    flat = text
-    for sign, form in longer.items():
-        flat = F.replace(flat, F.lit(sign), F.lit(form))
-    flat = F.regexp_replace(F.translate(flat, single, plain), r"[^\x00-\x7F]", "")
+    forms = F.str_to_map(F.lit("\x02".join(f"{sign}\x01{form}" for sign, form in longer.items())), F.lit("\x02"), F.lit("\x01"))
+    signs = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    spelled = F.array_join(F.transform(signs, lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(forms, c), c))), "")
+    some = F.when(F.rlike(text, F.lit(f"[{''.join(longer)}]")), spelled).otherwise(text)
+    flat = F.regexp_replace(F.translate(some, single, plain), r"[^\x00-\x7F]", "")
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(flat)
 
 
