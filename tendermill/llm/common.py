@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +23,78 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return scratch(spark, name)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends there, and it outlives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # the job's shuffle files go when it ends, not when the driver happens to collect garbage
+_guard = threading.Lock()
+_writers: dict[str, tuple[int, str]] = {}
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """While any thread is inside, a job's shuffle files go when it ends, not when the driver happens to collect garbage."""
+    key = spark.sparkContext.applicationId
+    with _guard:
+        n, before = _writers.get(key, (0, spark.conf.get(_CLEANUP, "false")))
+        _writers[key] = (n + 1, before)
+        spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        with _guard:
+            n, before = _writers.pop(key)
+            if n > 1:
+                _writers[key] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    with _shuffle_files_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends there, and it outlives lost executors."""
+    return _write(df, fresh_path(df.sparkSession, name))
+
+
+class Tables:
+    """Tables of one operator's run in the shared folder and the warehouse; all but those kept go when the ``with`` block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths, self._named = spark, [], []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop()
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self._paths.append(path)
+        return _write(df, path)
+
+    def bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """``df`` dealt out by ``keys`` once; later joins on all of them find it in place."""
+        buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        table = f"{name}_{uuid.uuid4().hex}"
+        self._named.append(table)
+        with _shuffle_files_go(self.spark):
+            df.repartition(buckets, *keys).write.option("compression", "zstd").bucketBy(buckets, *keys).format("parquet").saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for p in self._paths:
+            path = path_of(p)
+            path.getFileSystem(hadoop).delete(path, True)
+        for t in self._named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self._paths, self._named = [], []
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` bound to a name, so that it is computed once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)

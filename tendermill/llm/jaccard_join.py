@@ -5,37 +5,47 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import without, written
+from .common import Tables, written
 
-#: Run numbers take the top bits of a path, so the least common path of two sets is one of their first common run.
+#: A path's top bits hold its run.
 RUN_SHIFT = 58
+MAX_RUNS = 1 << (64 - RUN_SHIFT)
 #: Bytes of a set's sketch, one for each bin of its hashes.
 BINS = 128
+#: Tokens hashed, and pairs compared, at a time: bounds of a task's memory, not of its work.
+_TOKENS, _PAIRS = 32_768, 131_072
+#: Rows of buckets, and tokens of texts, that a group of buckets holds on average.
+_GROUP_ROWS, _GROUP_TOKENS = 8_192, 1_000_000
 
 
 @dataclass(frozen=True)
 class JoinRules:
     """Words of a shingle, the least similarity, the recall at exactly that similarity, and sizes of buckets and tiles.
 
-    A bucket of more than ``split`` sets is split again, ``depth`` levels at most. A bucket that is still larger than ``tile`` is
-    brute-forced in tiles of two blocks of sets. All sizes only share out work: every pair of a bucket is compared.
+    A bucket of more than ``split`` sets is split again, ``depth`` levels at most. A bucket that is still larger than ``tile`` sets or
+    ``tile_tokens`` tokens is brute-forced in tiles of two blocks of half that size. These sizes only share out work: every pair of a
+    bucket is compared. ``sketch_loss`` bounds the probability that sketches rule out a pair at exactly the limit, and is part of what
+    ``recall`` allows; 0 compares all pairs by their sets.
     """
 
     words: int = 5
     similarity: float = 0.8
     recall: float = 0.9995
+    sketch_loss: float = 1e-6
     split: int = 512
     depth: int = 3
-    tile: int = 1024
+    tile: int = 4096
+    tile_tokens: int = 4_000_000
 
     @property
     def runs(self) -> int:
@@ -43,7 +53,13 @@ class JoinRules:
         fails = 0.0
         for _ in range(self.depth):
             fails = math.exp(fails - 1)
-        return min(31, math.ceil(math.log(1 - self.recall) / math.log(fails)))
+        left = 1 - self.recall - self.sketch_loss
+        if left <= 0:
+            raise ValueError("recall and sketch_loss leave nothing for the paths")
+        runs = math.ceil(math.log(left) / math.log(fails))
+        if runs > MAX_RUNS:
+            raise ValueError(f"recall {self.recall} takes {runs} runs; {MAX_RUNS} are the most")
+        return runs
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -76,12 +92,20 @@ def set_id(s: np.ndarray) -> bytes:
 def _chosen(s: np.ndarray, seeds: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """For each seed (a run or a path) the tokens of ``s`` that it chooses: row numbers of seeds, and hashes of seed and token.
 
-    A token is chosen if its hash is under 1 / (similarity x size), so 1 / similarity tokens on average.
+    A token is chosen if its product with the seed's odd number is under 1 / (similarity x size) of the range, so 1 / similarity
+    tokens on average. (Tokens are hashes already.)
     """
     limit = np.uint64(min(2**64 - 1, int(2**64 / (similarity * len(s)))))
-    hashed = _mix(_mix(seeds)[:, None] ^ s[None, :])
-    row, col = np.nonzero(hashed <= limit)
-    return row, _mix(hashed[row, col] + s[col])
+    mixed = _mix(seeds)
+    odd = (mixed | np.uint64(1))[:, None]
+    step = max(1, _TOKENS * 16 // len(seeds)) if len(seeds) else 1
+    rows, cols = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(s), step):
+        row, col = np.nonzero(odd * s[None, at : at + step] <= limit)
+        rows.append(row)
+        cols.append(col + at)
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    return row, _mix(mixed[row] ^ s[col])
 
 
 def first_paths(s: np.ndarray, rules: JoinRules) -> np.ndarray:
@@ -100,184 +124,278 @@ def longer_paths(s: np.ndarray, paths: np.ndarray, rules: JoinRules) -> np.ndarr
 
 def sketch(s: np.ndarray) -> bytes:
     """For each bin of hashes one byte of the least hash in it; 0 for an empty bin."""
-    h = _mix(s + np.uint64(0x51ED270B))
-    bins = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-    least = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(least, bins, h)
-    out = (_mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    out[np.bincount(bins, minlength=BINS) == 0] = 0
+    h = np.sort(_mix(s + np.uint64(0x51ED270B)))
+    bins = h >> np.uint64(64 - BINS.bit_length() + 1)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[bins[first].astype(np.int64)] = _mix(h[first]) % np.uint64(255) + np.uint64(1)
     return out.tobytes()
 
 
-def _candidates(path: int, block: np.ndarray, blocks: tuple[int, int], keys: list[list[int]], sketches: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs of a tile (as a matrix, upper triangle) that first meet here and whose sketches allow the similarity.
+@lru_cache(maxsize=8)
+def least_alike(similarity: float, loss: float) -> np.ndarray:
+    """For each number of bins that either set fills, the least count of equal ones that a pair passes with.
 
-    A pair meets in every path it has in common; it is taken at the least of them. Of the bins that either set fills, those with the
-    same byte are a sample of the similarity: five standard deviations under the limit rule a pair out.
+    A bin shows the same hash for both sets with the probability of their similarity, so the count is binomial: fewer come up with
+    a probability of ``loss`` at most. (Equal bytes of different hashes only add to it.)
     """
-    m = len(block)
-    earlier: dict[int, list[int]] = {}
-    for i, ks in enumerate(keys):
-        for k in ks:
-            if k < path:
-                earlier.setdefault(k, []).append(i)
-    shared = [v for v in earlier.values() if len(v) > 1]
-    met = np.zeros((m, m), dtype=bool)
-    if shared:
-        a = np.zeros((m, len(shared)), dtype=np.float32)
-        for j, v in enumerate(shared):
-            a[v, j] = 1
-        met = (a @ a.T) > 0
-    ok = np.zeros((m, m), dtype=bool)
-    filled = sketches > 0
-    for i in range(m - 1):
-        rest = slice(i + 1, m)
-        either = (filled[i] | filled[rest]).sum(axis=1)
-        same = ((sketches[i] == sketches[rest]) & filled[i]).sum(axis=1)
-        ok[i, rest] = same >= similarity * either - 5 * np.sqrt(similarity * (1 - similarity) * either)
-    if blocks[0] != blocks[1]:
-        ok &= block[:, None] != block[None, :]
-    return ok & ~met
-
-
-_TILE = "tile binary, path bigint, lo int, hi int, block int, sid binary, keys array<bigint>, sketch binary"
-
-
-def _tile_pairs(tile: pa.Table, rules: JoinRules) -> np.ndarray:
-    sketches = np.frombuffer(b"".join(tile["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-    lo, hi = tile["lo"][0].as_py(), tile["hi"][0].as_py()
-    return _candidates(tile["path"][0].as_py(), tile["block"].to_numpy(), (lo, hi), tile["keys"].to_pylist(), sketches, rules.similarity)
+    least = np.zeros(BINS + 1, dtype=np.int64)
+    for n in range(1, BINS + 1):
+        below = 0.0
+        for k in range(n + 1):
+            below += math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+            if below > loss:
+                least[n] = k
+                break
+    return least
+
+
+_ROW = ["path", "lo", "hi", "block", "sid", "size", "keys", "sketch"]
+_TILE = "grp bigint, path bigint, lo int, hi int, block int, sid binary, size int, keys array<bigint>, sketch binary"
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Rows of a group of tiles, tile by tile, block by block."""
+    return rows.combine_chunks().sort_by([(c, "ascending") for c in ("path", "lo", "hi", "block", "sid")])
+
+
+def _tile_starts(rows: pa.Table) -> np.ndarray:
+    """Where each tile of ordered rows starts, and the end."""
+    cols = [rows[c].to_numpy() for c in ("path", "lo", "hi")]
+    new = np.ones(rows.num_rows, dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return np.append(np.flatnonzero(new), rows.num_rows)
+
+
+def _partners(rows: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of rows that each row is compared with: later ones of its tile; in a tile of two blocks, the other block's for those of the first."""
+    n = np.diff(starts)
+    end = np.repeat(starts[1:], n)
+    lo, hi, block = (rows[c].to_numpy() for c in ("lo", "hi", "block"))
+    begin = np.arange(rows.num_rows) + 1
+    two = lo != hi
+    if two.any():
+        first = two & (block == lo)
+        count = np.add.reduceat(first.astype(np.int64), starts[:-1])
+        begin = np.where(two, np.where(first, np.repeat(starts[:-1] + count, n), end), begin)
+    return begin, end
+
+
+class _Keys:
+    """Paths of the rows of a group, to tell whether two rows have met before."""
+
+    def __init__(self, rows: pa.Table):
+        keys = rows["keys"].combine_chunks()
+        flat = keys.flatten().to_numpy()
+        self.n = np.diff(keys.offsets.to_numpy())
+        self.start = np.cumsum(self.n) - self.n
+        all_keys, self.number = np.unique(flat, return_inverse=True)
+        self.kinds = max(1, len(all_keys))
+        self.codes = np.repeat(np.arange(len(self.n)), self.n) * self.kinds + self.number  # ascending: a row's keys are sorted
+        # of a row's keys, those before its path
+        here = np.searchsorted(all_keys, rows["path"].to_numpy())
+        before = self.number < np.repeat(here, self.n)
+        self.earlier = np.add.reduceat(np.append(before, False).astype(np.int64), self.start) if len(self.n) else self.n
+        self.earlier[self.n == 0] = 0
+
+    def met(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        n = self.earlier[left]
+        pair = np.repeat(np.arange(len(left)), n)
+        if not len(pair):
+            return np.zeros(len(left), dtype=bool)
+        at = self.start[left][pair] + np.arange(len(pair)) - (np.cumsum(n) - n)[pair]
+        want = right[pair] * self.kinds + self.number[at]
+        found = np.searchsorted(self.codes, want)
+        same = self.codes[np.minimum(found, len(self.codes) - 1)] == want
+        return np.bincount(pair[same], minlength=len(left)) > 0
+
+
+_LOW7 = np.uint64(0x7F7F7F7F7F7F7F7F)
+
+
+def _filled(words: np.ndarray) -> np.ndarray:
+    """The top bit of every byte that is not 0."""
+    return (((words & _LOW7) + _LOW7) | words) & ~_LOW7
+
+
+def _candidates(rows: pa.Table, rules: JoinRules) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ordered rows that sizes and sketches allow, each in the first bucket where it meets, some at a time.
+
+    A pair meets in every path it has in common; it is taken at the least of them. Sets whose sizes differ by more than the
+    similarity can't have it.
+    """
+    if not rows.num_rows:
+        return
+    begin, end = _partners(rows, _tile_starts(rows))
+    count = np.maximum(end - begin, 0)
+    total = np.cumsum(count)
+    keys = _Keys(rows)
+    size = rows["size"].to_numpy().astype(np.int64)
+    words = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint64).reshape(-1, BINS // 8)
+    full = _filled(words)
+    least = least_alike(rules.similarity, rules.sketch_loss) if rules.sketch_loss else None
+    per = round(rules.similarity * 1_000_000)
+    at = 0
+    while at < rows.num_rows:
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+        n = count[at:upto]
+        left = np.repeat(np.arange(at, upto), n)
+        right = begin[left] + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        at = upto
+        ok = np.minimum(size[left], size[right]) * 1_000_000 >= per * np.maximum(size[left], size[right])
+        left, right = left[ok], right[ok]
+        if least is not None and len(left):
+            either = np.bitwise_count(full[left] | full[right]).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count(_filled(words[left] ^ words[right])).sum(axis=1, dtype=np.int64)
+            ok = either - differ >= least[either]
+            left, right = left[ok], right[ok]
+        ok = ~keys.met(left, right)
+        if ok.any():
+            yield left[ok], right[ok]
 
 
 def _worth_reading(rules: JoinRules):
-    def worth(tile: pa.Table) -> pa.Table:
-        tile = tile.sort_by("sid")
-        ok = _tile_pairs(tile, rules)
-        left = tile.filter(pa.array(ok.any(axis=0) | ok.any(axis=1)))
-        keys = left.schema.get_field_index("keys")
-        return left.set_column(keys, "keys", left["keys"].cast(pa.list_(pa.int64())))
+    def worth(rows: pa.Table) -> pa.Table:
+        rows = _in_order(rows)
+        some = np.zeros(rows.num_rows, dtype=bool)
+        for left, right in _candidates(rows, rules):
+            some[left] = True
+            some[right] = True
+        left = rows.filter(pa.array(some)).select(["grp", *_ROW])
+        return left.set_column(left.schema.get_field_index("keys"), "keys", left["keys"].cast(pa.list_(pa.int64())))
 
     return worth
 
 
-def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of ``pairs``, each with the count of common tokens."""
-    m = len(sets)
-    left, right = np.nonzero(pairs)
-    if len(left) <= 8 * m:
-        return left, right, np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right, strict=True)], dtype=np.int64)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    token, number, count = np.unique(flat, return_inverse=True, return_counts=True)
-    often = count > 1
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Counts of common tokens of pairs of sets."""
+    if len(left) <= 8 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right, strict=True)], dtype=np.int64)
+    used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    row, col = place[: len(left)], place[len(left) :]
+    flat = np.concatenate([sets[i] for i in used])
+    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    _, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+    often = times > 1
     rank = np.cumsum(often) - 1
-    use = often[number]
-    owner, number = owner[use], rank[number[use]]
-    common = np.zeros((m, m), dtype=np.float64)
+    shared = often[number]
+    owner, number = owner[shared], rank[number[shared]]
+    a0, a1, b0, b1 = row.min(), row.max() + 1, col.min(), col.max() + 1
+    common = np.zeros((a1 - a0, b1 - b0), dtype=np.float32)
     for c in range(0, int(often.sum()), 2048):
         here = (number >= c) & (number < c + 2048)
-        a = np.zeros((m, 2048), dtype=np.float32)
+        a = np.zeros((len(used), 2048), dtype=np.float32)
         a[owner[here], number[here] - c] = 1
-        common += a @ a.T
-    return left, right, np.rint(common[left, right]).astype(np.int64)
+        common += a[a0:a1] @ a[b0:b1].T
+    return np.rint(common[row - a0, col - b0]).astype(np.int64)
+
+
+def _least_linked(m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of ``m`` sets the least one that it hangs together with."""
+    label = np.arange(m)
+    while True:
+        after = label.copy()
+        np.minimum.at(after, left, label[right])
+        np.minimum.at(after, right, label[left])
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
 
 
 def _links(rules: JoinRules):
-    def links(tile: pa.Table) -> pa.Table:
-        tile = tile.sort_by("sid")
-        names = tile["sid"].to_pylist()
+    per = round(rules.similarity * 1_000_000)
+
+    def links(rows: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
-        sets = [shingles(expand.decompress(t), rules.words) for t in tile["text"].to_pylist()]
-        left, right, both = _overlaps(sets, _tile_pairs(tile, rules))
-        size = np.array([len(s) for s in sets])
-        # both / (a + b - both) >= similarity, in whole numbers
-        per = round(rules.similarity * 1_000_000)
-        near = both * (1_000_000 + per) >= per * (size[left] + size[right])
-        left, right = left[near], right[near]
-        n = np.bincount(left, minlength=len(names)) + np.bincount(right, minlength=len(names))
-        root = list(range(len(names)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in zip(left.tolist(), right.tolist(), strict=True):
-            a, b = top(i), top(j)
-            root[max(a, b)] = min(a, b)
-        keep = np.flatnonzero(n).tolist()
-        return pa.table([pa.array([names[i] for i in keep], pa.binary()), pa.array([names[top(i)] for i in keep], pa.binary()), pa.array(n[keep], pa.int64())], names=["sid", "near", "n_links"])
+        rows = _in_order(rows)
+        starts = _tile_starts(rows) if rows.num_rows else np.zeros(1, dtype=np.int64)
+        names: list[bytes] = []
+        nearest: list[bytes] = []
+        counts: list[int] = []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            tile = rows.slice(lo, hi - lo)
+            sid = tile["sid"].to_pylist()
+            sets = [shingles(expand.decompress(t), rules.words) for t in tile["z"].to_pylist()]
+            size = np.array([len(s) for s in sets])
+            linked = []
+            for left, right in _candidates(tile, rules):
+                both = _overlaps(sets, left, right)
+                # both / (a + b - both) >= similarity, in whole numbers
+                near = both * (1_000_000 + per) >= per * (size[left] + size[right])
+                linked.append((left[near], right[near]))
+            if not linked:
+                continue
+            left, right = (np.concatenate(x) for x in zip(*linked, strict=True))
+            n = np.bincount(left, minlength=len(sid)) + np.bincount(right, minlength=len(sid))
+            top = _least_linked(len(sid), left, right)
+            keep = np.flatnonzero(n).tolist()
+            names += [sid[i] for i in keep]
+            nearest += [sid[top[i]] for i in keep]
+            counts += n[keep].tolist()
+        return pa.table([pa.array(names, pa.binary()), pa.array(nearest, pa.binary()), pa.array(counts, pa.int64())], names=["sid", "near", "n_links"])
 
     return links
 
 
-def _signatures(rules: JoinRules):
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sids, keys = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(text.as_py(), rules.words)
-                ids.append(doc)
-                sids.append(set_id(s) if len(s) else None)
-                keys.append(np.unique(first_paths(s, rules)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "sid", "keys"])
-
-    return signatures
+_SIGNED = "doc_id bigint, sid binary, size int, keys array<bigint>, sketch binary, z binary"
 
 
-def _matching_text(rules: JoinRules):
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(rules: JoinRules):
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor()
         for batch in batches:
-            sids, texts, sketches = [], [], []
-            for text, sid in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 s = shingles(text, rules.words)
-                if set_id(s) == sid:  # else another text with the same id
-                    sids.append(sid)
-                    texts.append(squeeze.compress(text or b""))
-                    sketches.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(sketches, pa.binary()), pa.array(texts, pa.binary())], names=["sid", "sketch", "text"])
+                if doc is None or not len(s):
+                    rows.append((doc, set_id(s) if len(s) else None, None, None, None, None))
+                    continue
+                rows.append((doc, set_id(s), len(s), np.unique(first_paths(s, rules)), sketch(s), squeeze.compress(text)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _SIGNED.split(", ")])
 
-    return matching
+    return signatures
 
 
 def _split(rules: JoinRules):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            sids, paths = [], []
-            for sid, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                sids.append(sid)
-                paths.append(np.unique(longer_paths(shingles(expand.decompress(text.as_py()), rules.words), np.array(keys, dtype=np.int64), rules)))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["sid", "keys"])
+            paths = [
+                np.unique(longer_paths(shingles(expand.decompress(z), rules.words), np.array(keys, dtype=np.int64), rules))
+                for z, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.list_(pa.int64()))], names=["sid", "size", "keys"])
 
     return split
 
 
-def _buckets(each: DataFrame) -> DataFrame:
-    """``path, sid`` with the size ``m`` of buckets of two sets or more.
+def _buckets(tables: Tables, sets: DataFrame, level: int) -> DataFrame:
+    """``path, sid, size`` with the number ``m`` of sets and ``tokens`` of buckets of two sets or more, from each set's ``keys``.
 
     The sizes are a table of their own, so that the join has a shuffle on both sides and AQE can split a hot path.
     """
-    sizes = written(each.groupBy("path").agg(F.count("*").alias("m")).filter("m > 1"), "bucket-sizes")
-    return each.join(sizes, "path")
+    each = sets.select("sid", "size", F.explode("keys").alias("path"))
+    sizes = tables.written(each.groupBy("path").agg(F.count("*").alias("m"), F.sum("size").alias("tokens")).filter("m > 1"), f"bucket-sizes-{level}")
+    return tables.written(each.join(sizes, "path"), f"buckets-{level}")
 
 
-def _components(links: DataFrame) -> DataFrame:
+def _components(tables: Tables, links: DataFrame) -> DataFrame:
     """``sid`` and ``label`` (the least of its component) of all nodes of the edges ``sid - near``.
 
     Labels spread along edges and jump to the label of the label, so rounds grow with the logarithm of a component's length.
     """
     edges = links.filter("sid <> near").select("sid", "near").distinct()
-    edges = written(edges.unionByName(edges.select(F.col("near").alias("sid"), F.col("sid").alias("near"))).distinct(), "near-edges")
-    labels = written(edges.groupBy("sid").agg(F.min("near").alias("m")).select("sid", F.least("sid", "m").alias("label")), "labels")
+    edges = tables.written(edges.unionByName(edges.select(F.col("near").alias("sid"), F.col("sid").alias("near"))).distinct(), "near-edges")
+    labels = tables.written(edges.groupBy("sid").agg(F.min("near").alias("m")).select("sid", F.least("sid", "m").alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("sid").alias("near"), "label"), "near").groupBy("sid").agg(F.min("label").alias("m"))
         spread = labels.join(near, "sid").select("sid", F.least("label", "m").alias("next"), F.col("label").alias("was"))
         jump = labels.select(F.col("sid").alias("next"), F.col("label").alias("far"))
-        after = written(spread.join(jump, "next").select("sid", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("was")).alias("moved")), "labels")
+        after = tables.written(spread.join(jump, "next").select("sid", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("was")).alias("moved")), "labels")
         labels = after.select("sid", "label")
         if not after.filter("moved").limit(1).count():
             return labels
@@ -293,66 +411,79 @@ def near_duplicates(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFram
     ``copy_of`` and ``class_id``, and no link. Repeated rows are copies. Other columns are not read.
 
     Every run chooses tokens of each set by a shared hash; sets that chose the same token meet in its bucket, and large buckets
-    split by further tokens. Every pair of a final bucket is compared, first by sketch, then by the sets themselves; a pair that
-    meets in several is taken at the first. The links are exact; a pair at exactly the limit is found with probability ``rules.recall``, closer
-    ones more surely. Only copies' first texts take part. Pairs never become rows: a tile gives each of its texts a count and
-    the least text it hangs together with. A hot bucket is shared out over tiles of two blocks, so no task's work grows with it.
+    split by further tokens. Every pair of a final bucket is compared, first by size and sketch, then by the sets themselves; a pair
+    that meets in several is taken at the first. The links are exact; a pair at exactly the limit is found with probability
+    ``rules.recall``, closer ones more surely. Only copies' first texts take part; texts are dealt out by id once, compressed, and
+    only those of sets with a likely partner leave their place. Pairs never become rows: a tile gives each of its texts a count
+    and the least text it hangs together with. A hot bucket is shared out over tiles of two blocks, so no task's work grows with it.
     """
     return _classes(docs, rules).drop("sid")
 
 
 def _classes(docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """The rows of ``near_duplicates`` with the id of each row's set, null for a blank text."""
+    """The rows of ``near_duplicates`` with the id of each row's set, null for a blank text, as a table of its own."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    signed = written(rows.mapInArrow(_signatures(rules), "doc_id bigint, sid binary, keys array<bigint>"), "set-signatures")
-    real = signed.filter("sid is not null and doc_id is not null")
-    reps = written(real.groupBy("sid").agg(F.min("doc_id").alias("copy_of"), F.first("keys").alias("keys")), "sets")
-
-    each = reps.select("sid", F.explode("keys").alias("path"))
-    live = written(_buckets(each), "buckets")
-    members = live.select("sid").distinct().join(reps.select("sid", "copy_of"), "sid")
-    texts = rows.join(members.withColumnRenamed("copy_of", "doc_id"), "doc_id").select("text", "sid").mapInArrow(_matching_text(rules), "sid binary, sketch binary, text binary")
-    repeated = real.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    texts = written(texts.dropDuplicates(["sid"]) if repeated else texts, "set-texts")
-
-    final = [live.filter(F.col("m") <= rules.split)]
+    with Tables(spark) as tables:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+        signed = tables.bucketed(rows.mapInArrow(_signatures(rules), _SIGNED), "near_texts", "doc_id", "sid")
+        real = signed.filter("sid is not null and doc_id is not null")
+        reps = real.groupBy("sid").agg(F.min("doc_id").alias("copy_of"), *[F.first(c).alias(c) for c in ("size", "keys", "sketch")])
+        reps = tables.written(reps, "sets")
+        found = _found(tables, real, reps, rules)
+
+        counts = found.groupBy("sid").agg(F.sum("n_links").alias("n_links"))
+        labels = _components(tables, found)
+        least = labels.join(reps.select("sid", "copy_of"), "sid").groupBy("label").agg(F.min("copy_of").alias("class_id"))
+        known = reps.select("sid", "copy_of").join(labels.join(least, "label").select("sid", "class_id"), "sid", "left").join(counts, "sid", "left")
+        known = known.select("sid", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        # a table of its own, so that AQE can split a set with very many copies
+        known = tables.written(known, "set-classes")
+        told = real.select("doc_id", "sid").join(known, "sid").select("doc_id", "copy_of", "class_id", "n_links", "sid")
+        alone = signed.filter("sid is null or doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "sid")
+        return written(told.unionByName(alone), "near-classes")
+
+
+def _texts_of(real: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Compressed texts ``z`` of the sets of ``wanted`` (``sid, copy_of`` and more), found where they lie."""
+    found = real.select("doc_id", "sid", "z").join(wanted.withColumnRenamed("copy_of", "doc_id"), ["doc_id", "sid"])
+    return found.dropDuplicates(["doc_id", "sid"])  # repeated rows
+
+
+def _found(tables: Tables, real: DataFrame, reps: DataFrame, rules: JoinRules) -> DataFrame:
+    """``sid, near, n_links`` by tile: sets with links, the least set of the tile that they hang together with, and how many links."""
+    live = _buckets(tables, reps, 1)
+    leaves = live.filter(F.col("m") <= rules.split)
     for level in range(2, rules.depth + 1):
         large = live.filter(F.col("m") > rules.split)
         if not large.limit(1).count():
             break
-        again = large.groupBy("sid").agg(F.collect_list("path").alias("keys")).join(texts.select("sid", "text"), "sid").select("sid", "text", "keys")
-        # the longer paths are a table, as they are read twice and cost a shuffle of the texts
-        deeper = written(again.mapInArrow(_split(rules), "sid binary, keys array<bigint>"), f"paths-{level}")
-        each = deeper.select("sid", F.explode("keys").alias("path"))
-        live = written(_buckets(each), f"buckets-{level}")
-        final.append(live if level == rules.depth else live.filter(F.col("m") <= rules.split))
-    leaves = final[0]
-    for more in final[1:]:
-        leaves = leaves.unionByName(more)
-
-    keyed = leaves.groupBy("sid").agg(F.sort_array(F.collect_set("path")).alias("keys")).join(texts.select("sid", "sketch"), "sid")
-    blocks = F.when(F.col("m") <= rules.tile, F.lit(1)).otherwise(F.ceil(F.col("m") * 2 / F.lit(rules.tile))).cast("int")
+        again = large.groupBy("sid").agg(F.collect_list("path").alias("keys")).join(reps.select("sid", "copy_of", "size"), "sid")
+        deeper = _texts_of(real, again).select("sid", "size", "z", "keys").mapInArrow(_split(rules), "sid binary, size int, keys array<bigint>")
+        live = _buckets(tables, tables.written(deeper, f"paths-{level}"), level)
+        leaves = leaves.unionByName(live if level == rules.depth else live.filter(F.col("m") <= rules.split))
+
+    def per_block(n: str, most: int) -> Column:
+        return F.when(F.col(n) <= most, F.lit(1)).otherwise(F.ceil(F.col(n) * 2 / F.lit(most)))
+
+    blocks = F.greatest(per_block("m", rules.tile), per_block("tokens", rules.tile_tokens)).cast("int")
     placed = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    tiled = placed.select("path", "sid", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "path", "sid", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    keyed = leaves.groupBy("sid").agg(F.sort_array(F.collect_set("path")).alias("keys")).join(reps.select("sid", "sketch"), "sid")
+    tiled = placed.select("path", "sid", "size", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "path", "sid", "size", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
-    tile = F.unhex(F.concat(F.lpad(F.hex("path"), 16, "0"), F.lpad(F.hex("lo"), 8, "0"), F.lpad(F.hex("hi"), 8, "0"))).alias("tile")
-    filled = tiled.join(keyed, "sid").select(tile, "path", "lo", "hi", "block", "sid", "keys", "sketch")
-    worth = written(filled.groupBy("tile").applyInArrow(_worth_reading(rules), _TILE), "tiles")
-    found = worth.join(texts.select("sid", "text"), "sid").groupBy("tile").applyInArrow(_links(rules), "sid binary, near binary, n_links bigint")
-    found = written(found, "links")
-
-    counts = found.groupBy("sid").agg(F.sum("n_links").alias("n_links"))
-    labels = _components(found)
-    named = labels.join(reps.select("sid", "copy_of"), "sid")
-    least = named.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    known = reps.select("sid", "copy_of").join(labels.join(least, "label").select("sid", "class_id"), "sid", "left").join(counts, "sid", "left")
-    known = known.select("sid", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    told = real.select("doc_id", "sid").join(known, "sid").select("doc_id", "copy_of", "class_id", "n_links", "sid")
-    alone = signed.filter("sid is null or doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "sid")
-    return told.unionByName(alone)
+    n_rows = placed.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"]
+    # many small tiles are one group: a group of Arrow rows costs more than the pairs of a small tile
+    groups = max(1, math.ceil(n_rows / _GROUP_ROWS))
+    filled = tiled.join(keyed, "sid").select(F.pmod(F.xxhash64("path", "lo", "hi"), F.lit(groups)).alias("grp"), *_ROW)
+    worth = tables.written(filled.groupBy("grp").applyInArrow(_worth_reading(rules), _TILE), "tiles")
+
+    tokens = worth.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    groups = max(1, math.ceil(tokens / _GROUP_TOKENS))
+    wanted = worth.select("sid").distinct().join(reps.select("sid", "copy_of"), "sid")
+    texts = tables.written(_texts_of(real, wanted).select("sid", "z"), "set-texts")
+    again = worth.withColumn("grp", F.pmod(F.xxhash64("path", "lo", "hi"), F.lit(groups))).join(texts, "sid").select("grp", *_ROW, "z")
+    return tables.written(again.groupBy("grp").applyInArrow(_links(rules), "sid binary, near binary, n_links bigint"), "links")
 
 
 def _sets(rules: JoinRules):
@@ -370,7 +501,7 @@ def keep_first(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
 
     An id with several texts is taken text by text: one that is a copy of an earlier document goes, the others stay. Rows with a null id all stay.
     """
-    classes = written(_classes(docs, rules), "near-classes")
+    classes = _classes(docs, rules)
     gone = classes.filter("doc_id <> class_id").select("doc_id", "sid").distinct()
     twice = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not twice.limit(1).count():
