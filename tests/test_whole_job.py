@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tendermill import registry
 from tendermill.functions import text
-from tendermill.llm import jaccard_join
 from tendermill.operators import search
 from tendermill.plans import checks
 from tendermill.plans import functions as plans
@@ -70,15 +69,6 @@ def test_exclusions_follow_the_rules_of_all_customers(spark):
     assert got == {k % 10 for k in keys}
 
 
-@pytest.mark.parametrize("nulls", [1, 2])
-def test_an_id_with_two_texts_loses_only_the_copy(spark, nulls):
-    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
-    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (8, b), (9, None), (9, None), (9, "")] + [(None, a)] * nulls
-    got = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
-    want = [(1, a), (5, b), (7, c), (9, None), (9, "")] + [(None, a)] * nulls
-    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
-
-
 def test_all_parts_are_checked(spark, wide, monkeypatch):
     seen, whole = [], checks.validation.check_categorical
     monkeypatch.setattr(checks.validation, "check_categorical", lambda p: seen.append(p) or whole(p))
