@@ -14,15 +14,30 @@ from ..operators.tables import insert_if_absent
 from ..runtime import ship
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def ingest_stream(source: DataFrame, table: str, checkpoint: str, key: tuple[str, ...] = ("fonte", "id_externo"), order: tuple[str, ...] = ("id",)) -> StreamingQuery:
-    """Appends each new key of a stream to the Parquet folder ``table`` once. A batch is written under its own number, so a repeated batch replaces itself."""
+    """Appends each new key of a stream to the Parquet folder ``table`` once, whoever wrote what is in it.
+
+    A batch is written under the stream's own id, which lies in its checkpoint, and the batch's number: a repeated batch replaces itself
+    and nothing else, so streams with other checkpoints, and files that were there before, are left alone. Of the table a batch reads
+    its key columns, without the batch's own files.
+    """
     spark = source.sparkSession
+    own: list[str] = []
 
     def write(batch: DataFrame, n: int) -> None:
-        known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(table) if n else spark.createDataFrame([], batch.schema)
-        earlier = known.filter(~F.contains(F.input_file_name(), F.lit(f"/lote={n}/"))) if n else known
-        fresh = insert_if_absent(earlier.limit(0), batch, list(order), key).join(earlier.select(*key), list(key), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/lote={n}")
+        if not own:
+            own.append(spark.read.json(f"{checkpoint}/metadata").first()["id"])
+        place = f"fluxo={own[0]}/lote={n}"
+        fresh = insert_if_absent(batch.limit(0), batch, list(order), key)
+        if _exists(spark, table):
+            known = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(table)
+            fresh = fresh.join(known.filter(~F.contains("_metadata.file_path", F.lit(f"/{place}/"))).select(*key), list(key), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{table}/{place}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -111,9 +126,19 @@ def last_interaction(events: DataFrame) -> DataFrame:
 
 
 def resumable_recompute(source: DataFrame, match: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """A full recompute in checkpointed batches of files: a stopped run goes on where it was, a finished one has nothing to do."""
+    """A full recompute in checkpointed batches of files: a stopped run goes on where it was, a finished one has nothing to do.
+
+    ``stop()`` of what is returned cancels it between batches; ``recompute_progress`` tells how far it is.
+    """
     return match_stream(source, match, out, checkpoint)
 
 
+def recompute_progress(spark: SparkSession, out: str) -> DataFrame:
+    """``lote`` and ``n`` (rows) of the batches that are done."""
+    if not _exists(spark, out):
+        return spark.createDataFrame([], "lote int, n long")
+    return spark.read.parquet(out).groupBy(F.col("lote").cast("int").alias("lote")).agg(F.count("*").alias("n"))
+
+
 def read_files(spark: SparkSession, path: str, schema, per_batch: int = 2) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
