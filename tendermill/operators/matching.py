@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cosine, rounded
 from ..functions.text import clip, digits, normalize, product_text, token_set_ratio
 from .filters import MATCH_KEY, engaged
+from .tables import latest_confirmation
 
 ITEM_KEY = ["usuario_id", "edital_id", "numero"]
 Scorer = Callable[[DataFrame], DataFrame]
@@ -60,8 +61,8 @@ def vector_scorer(item_vectors: DataFrame, product_vectors: DataFrame) -> Scorer
 
 
 def score_pairs(pairs: DataFrame, scorer: Scorer = text_scorer, name: str = "texto", known: DataFrame | None = None) -> DataFrame:
-    """Scores of distinct text pairs (``texto_item, texto_produto``), by hash; pairs that ``known`` has are not scored again."""
-    distinct = pairs.select("texto_item", "texto_produto").distinct().withColumns({"item_hash": F.xxhash64("texto_item"), "prod_hash": F.xxhash64("texto_produto")})
+    """Scores of distinct text pairs (``texto_item, texto_produto``), by 128-bit hashes; pairs that ``known`` has are not scored again."""
+    distinct = pairs.select("texto_item", "texto_produto").distinct().withColumns({"item_hash": F.md5("texto_item"), "prod_hash": F.md5("texto_produto")})
     if known is not None:
         distinct = distinct.join(known.filter(F.col("scorer") == name), ["item_hash", "prod_hash"], "left_anti")
     return scorer(distinct).select("item_hash", "prod_hash", F.lit(name).alias("scorer"), "score")
@@ -76,6 +77,14 @@ def code_index(produtos: DataFrame) -> DataFrame:
 
 def code_winners(items: DataFrame, index: DataFrame, scores: DataFrame, floor: float = 0.5) -> DataFrame:
     """Items (``ITEM_KEY``, ``ncm, catalogo_codigo``) won by a code whose product's own score reaches the floor: ncm, then catmat, then catser."""
+    asked = code_probes(items)
+    found = asked.join(index, ["usuario_id", "tipo", "codigo"]).join(scores, [*ITEM_KEY, "produto_id"]).filter(F.col("score") >= floor)
+    best = found.groupBy(*ITEM_KEY).agg(F.min(F.struct("ordem", "produto_id", "tipo", "codigo")).alias("b"))
+    return best.select(*ITEM_KEY, "b.produto_id", F.concat(F.lit("código "), F.upper("b.tipo"), F.lit(" "), F.col("b.codigo")).alias("motivo"))
+
+
+def code_probes(items: DataFrame) -> DataFrame:
+    """``ordem, tipo, codigo`` of each code of the items, ncm first; other columns stay."""
     probes = F.explode(
         F.array(
             *[
@@ -84,10 +93,7 @@ def code_winners(items: DataFrame, index: DataFrame, scores: DataFrame, floor: f
             ]
         )
     )
-    asked = items.select(*ITEM_KEY, probes.alias("p")).select(*ITEM_KEY, "p.*").filter("codigo <> ''")
-    found = asked.join(index, ["usuario_id", "tipo", "codigo"]).join(scores, [*ITEM_KEY, "produto_id"]).filter(F.col("score") >= floor)
-    best = found.groupBy(*ITEM_KEY).agg(F.min(F.struct("ordem", "produto_id", "tipo", "codigo")).alias("b"))
-    return best.select(*ITEM_KEY, "b.produto_id", F.concat(F.lit("código "), F.upper("b.tipo"), F.lit(" "), F.col("b.codigo")).alias("motivo"))
+    return items.select("*", probes.alias("p")).select(*items.columns, "p.*").filter("codigo <> ''")
 
 
 def best_by_score(scores: DataFrame) -> DataFrame:
@@ -128,6 +134,30 @@ def candidates(scores: DataFrame, winners: DataFrame, p: MatchParams = MatchPara
     return top.groupBy(*ITEM_KEY).agg(F.sort_array(F.collect_list(F.struct("posicao", "produto_id", rounded("score", 3).alias("score")))).alias("candidatos"))
 
 
+def chosen(scores: DataFrame, by_code: DataFrame | None = None, p: MatchParams = MatchParams(), key: list[str] = ITEM_KEY) -> DataFrame:
+    """``produto_id, score, motivo, por_codigo, segundo, candidatos`` of each item: MAT-06 to MAT-09 in one window.
+
+    Rows are ranked once by item: a code's winner first, then by score and id. Only the first few of each item leave their task, so
+    neither a large catalog nor a hot item is gathered.
+    """
+    rows = scores.withColumns({"__first": F.lit(False), "__m": F.lit("semelhança")})
+    if by_code is not None:
+        c = by_code.select(*key, F.col("produto_id").alias("__c"), F.col("motivo").alias("__why"))
+        won = F.coalesce(F.col("produto_id") == F.col("__c"), F.lit(False))
+        rows = scores.join(c, key, "left").withColumns({"__first": won, "__m": F.when(won, F.col("__why")).otherwise("semelhança")})
+    order = Window.partitionBy(*key).orderBy(F.desc("__first"), F.desc("score"), "produto_id")
+    top = rows.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= max(2, p.candidates))
+    top = top.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("posicao", "produto_id", "score", "__first", "__m"))).alias("t"))
+    first = F.get("t", F.lit(0))
+    score = F.when(first["__first"], F.lit(1.0)).otherwise(first["score"])
+    listed = F.filter(F.slice("t", 1, p.candidates), lambda x: (x["posicao"] == 1) | (x["score"] >= p.suggest))
+    shown = F.transform(listed, lambda x: F.struct(x["posicao"].alias("posicao"), x["produto_id"].alias("produto_id"), rounded(F.when(x["__first"], F.lit(1.0)).otherwise(x["score"]), 3).alias("score")))
+    return top.filter(first["__first"] | (first["score"] > 0)).select(
+        *key, first["produto_id"].alias("produto_id"), score.alias("score"), first["__m"].alias("motivo"), first["__first"].alias("por_codigo"),
+        F.greatest(F.coalesce(F.get("t", F.lit(1))["score"], F.lit(0.0)), F.lit(0.0)).alias("segundo"), shown.alias("candidatos"),
+    )
+
+
 def detail_rows(winners: DataFrame, items: DataFrame) -> DataFrame:
     """Detail of each listed item, with its place in the notice."""
     rows = winners.join(items.select("edital_id", "numero", "descricao"), ["edital_id", "numero"], "left")
@@ -153,8 +183,10 @@ def rollup(item_scores: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
 def merge_confirmations(item_scores: DataFrame, confirmed: DataFrame, produtos: DataFrame) -> DataFrame:
     """Item scores where items confirmed by hand (``ITEM_KEY, produto_id``) count 1, if their product is still in the catalog.
 
-    An item confirmed as "none of these" counts 0: a rejection must not lift a notice (a deliberate difference).
+    An item confirmed as "none of these" counts 0: a rejection must not lift a notice (a deliberate difference). Of several
+    confirmations of an item the latest holds, by ``em`` if there is such a column.
     """
+    confirmed = latest_confirmation(confirmed)
     known = produtos.select("usuario_id", F.col("id").alias("produto_id"), F.lit(True).alias("__k"))
     kept = confirmed.join(known, ["usuario_id", "produto_id"], "left").filter("produto_id is null or __k").select(*ITEM_KEY, F.when(F.col("produto_id").isNull(), F.lit(0.0)).otherwise(F.lit(1.0)).alias("__s"))
     both = item_scores.join(kept, ITEM_KEY, "full_outer")
@@ -166,15 +198,19 @@ def incremental_scope(scope: DataFrame, matches: DataFrame, full: bool = False)
 
 
 def lifecycle(old: DataFrame, match_itens: DataFrame, fresh: DataFrame, excluded: DataFrame, full: bool) -> DataFrame:
-    """``acao`` (manter, apagar, atualizar, criar, ignorar) and ``novo_forte`` for each match that is old, fresh or both."""
+    """``acao`` (manter, apagar, atualizar, criar, ignorar) and ``novo_forte`` for each match that is old, fresh or both.
+
+    Exclusion comes first: in a full run an old match that is excluded goes, scored afresh or not.
+    """
     o = engaged(old, match_itens).select(*MATCH_KEY, "engajado", F.lit(True).alias("__o"))
     f = fresh.select(*MATCH_KEY, F.col("nivel").alias("nivel_novo"), F.col("score").alias("score_novo"))
     x = excluded.select(*MATCH_KEY).distinct().withColumn("__x", F.lit(True))
     both = o.join(f, MATCH_KEY, "full_outer").join(x, MATCH_KEY, "left")
     existing, dropped = F.col("__o").isNotNull(), F.col("__x").isNotNull()
     action = (
-        F.when(existing & (F.lit(not full) | F.col("nivel_novo").isNull()), "manter")
+        F.when(existing & F.lit(not full), "manter")
         .when(dropped, F.when(existing, "apagar").otherwise("ignorar"))
+        .when(existing & F.col("nivel_novo").isNull(), "manter")
         .when((F.col("nivel_novo") == "fraco") & existing & F.col("engajado"), "atualizar")
         .when(F.col("nivel_novo") == "fraco", F.when(existing, "apagar").otherwise("ignorar"))
         .otherwise(F.when(existing, "atualizar").otherwise("criar"))
@@ -183,17 +219,75 @@ def lifecycle(old: DataFrame, match_itens: DataFrame, fresh: DataFrame, excluded
     return out.withColumn("novo_forte", (F.col("acao") == "criar") & (F.col("nivel_novo") == "forte") & F.lit(not full)).drop("__o", "__x")
 
 
-def catalog_scores(scope: DataFrame, items: DataFrame, produtos: DataFrame, scorer: Scorer = text_scorer) -> DataFrame:
-    """``ITEM_KEY, produto_id, score`` of every item in scope with every product of its tenant.
+def overlap_scorer(pairs: DataFrame) -> DataFrame:
+    """``score`` of (``texto_item, texto_produto``): words that both normalized texts have, of all their words. Columns only."""
+
+    def words(c: str) -> Column:
+        return F.array_distinct(F.array_remove(F.split(normalize(F.col(c)), " "), ""))
+
+    w = pairs.withColumns({"__i": words("texto_item"), "__p": words("texto_produto")})
+    all_words = F.size(F.array_union("__i", "__p"))
+    return w.withColumn("score", F.when(all_words > 0, F.size(F.array_intersect("__i", "__p")) / all_words).otherwise(0.0)).drop("__i", "__p")
+
 
-    Items and products become distinct texts before they are paired, and every distinct pair is scored once.
+def text_scores(texts: DataFrame, produtos: DataFrame, scorer: Scorer = text_scorer) -> DataFrame:
+    """``usuario_id, texto, produto_id, score`` of every distinct text (``usuario_id, texto``) with every product of its tenant.
+
+    Every distinct pair of texts is scored once, whatever tenants and products have it.
     """
     cat = produtos.select("usuario_id", F.col("id").alias("produto_id"), product_text(F.col("descricao"), F.lit(None).cast("string")).alias("texto_produto"))
-    asked = scope.join(items.select("edital_id", "numero", F.col("texto").alias("texto_item")), "edital_id")
-    by_text = asked.select("usuario_id", "texto_item").distinct().join(cat.select("usuario_id", "texto_produto").distinct(), "usuario_id")
-    scored = score_pairs(by_text, scorer).drop("scorer")
-    hashed = asked.withColumn("item_hash", F.xxhash64("texto_item")).join(cat.withColumn("prod_hash", F.xxhash64("texto_produto")), "usuario_id")
-    return hashed.join(scored, ["item_hash", "prod_hash"]).select(*ITEM_KEY, "produto_id", "score")
+    asked = texts.select("usuario_id", F.col("texto").alias("texto_item")).distinct()
+    by_text = asked.join(cat.select("usuario_id", "texto_produto").distinct(), "usuario_id")
+    scored = scorer(by_text.select("texto_item", "texto_produto").distinct()).select("texto_item", "texto_produto", "score")
+    pairs = by_text.join(scored, ["texto_item", "texto_produto"]).join(cat, ["usuario_id", "texto_produto"])
+    return pairs.select("usuario_id", F.col("texto_item").alias("texto"), "produto_id", "score")
+
+
+def catalog_scores(scope: DataFrame, items: DataFrame, produtos: DataFrame, scorer: Scorer = text_scorer) -> DataFrame:
+    """``ITEM_KEY, produto_id, score`` of every item in scope with every product of its tenant."""
+    asked = scope.join(items.select("edital_id", "numero", "texto"), "edital_id")
+    return asked.join(text_scores(asked, produtos, scorer), ["usuario_id", "texto"]).select(*ITEM_KEY, "produto_id", "score")
+
+
+def match_items(scope: DataFrame, items: DataFrame, produtos: DataFrame, scorer: Scorer = text_scorer, index: DataFrame | None = None, p: MatchParams = MatchParams()) -> DataFrame:
+    """``ITEM_KEY, texto`` of every item in scope with what ``chosen`` finds for it, null where no product has a positive score.
+
+    Without codes the choice depends on the text alone, so products are ranked for each distinct text of a tenant and never for each
+    item. Items that a code names (``index``; ``items`` then have ``ncm`` and ``catalogo_codigo``) are few products each.
+    """
+    asked = scope.join(items, "edital_id")
+    scores = text_scores(asked, produtos, scorer)
+    found = asked.join(chosen(scores, p=p, key=["usuario_id", "texto"]), ["usuario_id", "texto"], "left")
+    columns = [*ITEM_KEY, "texto", "produto_id", "score", "motivo", "por_codigo", "segundo", "candidatos"]
+    if index is None:
+        return found.select(columns)
+    named = code_probes(asked).join(index, ["usuario_id", "tipo", "codigo"]).select("usuario_id", "texto", "produto_id").distinct()
+    own = asked.select(*ITEM_KEY, "texto").join(scores.join(named, ["usuario_id", "texto", "produto_id"], "left_semi"), ["usuario_id", "texto"])
+    by_code = code_winners(asked, index, own.select(*ITEM_KEY, "produto_id", "score"), p.code_floor)
+    # the coded items are ranked anew, with the code's winner first, among the products that were ranked for their text
+    coded = asked.select(*ITEM_KEY, "texto").join(by_code.select(*ITEM_KEY), ITEM_KEY, "left_semi").join(scores, ["usuario_id", "texto"])
+    again = asked.select(*ITEM_KEY, "texto").join(chosen(coded.select(*ITEM_KEY, "produto_id", "score"), by_code, p), ITEM_KEY)
+    return found.join(by_code, ITEM_KEY, "left_anti").select(columns).unionByName(again.select(columns))
+
+
+def full_matching(
+    editais: DataFrame, itens: DataFrame, produtos: DataFrame, scope: DataFrame, excluded: DataFrame, old: DataFrame, match_itens: DataFrame, confirmed: DataFrame,
+    scorer: Scorer = text_scorer, index: DataFrame | None = None, full: bool = True, p: MatchParams = MatchParams(),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run of matching for all tenants, from texts to what becomes of each match: rolled scores, actions, and the detail of listed items.
+
+    ``scope`` (``usuario_id, edital_id``) are the open notices and those that a tenant follows (``matching_scope``). Excluded ones leave
+    it before anything is scored, and an incremental run leaves out what has a match. Every item counts, at 0 without a product;
+    confirmations by hand come before scores.
+    """
+    asked = incremental_scope(scope.join(excluded.select(*MATCH_KEY), MATCH_KEY, "left_anti"), old, full)
+    items = targets(editais, itens).join(asked.select("edital_id").distinct(), "edital_id", "left_semi")
+    best = match_items(asked, items, active_catalog(produtos), scorer, index, p)
+    scores = best.select(*ITEM_KEY, F.coalesce("score", F.lit(0.0)).alias("score"))
+    rolled = rollup(merge_confirmations(scores, confirmed.join(asked, MATCH_KEY, "left_semi"), produtos), p)
+    actions = lifecycle(old, match_itens, rolled, excluded, full)
+    detail = detail_rows(confidence(best.filter("produto_id is not null").drop("texto"), p), itens)
+    return rolled, actions, detail
 
 
 def run_matching(item_scores: DataFrame, editais: DataFrame, excluded: DataFrame, old: DataFrame, match_itens: DataFrame, as_of: dt.date, full: bool = True, p: MatchParams = MatchParams()) -> DataFrame:

@@ -113,21 +113,30 @@ def outbox(alerts: DataFrame, kind: str, channel: str) -> DataFrame:
     return alerts.groupBy("usuario_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("edital_id")), ",").alias("editais")).withColumns({"tipo": F.lit(kind), "canal": F.lit(channel)})
 
 
+def latest_confirmation(confirmations: DataFrame) -> DataFrame:
+    """One confirmation of each item: the latest by ``em``, where there is such a column; ties go to the largest product, "none of these" last."""
+    order = [F.col(c) for c in ("em", "produto_id") if c in confirmations.columns]
+    best = confirmations.groupBy(*MATCH_KEY, "numero").agg(F.max(F.struct(*order)).alias("__b"))
+    return best.select(*MATCH_KEY, "numero", F.col("__b.produto_id").alias("produto_id"))
+
+
 def confirm_items(matches: DataFrame, match_itens: DataFrame, confirmations: DataFrame, itens: DataFrame, produtos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matches, their items and rejects after confirmations by hand (``usuario_id, edital_id, numero, produto_id``).
 
-    A null product is "none of these". Unknown items and products of another tenant are rejected. A missing match is made
-    with score 0 and ``medio``; a missing item is appended.
+    A null product is "none of these". Unknown items and products of another tenant are rejected; of what is left the latest confirmation
+    of an item holds (``latest_confirmation``). A missing match is made with score 0 and ``medio``; a missing item is appended. A
+    confirmed item scores 1, and 0 if it is none of the catalog's.
     """
     item_key = [*MATCH_KEY, "numero"]
     known_item = itens.select("edital_id", "numero").withColumn("__i", F.lit(True))
     known_product = produtos.select("usuario_id", F.col("id").alias("produto_id")).withColumn("__p", F.lit(True))
     checked = confirmations.join(known_item, ["edital_id", "numero"], "left").join(known_product, ["usuario_id", "produto_id"], "left")
     fine = F.col("__i").isNotNull() & (F.col("produto_id").isNull() | F.col("__p").isNotNull())
-    good = checked.filter(fine).select(*item_key, F.col("produto_id").alias("novo_produto"))
+    good = latest_confirmation(checked.filter(fine)).withColumnRenamed("produto_id", "novo_produto")
     both = match_itens.join(good.withColumn("__c", F.lit(True)), item_key, "full_outer")
     new_items = both.select(
-        *item_key, F.when(F.col("__c"), F.col("novo_produto")).otherwise(F.col("produto_id")).alias("produto_id"), "score_item", "confianca",
+        *item_key, F.when(F.col("__c"), F.col("novo_produto")).otherwise(F.col("produto_id")).alias("produto_id"),
+        F.when(F.col("__c"), F.col("novo_produto").isNotNull().cast("double")).otherwise(F.col("score_item")).alias("score_item"), "confianca",
         F.coalesce(F.col("__c"), F.col("confirmado_manualmente"), F.lit(False)).alias("confirmado_manualmente"),
     )
     made = good.select(*MATCH_KEY).distinct().join(matches.select(*MATCH_KEY), MATCH_KEY, "left_anti").withColumns({"score": F.lit(0.0), "nivel": F.lit("medio")})

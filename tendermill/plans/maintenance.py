@@ -141,7 +141,7 @@ def _confirmed(t: Tables):
     return tables.confirm_items(t.matches.filter("edital_id % 2 = 0"), t.match_itens.filter("edital_id % 2 = 0"), c, t.itens, t.produtos)
 
 
-@R.add("snk_17_confirm_items", f"with {_OK}, m as (select * from match_itens where edital_id % 2 = 0) select coalesce(m.usuario_id, ok.usuario_id) as usuario_id, coalesce(m.edital_id, ok.edital_id) as edital_id, coalesce(m.numero, ok.numero) as numero, case when ok.usuario_id is not null then ok.produto_id else m.produto_id end as produto_id, m.score_item, (ok.usuario_id is not null or m.confirmado_manualmente) as confirmado_manualmente from m full outer join ok on ok.usuario_id = m.usuario_id and ok.edital_id = m.edital_id and ok.numero = m.numero")
+@R.add("snk_17_confirm_items", f"with {_OK}, m as (select * from match_itens where edital_id % 2 = 0) select coalesce(m.usuario_id, ok.usuario_id) as usuario_id, coalesce(m.edital_id, ok.edital_id) as edital_id, coalesce(m.numero, ok.numero) as numero, case when ok.usuario_id is not null then ok.produto_id else m.produto_id end as produto_id, case when ok.usuario_id is not null then case when ok.produto_id is null then 0.0 else 1.0 end else m.score_item end as score_item, (ok.usuario_id is not null or m.confirmado_manualmente) as confirmado_manualmente from m full outer join ok on ok.usuario_id = m.usuario_id and ok.edital_id = m.edital_id and ok.numero = m.numero")
 def _(t: Tables):
     return _confirmed(t)[1].drop("confianca")
 

@@ -211,28 +211,27 @@ _SECOND = "second as (select b.*, greatest(coalesce((max(c.score) filter (c.prod
 @R.add("mat_07_second_best", f"with {_CAND}, {_BEST}, {_SECOND} select * from second")
 def _(t: Tables):
     c = _cand(t)
-    return matching.second_best(c, matching.winners_of(c)).select("usuario_id", "edital_id", "numero", "produto_id", "score", "segundo")
+    return matching.chosen(c).select("usuario_id", "edital_id", "numero", "produto_id", "score", "segundo")
 
 
 @R.add("mat_08_confidence", f"with {_CAND}, {_BEST}, {_SECOND} select usuario_id, edital_id, numero, case when score >= 0.85 and score - segundo >= 0.02 then 'alta' else 'media' end as confianca from second where score >= 0.3")
 def _(t: Tables):
     c = _cand(t)
-    return matching.confidence(matching.second_best(c, matching.winners_of(c))).select("usuario_id", "edital_id", "numero", "confianca")
+    return matching.confidence(matching.chosen(c)).select("usuario_id", "edital_id", "numero", "confianca")
 
 
 @R.add("mat_09_candidates", f"""with {_CAND}, {_BEST}, o as (select c.*, row_number() over (partition by c.usuario_id, c.edital_id, c.numero order by c.produto_id <> b.produto_id, c.score desc, c.produto_id) as k from cand c join best b on b.usuario_id = c.usuario_id and b.edital_id = c.edital_id and b.numero = c.numero where c.score >= 0.3 or c.produto_id = b.produto_id)
 select usuario_id, edital_id, numero, string_agg(produto_id, ',' order by k) as produtos from o where k <= 3 group by all""")
 def _(t: Tables):
     c = _cand(t)
-    rows = matching.candidates(c, matching.winners_of(c))
-    return rows.select("usuario_id", "edital_id", "numero", F.array_join(F.transform("candidatos", lambda x: x["produto_id"].cast("string")), ",").alias("produtos"))
+    return matching.chosen(c).select("usuario_id", "edital_id", "numero", F.array_join(F.transform("candidatos", lambda x: x["produto_id"].cast("string")), ",").alias("produtos"))
 
 
 @R.add("mat_10_detail", f"""with {_CAND}, {_BEST} select b.usuario_id, b.edital_id, b.numero, substr(i.descricao, 1, 160) as descricao_item, b.produto_id, round(b.score, 3) as score_item,
 row_number() over (partition by b.usuario_id, b.edital_id order by round(b.score, 3) desc, b.numero) as posicao from best b join itens i on i.edital_id = b.edital_id and i.numero = b.numero where b.score >= 0.3""")
 def _(t: Tables):
     c = _cand(t)
-    rows = matching.detail_rows(matching.confidence(matching.second_best(c, matching.winners_of(c))), t.itens)
+    rows = matching.detail_rows(matching.confidence(matching.chosen(c)), t.itens)
     return rows.select("usuario_id", "edital_id", "numero", "descricao_item", "produto_id", "score_item", "posicao")
 
 
@@ -268,7 +267,7 @@ def _(t: Tables):
 _EXCL = "excl as (select distinct u.usuario_id, u.edital_id from item_scores u where u.edital_id % 11 = 0)"
 _LIFE = f"""{_MERGED}, {_ROLL.replace('SOURCE', 'merged')}, {_EXCL}, old as (select m.*, (m.status <> 'novo' or m.lido or m.interessante or c.n is not null) as engajado from matches m left join (select usuario_id, edital_id, count(*) as n from match_itens where confirmado_manualmente group by all) c using (usuario_id, edital_id) where m.edital_id % 2 = 0),
 life as (select coalesce(o.usuario_id, l.usuario_id) as usuario_id, coalesce(o.edital_id, l.edital_id) as edital_id, l.score as score_novo, l.nivel as nivel_novo,
-case when o.usuario_id is not null and l.usuario_id is null then 'manter' when x.usuario_id is not null then case when o.usuario_id is not null then 'apagar' else 'ignorar' end
+case when x.usuario_id is not null then case when o.usuario_id is not null then 'apagar' else 'ignorar' end when o.usuario_id is not null and l.usuario_id is null then 'manter'
 when l.nivel = 'fraco' and o.engajado then 'atualizar' when l.nivel = 'fraco' then case when o.usuario_id is not null then 'apagar' else 'ignorar' end when o.usuario_id is not null then 'atualizar' else 'criar' end as acao
 from old o full outer join lev l on o.usuario_id = l.usuario_id and o.edital_id = l.edital_id left join excl x on x.usuario_id = coalesce(o.usuario_id, l.usuario_id) and x.edital_id = coalesce(o.edital_id, l.edital_id))"""
 
@@ -302,4 +301,37 @@ def _(t: Tables):
     return rows.select("usuario_id", "edital_id", "score", "nivel", "itens_compativeis", "acao", "orgao", "uf", "valor_estimado")
 
 
+_PLAIN = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_WORDS = f"list_distinct(list_filter(string_split({_PLAIN}, ' '), lambda x: x <> ''))"
+#: Of the old matches every tenth notice is there, so that some of the scope is new and some of it is followed.
+_FULL = f"""with {_INDEX}, old as (select m.*, (m.status <> 'novo' or m.lido or m.interessante or c.n is not null) as engajado from matches m left join (select usuario_id, edital_id, count(*) as n from match_itens where confirmado_manualmente group by all) c using (usuario_id, edital_id) where m.edital_id % 10 = 0),
+excl as (select distinct usuario_id, edital_id from item_scores where edital_id % 11 = 0),
+scope as (select * from (select u.id as usuario_id, e.id as edital_id from usuarios u, editais e where e.data_encerramento is null or e.data_encerramento >= {_D} union select usuario_id, edital_id from old where status in ('vou_participar', 'proposta_enviada', 'ganho')) where (usuario_id, edital_id) not in (select usuario_id, edital_id from excl)),
+i as (select s.usuario_id, s.edital_id, i.numero, i.produto_ref, coalesce(nullif(trim(i.descricao), ''), e.objeto) as texto from scope s join editais e on e.id = s.edital_id left join itens i on i.edital_id = s.edital_id),
+t as (select texto, {_WORDS.format('texto')} as w from (select distinct texto from i)), pw as (select id, usuario_id, {_WORDS.format('descricao')} as w from produtos where ativo),
+s as (select d.usuario_id, d.texto, pw.id as produto_id, len(list_intersect(t.w, pw.w))::double / len(list_distinct(list_concat(t.w, pw.w))) as score from (select distinct usuario_id, texto from i) d join t using (texto) join pw using (usuario_id)),
+pr as (select *, 0 as ordem, 'ncm' as tipo, cast(produto_ref % 97 as varchar(20)) as codigo from i union all select *, 1, 'catmat', cast(produto_ref % 53 as varchar(20)) from i union all select *, 2, 'catser', cast(produto_ref % 53 as varchar(20)) from i),
+code as (select usuario_id, edital_id, numero, produto_id from (select pr.*, x.produto_id, row_number() over (partition by pr.usuario_id, edital_id, numero order by ordem, x.produto_id) as k from pr join idx x on x.usuario_id = pr.usuario_id and x.tipo = pr.tipo and x.codigo = pr.codigo join s on s.usuario_id = pr.usuario_id and s.texto = pr.texto and s.produto_id = x.produto_id where s.score >= 0.5) where k = 1),
+best as (select usuario_id, texto, max(score) as score from s group by all),
+scored as (select i.usuario_id, i.edital_id, i.numero, case when c.usuario_id is not null then 1.0 else coalesce(b.score, 0) end as score from i left join best b on b.usuario_id = i.usuario_id and b.texto = i.texto left join code c on c.usuario_id = i.usuario_id and c.edital_id = i.edital_id and c.numero = i.numero),
+conf as (select usuario_id, edital_id, numero, case when produto_ref % 7 = 0 then null else produto_ref end as produto_id from item_scores where confirmado),
+merged as (select s.usuario_id, s.edital_id, s.numero, case when c.usuario_id is null then s.score when c.produto_id is null then 0.0 when p.id is null then s.score else 1.0 end as score from scored s left join conf c on c.usuario_id = s.usuario_id and c.edital_id = s.edital_id and c.numero = s.numero left join produtos p on p.id = c.produto_id and p.usuario_id = c.usuario_id),
+{_ROLL.replace('SOURCE', 'merged')}"""
+
+
+@R.add("mat_16_full_matching", f"""{_FULL} select coalesce(o.usuario_id, l.usuario_id) as usuario_id, coalesce(o.edital_id, l.edital_id) as edital_id, l.score as score_novo, l.nivel as nivel_novo,
+case when x.usuario_id is not null then case when o.usuario_id is not null then 'apagar' else 'ignorar' end when o.usuario_id is not null and l.usuario_id is null then 'manter'
+when l.nivel = 'fraco' and o.engajado then 'atualizar' when l.nivel = 'fraco' then case when o.usuario_id is not null then 'apagar' else 'ignorar' end when o.usuario_id is not null then 'atualizar' else 'criar' end as acao
+from old o full outer join lev l on o.usuario_id = l.usuario_id and o.edital_id = l.edital_id left join excl x on x.usuario_id = coalesce(o.usuario_id, l.usuario_id) and x.edital_id = coalesce(o.edital_id, l.edital_id)""")
+def _(t: Tables):
+    old = t.matches.filter("edital_id % 10 = 0")
+    scores = t.item_scores
+    excl = scores.filter("edital_id % 11 = 0").select("usuario_id", "edital_id").distinct()
+    conf = scores.filter("confirmado").select("usuario_id", "edital_id", "numero", F.when(F.col("produto_ref") % 7 != 0, F.col("produto_ref")).alias("produto_id"))
+    itens = t.itens.withColumns({"ncm": (F.col("produto_ref") % 97).cast("string"), "catalogo_codigo": (F.col("produto_ref") % 53).cast("string")})
+    scope = filters.matching_scope(t.editais, t.usuarios, old, AS_OF)
+    _, actions, _ = matching.full_matching(t.editais, itens, t.produtos, scope, excl, old, t.match_itens, conf, matching.overlap_scorer, matching.code_index(_coded(t)))
+    return actions.select("usuario_id", "edital_id", "score_novo", "nivel_novo", "acao")
+
+
 QUERIES, ORACLES = R.queries, R.oracles
