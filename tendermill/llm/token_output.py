@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +22,10 @@ from .common import without
 BLOCK_IDS = 65_536
 #: A chunk is closed when it holds so many ids; one document is never split between chunks.
 CHUNK_IDS = 524_288
-#: Pieces of text whose ids a worker remembers; a full memory becomes the old one, and the old one goes.
-CACHE_PIECES = 300_000
+#: Bytes of text that a task encodes at a time, or one text.
+ENCODE_BYTES = 8_000_000
+#: Parts of texts whose ids a worker remembers before it forgets all of them (about 150 bytes each).
+CACHE_PARTS = 600_000
 
 CHUNK_SCHEMA = "part int, chunk int, start_in_part bigint, n_ids bigint, doc_ids array<bigint>, doc_lens array<bigint>, block_bytes array<int>, payload binary"
 
@@ -71,60 +72,88 @@ def unpack_block(block: bytes) -> np.ndarray:
     return out
 
 
+#: White space that a byte-level tokenizer knows, but for the space and the line feed.
+_OTHER_SPACE = r"\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: What keeps a text in one piece: white space other than single spaces and up to two line feeds between visible characters; special tokens.
+_WHOLE = rf"^[ \n]|[ \n]$|  | \n|\n |\n\n\n|<\||[{_OTHER_SPACE}]"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Text that the split below covers; other pieces go through the library whole.
-_KNOWN = re.compile(rf"[ \n!-~{_LETTER}]*")
-#: How a byte-level tokenizer splits such text before it merges: contractions, letters, digits, other marks, white space.
-_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s")
+#: Pieces of these signs alone are cut further, as a byte-level tokenizer does: contractions, letters, digits, other marks.
+_PLAIN = rf"^[ !-~{_LETTER}]+$"
+_PARTS = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^ 0-9{_LETTER}]+"
+#: Stands for a line feed among parts; no text that is cut has a tab.
+_FEED = "\t"
 
 
-def _byte_signs() -> dict[int, str]:
-    """The sign that a byte-level vocabulary has for each byte: its own if it prints, else the next one from U+0100."""
-    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in prints]
-    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that ``index`` names, behind each other, and where each ends (with a leading 0)."""
+    n = sizes[index]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(starts[index] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class _Encoder:
-    """Encodes pieces of text with the tokenizers library and remembers them for the worker's life, within bounds."""
+    """Encodes texts with the tokenizers library; parts of texts are remembered for the worker's life, within bounds."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.signs = _byte_signs()
         shape = json.loads(self.tok.to_str())
-        self.byte_level = shape["normalizer"] is None and shape["model"]["type"] == "BPE" and (shape["pre_tokenizer"] or {}).get("type") == "ByteLevel"
-        self.byte_level = self.byte_level and not shape["pre_tokenizer"]["add_prefix_space"] and shape["post_processor"] is None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece without double white space: those of its parts, which never merge with each other."""
-        if not _KNOWN.fullmatch(piece):
-            return self.whole([piece])[0]
-        out = b""
-        for part in _SPLIT.findall(piece):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= CACHE_PIECES:
-                    self.parts.clear()
-                merged = self.tok.model.tokenize(part.encode().decode("latin1").translate(self.signs))
-                ids = self.parts[part] = np.array([t.id for t in merged], dtype="<u4").tobytes()
-            out += ids
-        return out
-
-    def known(self, pieces: set[str]) -> None:
-        """Makes sure that all of ``pieces`` are in ``young``."""
-        if len(self.young) >= CACHE_PIECES:
-            self.young, self.old = {}, self.young
-        for p in pieces.difference(self.young):
-            self.young[p] = self.old.get(p) or self.piece(p)
+        byte_level = shape["normalizer"] is None and shape["model"]["type"] == "BPE" and (shape["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        self.cuts = byte_level and not shape["pre_tokenizer"]["add_prefix_space"] and shape["post_processor"] is None
+        self.feed = int(self.whole(["\n"])[0][0]) if self.cuts else None
+        self._forget()
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        """Empties the memory of parts: the number of each, and of each number where its ids start in ``flat`` and how many they are."""
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _learn(self, parts: list[str]) -> np.ndarray:
+        """Numbers of parts. New ones are encoded as lines of a text: no part has a line feed, so its id tells them apart."""
+        if len(self.known) > CACHE_PARTS:
+            self._forget()
+        new = [p for p in parts if p not in self.known]
+        if new:
+            texts = ["\n".join(new[at : at + 4096]) for at in range(0, len(new), 4096)]
+            flat = np.concatenate([x for ids in self.whole(texts) for x in (ids, [self.feed])]).astype("<u4")
+            ends = np.flatnonzero(flat == self.feed)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+            self.sizes = np.concatenate([self.sizes, ends - starts])
+            self.flat = np.concatenate([self.flat, flat])
+        return np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
+
+    def cut(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that may be cut, put together from those of their parts."""
+        # every text gets a line feed in front; a piece is what follows a space, or a line feed and what follows it
+        led = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n"), texts, ""), "\n", " \n")
+        lists = pc.split_pattern(pc.utf8_slice_codeunits(led, 1), " ")
+        pieces = lists.flatten().dictionary_encode()
+        kinds = pieces.dictionary
+        feed = pc.starts_with(kinds, "\n")
+        core = pc.if_else(feed, pc.utf8_slice_codeunits(kinds, 1), pc.binary_join_element_wise(pa.scalar(" "), kinds, ""))
+        marked = pc.replace_substring_regex(core, _PARTS, r"\0" + "\n")
+        marked = pc.if_else(pc.match_substring_regex(core, _PLAIN), pc.utf8_rtrim(marked, "\n"), core)
+        marked = pc.if_else(feed, pc.binary_join_element_wise(pa.scalar(_FEED), marked, "\n"), marked)
+        part_lists = pc.split_pattern(pc.utf8_rtrim(marked, "\n"), "\n")
+        parts = part_lists.flatten().dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        number = self._learn(names)
+        flat, ends = _gather(self.flat, self.starts, self.sizes, number[parts.indices.to_numpy()])
+        if _FEED in names:  # in place of the tab's own id
+            tab = np.flatnonzero(parts.indices.to_numpy() == names.index(_FEED))
+            flat[ends[tab]] = self.feed
+        bounds = ends[part_lists.offsets.to_numpy()]
+        flat, ends = _gather(flat, bounds[:-1], np.diff(bounds), pieces.indices.to_numpy())
+        bounds = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        raw = flat.tobytes()
+        return [raw[lo + 4 : hi] for lo, hi in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -132,33 +161,38 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: pa.Array | list[str], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-    Byte-level tokenizers split a text before they merge, and never across the start of a single space. So a text whose
-    white space is single spaces and line feeds between visible characters is the ids of its space-led pieces in a row; each piece
-    is merged by the library's model once and remembered. Other texts, those with ``<|``, which may be a special token, and all texts
-    of other kinds of tokenizers go through the library whole.
+    Byte-level tokenizers split a text before they merge, by a pattern that always starts anew at a single space and at a line feed
+    between visible characters, whatever these are. So the ids of a text whose white space is of these kinds alone are those of
+    its pieces in a row; pieces of Latin letters, digits and ASCII marks are cut once more by the same pattern. The different
+    parts of all texts, with the space before them, go through the library's whole ``encode`` once (tests hold this for all pairs
+    of these signs, and for pieces of any sign). All other texts, those with ``<|``, which may be a special token, and all texts of
+    other kinds of tokenizers go through it whole.
     """
     enc = _encoder(path)
-    pieces: list[list[str] | None] = []
-    fresh: set[str] = set()
-    for text in texts:
-        plain = text.replace("\n", " ")
-        if not enc.byte_level or "  " in plain or plain[:1] == " " or plain[-1:] == " " or "<|" in text or len(plain.split()) != plain.count(" ") + 1:
-            pieces.append(None)
-            continue
-        first, *rest = text.split(" ")
-        row = [first, *(" " + r for r in rest)]
-        pieces.append(row)
-        fresh.update(row)
-    enc.known(fresh)
-    whole = iter(enc.whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-    return [next(whole) if p is None else b"".join(map(enc.young.__getitem__, p)) for p in pieces]
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    if not enc.cuts:
+        return [ids.tobytes() for ids in enc.whole(texts.to_pylist())]
+    whole = pc.match_substring_regex(texts, _WHOLE)
+    cut = iter(enc.cut(texts.filter(pc.invert(whole))))
+    rest = iter(enc.whole(texts.filter(whole).to_pylist()))
+    return [next(rest).tobytes() if w else next(cut) for w in whole.to_pylist()]
+
+
+def _some_at_a_time(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of ``ENCODE_BYTES`` of text, or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ENCODE_BYTES, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, partitions: int | None = None, planes: str = "byte") -> None:
-    """Writes the ids of ``docs`` (``doc_id``, ``text``) to the folder ``out`` in ascending order of ``doc_id``.
+    """Writes the ids of ``docs`` (``doc_id``, an integer, and ``text``; other columns are not written) to the folder ``out`` in ascending order of ``doc_id``.
 
     ``tokenizer`` is a tokenizers-library file that every executor has. A null text is empty; each document, empty ones too, ends
     with ``end_id``. Null ids come first; rows of equal id follow each other, ordered by text. ``out`` is a Parquet folder of
@@ -168,7 +202,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, partitions
     spark = docs.sparkSession
     ship(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +223,9 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, partitions
         big = pa.int64()
         types = [pa.int32(), pa.int32(), big, big, pa.list_(big), pa.list_(big), pa.list_(pa.int32()), pa.binary()]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                for doc, coded in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist(), tokenizer), strict=True):
+            for lo, hi in _some_at_a_time(batch.column(1)):
+                some = batch.slice(lo, hi - lo)
+                for doc, coded in zip(some.column(0).to_pylist(), encode(some.column(1), tokenizer), strict=True):
                     held.append(coded + end)
                     ids.append(doc)
                     size += len(held[-1]) // 4
@@ -243,7 +277,3 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def id_digests(read: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens`` and the CRC-32 of the ids (``ids_crc32``, long) of what ``read_ids`` returns."""
     return without(read, ["ids_crc32"]).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
