@@ -152,8 +152,8 @@ class SeedIndex:
             seed = np.repeat(np.arange(len(seeds)), count)
             order = np.argsort(owner, kind="stable")
             owner, seed = owner[order], seed[order]
-            cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, dtype=np.int64)
-            for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)], strict=True):
+            bounds = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])).tolist() if len(owner) else []
+            for begin, end in zip(bounds, bounds[1:]):
                 o = int(owner[begin])
                 mine = np.zeros(len(seeds), dtype=bool)
                 mine[seed[begin:end]] = True
