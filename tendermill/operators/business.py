@@ -94,6 +94,45 @@ def quotation(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, fre
     return rows.withColumn("total", rounded(F.col("custo_total_unitario") * F.col("quantidade"), 2))
 
 
+def selected_quotation(
+    match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, fretes: DataFrame, selecao: DataFrame | None = None, matches: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Quotation rows of trusted items, of ``selecao`` (``ITEM_KEY``) alone if it is given, with freight in and out of each line.
+
+    ``fretes`` has ``ITEM_KEY, frete_entrada, frete_saida``; what is missing costs nothing. The second table has an ``erro`` for every
+    match of ``matches`` for which nothing is left to quote.
+    """
+    key = [*MATCH_KEY, "numero"]
+    mine = match_itens if selecao is None else match_itens.join(selecao.select(*key).distinct(), key, "left_semi")
+    freight = F.coalesce("frete_entrada", F.lit(0.0)) + F.coalesce("frete_saida", F.lit(0.0))
+    rows = quotation(mine, itens, produtos, F.lit(0.0)).drop("frete_unitario", "custo_total_unitario", "total").join(fretes.select(*key, "frete_entrada", "frete_saida"), key, "left")
+    unit = F.when(F.col("quantidade") > 0, freight / F.col("quantidade")).otherwise(F.lit(0.0))
+    rows = rows.withColumn("frete_unitario", rounded(unit, 4)).withColumn("custo_total_unitario", rounded(F.col("preco_custo") + unit, 4))
+    rows = rows.withColumn("total", rounded(F.col("custo_total_unitario") * F.col("quantidade"), 2))
+    empty = None if matches is None else matches.select(*MATCH_KEY).join(rows.select(*MATCH_KEY), MATCH_KEY, "left_anti").withColumn("erro", F.lit("nenhum item"))
+    return rows, empty
+
+
+def proposal_lines(saved: DataFrame, match_itens: DataFrame, itens: DataFrame) -> DataFrame:
+    """Lines of proposals (``MATCH_KEY, numero, descricao, quantidade, produto_id``): saved ones with the description that the item has now,
+    and for matches without a saved proposal a skeleton of their trusted items. ``salva`` tells which.
+    """
+    now = itens.select("edital_id", "numero", F.col("descricao").alias("__d"))
+    kept = saved.join(now, ["edital_id", "numero"], "left").withColumn("descricao", F.coalesce("__d", "descricao")).withColumn("salva", F.lit(True))
+    fresh = match_itens.filter(trusted() & F.col("produto_id").isNotNull()).join(saved.select(*MATCH_KEY).distinct(), MATCH_KEY, "left_anti")
+    fresh = fresh.select(*MATCH_KEY, "numero", "produto_id").join(itens.select("edital_id", "numero", "descricao", "quantidade"), ["edital_id", "numero"]).withColumn("salva", F.lit(False))
+    columns = [*MATCH_KEY, "numero", "descricao", "quantidade", "produto_id", "salva"]
+    return kept.select(columns).unionByName(fresh.select(columns))
+
+
+def live_candidates(items: DataFrame, produtos: DataFrame) -> DataFrame:
+    """``candidatos`` of items (``ITEM_KEY, candidatos``) with what their products are now; products that are gone are left out."""
+    p = produtos.select("usuario_id", F.col("id").alias("produto_id"), F.col("descricao").alias("produto"), "preco_custo")
+    each = items.select(*MATCH_KEY, "numero", F.explode("candidatos").alias("c")).select(*MATCH_KEY, "numero", "c.posicao", "c.produto_id", "c.score")
+    live = each.join(p, ["usuario_id", "produto_id"])
+    return live.groupBy(*MATCH_KEY, "numero").agg(F.sort_array(F.collect_list(F.struct("posicao", "produto_id", "score", "produto", "preco_custo"))).alias("candidatos"))
+
+
 def notice_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, matches: DataFrame) -> DataFrame:
     """Each item of matched notices with its compatible product and margin; compatible ones first."""
     scope = matches.select(*MATCH_KEY).join(itens, "edital_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import day_series, days_left
-from .filters import by_range, by_uf, for_tenant, has_item_kind, view_active
+from .filters import by_range, by_uf, for_tenant, has_item_kind, opens_on, view_active
 
 MATCH_ALERT = ["usuario_id", "edital_id", "nivel", "dias"]
 
@@ -111,10 +111,20 @@ def last_finished(logs: DataFrame, group: str, ts: str) -> DataFrame:
     return logs.groupBy(group).agg(F.max(ts).alias("fim"))
 
 
-def search_unmatched(editais: DataFrame, itens: DataFrame, matches: DataFrame, usuario_id: int, term: str, as_of: dt.date, ufs=None, kind=None, n: int = 20) -> DataFrame:
-    """The newest notices with the term in an item and without a match of the tenant, each with up to 3 of those descriptions."""
+def seconds_since_end(logs: DataFrame, group: str, ts: str, now: dt.datetime) -> DataFrame:
+    """``last_finished`` with the whole seconds (``segundos``) from the last end to ``now``."""
+    passed = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("fim").cast("timestamp"))
+    return last_finished(logs, group, ts).withColumn("segundos", F.floor(passed / 1_000_000).cast("long"))
+
+
+def search_unmatched(editais: DataFrame, itens: DataFrame, matches: DataFrame, usuario_id: int, term: str, as_of: dt.date, ufs=None, kind=None, n: int = 20, valor: tuple | None = None, today: bool = False) -> DataFrame:
+    """The newest notices with the term in an item and without a match of the tenant, each with up to 3 of those descriptions.
+
+    ``valor`` are the least and the largest estimate (each may be null); ``today`` keeps those that open on ``as_of``.
+    """
     hits = itens.filter(F.contains(F.lower("descricao"), F.lit(term.strip().lower())))
-    e = view_active(by_uf(editais, ufs), as_of).withColumnRenamed("id", "edital_id")
+    e = by_uf(editais, ufs) if valor is None else by_range(by_uf(editais, ufs), "valor_estimado", *valor)
+    e = view_active(opens_on(e, as_of) if today else e, as_of).withColumnRenamed("id", "edital_id")
     e = has_item_kind(e, itens, kind).join(hits.select("edital_id"), "edital_id", "left_semi").join(for_tenant(matches, usuario_id).select("edital_id"), "edital_id", "left_anti")
     top = e.orderBy(F.desc("coletado_em"), F.desc("edital_id")).limit(n)
     some = hits.join(F.broadcast(top.select("edital_id")), "edital_id", "left_semi").groupBy("edital_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("numero", "descricao"))), 1, 3).alias("s"))

@@ -36,13 +36,22 @@ def upsert_catalog(old: DataFrame, batch: DataFrame, row: str, values: list[str]
 
 
 def link_suppliers(batch: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """``batch`` with the supplier whose phone has the same digits (of several the largest id); ``erro`` where none has."""
-    phones = suppliers.select("usuario_id", F.col("id").alias("fornecedor_id"), F.col("nome").alias("fornecedor_nome"), digits(F.col("telefone")).alias("__d")).filter("__d <> ''")
+    """``batch`` with the supplier whose phone or ``whatsapp`` (if there is one) has the same digits (of several the largest id); ``erro`` where none has."""
+    numbers = F.array(*[digits(F.col(c)) for c in ("telefone", "whatsapp") if c in suppliers.columns])
+    phones = suppliers.select("usuario_id", F.col("id").alias("fornecedor_id"), F.col("nome").alias("fornecedor_nome"), F.explode(numbers).alias("__d")).filter("__d <> ''")
     phones = _first(phones, ["usuario_id", "__d"], F.desc("fornecedor_id"))
     own = batch.withColumn("__d", digits(F.col("telefone")))
     return own.join(phones, ["usuario_id", "__d"], "left").withColumn("erro", (F.col("__d") != "") & F.col("fornecedor_id").isNull()).drop("__d")
 
 
+def fill_suppliers(suppliers: DataFrame, linked: DataFrame, row: str, values: tuple[str, ...] = ("nome", "contato", "site")) -> DataFrame:
+    """Suppliers with empty ``values`` filled from the linked rows (``fornecedor_id`` and the values) that have one, the last by ``row``."""
+    given = {c: F.nullif(F.trim(c), F.lit("")) for c in values}
+    fold = linked.groupBy("fornecedor_id").agg(*[F.max_by(given[c], F.when(given[c].isNotNull(), F.col(row))).alias(f"__{c}") for c in values])
+    both = suppliers.join(fold.withColumnRenamed("fornecedor_id", "id"), "id", "left")
+    return both.withColumns({c: F.coalesce(given[c], f"__{c}") for c in values}).drop(*[f"__{c}" for c in values])
+
+
 def drop_product_references(matches: DataFrame, match_itens: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Matches and their items without the products of ``gone`` (``usuario_id, produto_id``); a match left without items goes."""
     keys = ["usuario_id", "produto_id"]
@@ -91,6 +100,18 @@ def apply_descriptions(itens: DataFrame, completed: DataFrame) -> DataFrame:
     return itens.join(new, ["edital_id", "numero"], "left").withColumn("mudou", changed).withColumn("descricao", F.coalesce("__d", "descricao")).drop("__d")
 
 
+def stamp_completed(editais: DataFrame, results: DataFrame, now: dt.datetime) -> DataFrame:
+    """``editais`` with ``completado_em``: ``now`` where a result (``edital_id, status``) is ok, else what it was."""
+    done = results.filter("status = 'ok'").select(F.col("edital_id").alias("id")).distinct().withColumn("__ok", F.lit(True))
+    before = F.col("completado_em") if "completado_em" in editais.columns else F.lit(None).cast("timestamp")
+    return editais.join(done, "id", "left").withColumn("completado_em", F.when(F.col("__ok"), F.lit(now)).otherwise(before)).drop("__ok")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """The CSV sink of the exports: ``;`` between columns, a header in every file, rows in the order of ``rows`` from file to file."""
+    rows.write.option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
 def export_matches(matches: DataFrame, editais: DataFrame, nivel: str | None = None) -> DataFrame:
     rows = matches if nivel is None else matches.filter(F.col("nivel") == nivel)
     e = editais.withColumnRenamed("id", "edital_id")
@@ -108,6 +129,13 @@ def run_log(batch: DataFrame, group: str) -> DataFrame:
     return batch.groupBy(group).agg(F.count("*").alias("vistos"), F.count_if("novo").alias("novos"), F.count_if(F.col("novo") & (F.col("nivel") == "forte")).alias("fortes"))
 
 
+def run_log_by_source(batch: DataFrame, errors: DataFrame, source: str = "fonte") -> DataFrame:
+    """``run_log`` for each source, those that only failed too, with the first 500 characters of its error (``source, erro``; of several the least)."""
+    failed = errors.groupBy(source).agg(F.min("erro").alias("erro"))
+    rows = run_log(batch, source).join(failed, source, "full_outer")
+    return rows.fillna(0, ["vistos", "novos", "fortes"]).withColumn("erro", clip(F.col("erro"), 500))
+
+
 def outbox(alerts: DataFrame, kind: str, channel: str) -> DataFrame:
     """One message for each tenant: ``n`` and the notices in order."""
     return alerts.groupBy("usuario_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("edital_id")), ",").alias("editais")).withColumns({"tipo": F.lit(kind), "canal": F.lit(channel)})
@@ -164,6 +192,12 @@ def stale_cache(cache: DataFrame, versions: DataFrame, force: bool = False) -> D
     return both.withColumn("desatualizado", ~never & (F.col("versao_calc") != F.col("versao"))).withColumn("calcular", never | F.lit(force))
 
 
+def store_cache(computed: DataFrame, versions: DataFrame, value: str = "valor") -> DataFrame:
+    """Cache rows of what was computed (``usuario_id, edital_id`` and the value): nothing found is stored as null, with the tenant's version, so it is not asked again."""
+    own = versions.select("usuario_id", F.col("versao").alias("versao_calc"))
+    return computed.withColumn(value, F.nullif(F.trim(value), F.lit(""))).join(own, "usuario_id", "left")
+
+
 def bump_versions(versions: DataFrame, events: DataFrame) -> DataFrame:
     counts = events.groupBy("usuario_id").agg(F.count("*").alias("__n"))
     return versions.join(counts, "usuario_id", "left").withColumn("versao", F.col("versao") + F.coalesce("__n", F.lit(0))).drop("__n")

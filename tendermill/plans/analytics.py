@@ -231,4 +231,44 @@ def _(t: Tables):
     return calendar.list_products(t.produtos, 2, 2, 20).select("id", "descricao")
 
 
+@R.add("srt_04_seconds_since_end", "select event_type, max(ts) as fim, floor(epoch_us(timestamp '2030-01-01') / 1000000.0 - epoch_us(max(ts)) / 1000000.0)::bigint as segundos from events group by event_type")
+def _(t: Tables):
+    return calendar.seconds_since_end(t.events, "event_type", "ts", dt.datetime(2030, 1, 1))
+
+
+@R.add("srt_05_search_by_value", f"""with h as (select * from itens where contains(lower(descricao), 'caixa')), top as (select * from editais e where (e.data_abertura is null or e.data_abertura >= {_D}) and valor_estimado >= 50000 and valor_estimado <= 400000 and id in (select edital_id from h) and id not in (select edital_id from matches where usuario_id = 1) order by coletado_em desc, id desc limit 20)
+select top.id as edital_id, top.uf, array_to_string(list_slice(list(h.descricao order by h.numero), 1, 3), ' | ') as amostra from top join h on h.edital_id = top.id group by top.id, top.uf""")
+def _(t: Tables):
+    return calendar.search_unmatched(t.editais, t.itens, t.matches, 1, "caixa", AS_OF, valor=(50_000, 400_000))
+
+
+@R.add("agg_06_proposal_lines", f"""with saved as (select usuario_id, edital_id, numero, 'antiga' as descricao, 2.0 as quantidade, produto_id from match_itens where edital_id % 2 = 0 and numero <= 2),
+has as (select distinct usuario_id, edital_id from saved)
+select s.usuario_id, s.edital_id, s.numero, coalesce(i.descricao, s.descricao) as descricao, s.quantidade, s.produto_id, true as salva from saved s left join itens i on i.edital_id = s.edital_id and i.numero = s.numero
+union all select m.usuario_id, m.edital_id, m.numero, i.descricao, i.quantidade, m.produto_id, false from match_itens m join itens i on i.edital_id = m.edital_id and i.numero = m.numero where (m.confianca = 'alta' or m.confirmado_manualmente) and m.produto_id is not null and not exists (select 1 from has where has.usuario_id = m.usuario_id and has.edital_id = m.edital_id)""")
+def _(t: Tables):
+    saved = t.match_itens.filter("edital_id % 2 = 0 and numero <= 2").select("usuario_id", "edital_id", "numero", F.lit("antiga").alias("descricao"), F.lit(2.0).alias("quantidade"), "produto_id")
+    return business.proposal_lines(saved, t.match_itens, t.itens)
+
+
+_FREIGHT = "select usuario_id, edital_id, numero, cast(numero as double) as frete_entrada, case when numero % 2 = 0 then 4.5 end as frete_saida from match_itens"
+
+
+@R.add("mrg_03_selected_quotation", f"""with q as (select m.usuario_id, m.edital_id, m.numero, m.produto_id, i.quantidade, p.preco_custo, coalesce(f.frete_entrada, 0) + coalesce(f.frete_saida, 0) as frete from match_itens m join itens i on i.edital_id = m.edital_id and i.numero = m.numero join produtos p on p.id = m.produto_id left join ({_FREIGHT}) f on f.usuario_id = m.usuario_id and f.edital_id = m.edital_id and f.numero = m.numero
+where (m.confianca = 'alta' or m.confirmado_manualmente) and m.numero <= 3),
+r as (select *, case when quantidade > 0 then frete / quantidade else 0 end as u from q)
+select usuario_id, edital_id, numero, produto_id, round(u, 4) as frete_unitario, round(preco_custo + u, 4) as custo_total_unitario, round(round(preco_custo + u, 4) * quantidade, 2) as total from r""")
+def _(t: Tables):
+    m = t.match_itens
+    freight = m.select("usuario_id", "edital_id", "numero", F.col("numero").cast("double").alias("frete_entrada"), F.when(F.col("numero") % 2 == 0, 4.5).alias("frete_saida"))
+    rows, _ = business.selected_quotation(m, t.itens, t.produtos, freight, m.filter("numero <= 3").select("usuario_id", "edital_id", "numero"))
+    return rows.select("usuario_id", "edital_id", "numero", "produto_id", "frete_unitario", "custo_total_unitario", "total")
+
+
+@R.add("mrg_03_empty_quotations", "select usuario_id, edital_id, 'nenhum item' as erro from matches m where not exists (select 1 from match_itens i join itens n on n.edital_id = i.edital_id and n.numero = i.numero join produtos p on p.id = i.produto_id where i.usuario_id = m.usuario_id and i.edital_id = m.edital_id and (i.confianca = 'alta' or i.confirmado_manualmente))")
+def _(t: Tables):
+    none = t.match_itens.limit(0).select("usuario_id", "edital_id", "numero", F.lit(0.0).alias("frete_entrada"), F.lit(0.0).alias("frete_saida"))
+    return business.selected_quotation(t.match_itens, t.itens, t.produtos, none, None, t.matches)[1]
+
+
 QUERIES, ORACLES = R.queries, R.oracles

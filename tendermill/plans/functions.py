@@ -317,4 +317,10 @@ def _(t: Tables):
     return t.editais.select("id", notices.get(notices.parse_response(reply), "valor", "bigint").alias("valor"))
 
 
+@R.add("src_16_combine_budget", """with l as (select source, text, row_number() over w as k, sum(length(text)) over w - length(text) as before from documents where length(text) > 300 window w as (partition by source order by doc_id)),
+j as (select source, string_agg(text, chr(10) || chr(10) order by k) as t from l where before < 20000 group by source) select s.source, md5(coalesce(substr(j.t, 1, 80000), '')) as texto, length(coalesce(substr(j.t, 1, 80000), '')) < 300 as sem_texto from (select distinct source from documents) s left join j on j.source = s.source""")
+def _(t: Tables):
+    return notices.combine_texts(t.documents, "source", "doc_id", "text", most=None, budget=20_000).select("source", F.md5(F.col("texto").cast("binary")).alias("texto"), "sem_texto")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

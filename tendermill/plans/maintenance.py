@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import filters, tables
+from ..runtime import scratch
 from .views import AS_OF, Registry, Tables
 
 R = Registry()
@@ -173,4 +176,44 @@ def _(t: Tables):
     return tables.bump_versions(versions, t.events.filter("event_type = 'click'").select((F.col("user_id") % 10).alias("usuario_id")))
 
 
+_SUPPLIERS = "select id, usuario_id, case when id % 2 = 0 then '' else nome end as nome, case when id % 3 = 0 then null else nome end as contato, case when id % 5 = 0 then ' ' else nome end as site, telefone, '+55 ' || cast(id as varchar(20)) as whatsapp from fornecedores"
+
+
+@R.add("snk_03_fill_suppliers", f"""with f as ({_SUPPLIERS}), b as (select id as linha, usuario_id, 'n' || id as nome, '' as contato, 's' || id as site, '55' || id as d from fornecedores),
+p as (select usuario_id, d, max(id) as fid from (select usuario_id, id, regexp_replace(telefone, '\\D', '', 'g') as d from f union all select usuario_id, id, regexp_replace(whatsapp, '\\D', '', 'g') from f) group by usuario_id, d),
+l as (select p.fid, arg_max(b.nome, b.linha) as nome, arg_max(b.site, b.linha) as site from b join p on p.usuario_id = b.usuario_id and p.d = b.d group by p.fid)
+select f.id, coalesce(nullif(trim(f.nome), ''), l.nome) as nome, nullif(trim(f.contato), '') as contato, coalesce(nullif(trim(f.site), ''), l.site) as site from f left join l on l.fid = f.id""")
+def _(t: Tables):
+    f, k = t.fornecedores, F.col("id")
+    own = f.select("id", "usuario_id", F.when(k % 2 == 0, "").otherwise(F.col("nome")).alias("nome"), F.when(k % 3 != 0, F.col("nome")).alias("contato"), F.when(k % 5 == 0, " ").otherwise(F.col("nome")).alias("site"), "telefone", F.concat(F.lit("+55 "), k.cast("string")).alias("whatsapp"))
+    rows = f.select(k.alias("linha"), "usuario_id", F.concat(F.lit("n"), "id").alias("nome"), F.lit("").alias("contato"), F.concat(F.lit("s"), "id").alias("site"), F.concat(F.lit("55-"), "id").alias("telefone"))
+    return tables.fill_suppliers(own, tables.link_suppliers(rows, own), "linha").select("id", "nome", "contato", "site")
+
+
+@R.add("snk_12_stamp_completed", "select id, case when id % 3 = 0 then timestamp '1998-08-01 12:00:00' end as completado_em from editais")
+def _(t: Tables):
+    results = t.editais.select(F.col("id").alias("edital_id"), F.when(F.col("id") % 3 == 0, "ok").when(F.col("id") % 3 == 1, "erro").alias("status"))
+    return tables.stamp_completed(t.editais, results, dt.datetime(1998, 8, 1, 12)).select("id", "completado_em")
+
+
+@R.add("snk_13_csv_file", "select m.usuario_id, m.edital_id, m.nivel, m.score, e.orgao, substr(e.objeto, 1, 300) as objeto, e.modalidade, e.uf, e.valor_estimado, e.data_abertura, m.status from matches m join editais e on e.id = m.edital_id")
+def _(t: Tables):
+    rows, path = tables.export_matches(t.matches, t.editais), scratch(t.spark, "export")
+    tables.write_csv(rows, path)
+    return t.spark.read.schema(rows.schema).option("sep", ";").option("header", True).option("escape", '"').csv(path)
+
+
+@R.add("snk_15_run_log_by_source", "with b as (select e.uf as fonte, m.nivel, m.edital_id % 2 = 1 as novo from matches m join editais e on e.id = m.edital_id where e.uf <> 'NATION_3') select n_name as fonte, count(b.fonte) as vistos, count(*) filter (novo) as novos, count(*) filter (novo and nivel = 'forte') as fortes, case when n_nationkey % 3 = 0 then substr(repeat(n_name, 90), 1, 500) end as erro from nation left join b on b.fonte = n_name group by n_name, n_nationkey having count(b.fonte) > 0 or n_nationkey % 3 = 0")
+def _(t: Tables):
+    b = t.matches.join(t.editais.select(F.col("id").alias("edital_id"), F.col("uf").alias("fonte")), "edital_id").filter("fonte <> 'NATION_3'").withColumn("novo", F.col("edital_id") % 2 == 1)
+    errors = t.nation.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("fonte"), F.repeat("n_name", F.lit(90)).alias("erro"))
+    return tables.run_log_by_source(b, errors)
+
+
+@R.add("snk_19_store_cache", "select m.usuario_id, m.edital_id, case when edital_id % 4 = 0 then null else status end as valor, u.id % 3 as versao_calc from matches m left join usuarios u on u.id = m.usuario_id")
+def _(t: Tables):
+    found = t.matches.select("usuario_id", "edital_id", F.when(F.col("edital_id") % 4 == 0, " ").otherwise(F.col("status")).alias("valor"))
+    return tables.store_cache(found, t.usuarios.select(F.col("id").alias("usuario_id"), (F.col("id") % 3).alias("versao")))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..operators import filters, matching
+from ..operators import business, filters, matching
 from .views import AS_OF, Registry, Tables
 
 R = Registry()
@@ -334,4 +334,11 @@ def _(t: Tables):
     return actions.select("usuario_id", "edital_id", "score_novo", "nivel_novo", "acao")
 
 
+@R.add("mrg_02_live_candidates", f"""with {_CAND}, {_BEST}, o as (select c.*, row_number() over (partition by c.usuario_id, c.edital_id, c.numero order by c.produto_id <> b.produto_id, c.score desc, c.produto_id) as k from cand c join best b on b.usuario_id = c.usuario_id and b.edital_id = c.edital_id and b.numero = c.numero where c.score >= 0.3 or c.produto_id = b.produto_id)
+select o.usuario_id, o.edital_id, o.numero, string_agg(p.descricao, '|' order by k) as produtos from o join produtos p on p.id = o.produto_id and p.usuario_id = o.usuario_id and p.ativo where k <= 3 group by all""")
+def _(t: Tables):
+    rows = business.live_candidates(matching.chosen(_cand(t)), t.produtos.filter("ativo"))
+    return rows.select("usuario_id", "edital_id", "numero", F.array_join(F.transform("candidatos", lambda x: x["produto"]), "|").alias("produtos"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

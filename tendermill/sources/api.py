@@ -8,7 +8,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 
 class ModeState(InputPartition):
@@ -20,6 +20,16 @@ class PagedApiReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes equality and lists on ``mode`` and ``state``, so that other partitions are never asked for; the rest is Spark's."""
+        for f in filters:
+            allowed = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if allowed is not None and f.attribute in (("mode",), ("state",)):
+                name = f"{f.attribute[0]}s"
+                self.options[name] = ",".join(x.strip() for x in self.options.get(name, "").split(",") if x.strip() in allowed)
+            else:
+                yield f
+
     def partitions(self) -> list[InputPartition]:
         split = lambda name: [x.strip() for x in self.options.get(name, "").split(",") if x.strip()]
         return [ModeState(m, s) for m in split("modes") for s in split("states")]

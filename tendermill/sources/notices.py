@@ -164,16 +164,46 @@ def attachment_rank(title: Column) -> Column:
     return F.when(F.contains(low, F.lit("edital")), 0).when(F.contains(low, F.lit("termo")) | F.contains(low, F.lit("anexo")), 1).otherwise(2)
 
 
-def combine_texts(texts: DataFrame, key: str, order: str, text: str, at_least: int = 300, most: int = 2, cap: int = 80_000) -> DataFrame:
-    """The first texts long enough, joined and cut; ``sem_texto`` where too little is left."""
+def combine_texts(texts: DataFrame, key: str, order: str, text: str, at_least: int = 300, most: int | None = 2, cap: int = 80_000, budget: int | None = None) -> DataFrame:
+    """The first texts long enough, joined and cut to ``cap``; ``sem_texto`` where too little is left.
+
+    ``most`` texts, or with a ``budget`` all texts that begin before so many characters are reached; ``order`` names a text within its key.
+    What is taken is decided by lengths alone, and no key has more candidates than the budget can hold; only then texts are joined.
+    """
     from pyspark.sql import Window
 
-    long = texts.filter(F.length(text) > at_least).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("__n") <= most)
-    joined = long.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", F.col(text).alias("t")))), lambda x: x["t"]), "\n\n").alias("texto"))
+    inner = Window.partitionBy(key).orderBy(order)
+    limit = min(n for n in (most, None if budget is None else budget // at_least + 1) if n is not None)
+    first = texts.filter(F.length(text) > at_least).select(key, order, F.length(text).alias("__l")).withColumn("__n", F.row_number().over(inner)).filter(F.col("__n") <= limit)
+    if budget is not None:
+        first = first.withColumn("__s", F.sum("__l").over(inner)).filter(F.col("__s") - F.col("__l") < budget)
+    rows = first.select(key, order, "__n").join(texts.select(key, order, F.col(text).alias("__t")), [key, order])
+    joined = rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__n", "__t"))), lambda x: x["__t"]), "\n\n").alias("texto"))
     out = texts.select(key).distinct().join(joined, key, "left").withColumn("texto", F.substring(F.coalesce("texto", F.lit("")), 1, cap))
     return out.withColumn("sem_texto", F.length("texto") < at_least)
 
 
+def _zip_kinds(batches):
+    import io
+    import zipfile
+
+    for batch in batches:
+        kinds = []
+        for data in batch["content"]:
+            try:
+                kinds.append("docx" if "word/document.xml" in zipfile.ZipFile(io.BytesIO(data)).namelist() else "zip")
+            except zipfile.BadZipFile:
+                kinds.append("zip")
+        yield batch.assign(rota=kinds)
+
+
+def route_files(files: DataFrame) -> DataFrame:
+    """``files`` (with ``content``) with ``rota``: ole2, docx, zip, else pdf. Only zips are opened, for their list of names."""
+    routed = files.withColumn("rota", route_file(F.col("content")))
+    zips = routed.filter("rota = 'zip'").mapInPandas(_zip_kinds, routed.schema)
+    return routed.filter("rota is distinct from 'zip'").unionByName(zips)
+
+
 def parse_response(text: Column) -> Column:
     """The JSON of a model's answer: as it is, or what lies between its first and last brace."""
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))))

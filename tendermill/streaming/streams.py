@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tables import insert_if_absent
+from ..operators.tables import insert_if_absent, outbox
 from ..runtime import ship
 
 
@@ -42,11 +42,18 @@ def ingest_stream(source: DataFrame, table: str, checkpoint: str, key: tuple[str
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def match_stream(source: DataFrame, match: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Runs a matching job on the notices of each batch and writes what it finds under the batch's number; alerts are its strong rows."""
+def match_stream(source: DataFrame, match: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, alerts: str | None = None) -> StreamingQuery:
+    """Runs a matching job (``full_matching`` and the like) on the notices of each batch and writes what it finds under the batch's number.
+
+    With ``alerts`` each batch also leaves a message for every tenant with strong matches that are new (``novo_forte``), under the same
+    number: a batch that is run again replaces its messages.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         match(batch).write.mode("overwrite").parquet(f"{out}/lote={n}")
+        if alerts is not None:
+            done = batch.sparkSession.read.parquet(f"{out}/lote={n}")
+            outbox(done.filter("novo_forte"), "novos", "email").write.mode("overwrite").parquet(f"{alerts}/lote={n}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
