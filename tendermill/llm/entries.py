@@ -158,7 +158,8 @@ s as (select d.rid, doc_id, len(w)::bigint as n_words, length(array_to_string(w,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
         coalesce(rep.n, 0)::bigint as n_repeat_words, len(l)::bigint as n_l, list_sum(list_transform(l, lambda x: length(x)))::bigint as total,
         list_filter(l, lambda x: not (right(rtrim(x, {_WS}), 1) not in ({marks})
-            or length(regexp_replace(x, '[^#*$%&|<>{{}}!~^=_]+', '', 'g')) > length(x) * {r.max_mark_share} or {phrases})) as good
+            or length(regexp_replace(x, '[^#*$%&|<>{{}}!~^=_]+', '', 'g')) > length(x) * {r.max_mark_share}
+            or (length(regexp_replace(x, '[^{quality_rules.SEPARATORS}]+', '', 'g')) >= {r.min_separators} and length(x) < (length(regexp_replace(x, '[^{quality_rules.SEPARATORS}]+', '', 'g')) + 1) * {r.max_link_chars}) or {phrases})) as good
     from d left join rep using (rid)),
 v as (select *, coalesce(total, 0) as chars_total, coalesce(total, 0) - coalesce(list_sum(list_transform(good, lambda x: length(x))), 0) as chars_lost,
         n_words < {r.min_words} or 100 * n_repeat_words > {r.max_repeat_pct} * n_words as base_failed from s)
@@ -168,7 +169,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def _op9_sql() -> str:
     rules = ", ".join(f"('{h}{p}', '{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
-    own = " or ".join(f"regexp_matches(host || path, '{p}')" for p, _ in url_filters.DEFAULT_PATTERNS)
+    own = " or ".join(f"regexp_matches(lower(host || path), '{p}')" for p, _ in url_filters.default_patterns())
     return f"""
 with r(name, rh, rp, v) as (values {rules}),
 a as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),

@@ -13,15 +13,22 @@ from .common import SPACE, SPACE_CHARS, let, without, words
 TERMINAL = [".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？"]
 # Phrases of page furniture and licence notices, in lower case.
 BOILERPLATE = [
-    "lorem ipsum", "javascript", "cookie", "privacy policy", "terms of use", "terms of service",
-    "all rights reserved", "licensed under the", "sign up", "log in", "skip to content",
+    "lorem ipsum", "javascript", "cookie", "privacy policy", "terms of use", "terms of service", "terms and conditions",
+    "all rights reserved", "licensed under the", "sign up", "log in", "skip to content", "back to top", "click here", "read more",
+    "leave a comment", "share this", "subscribe to our", "newsletter", "powered by", "page not found", "add to cart",
+    "datenschutz", "impressum", "alle rechte vorbehalten", "zum inhalt springen", "mentions légales", "tous droits réservés",
+    "politique de confidentialité", "aller au contenu", "todos los derechos reservados", "política de privacidad", "aviso legal", "saltar al contenido",
 ]
+# Marks that part the links of a menu or of a path of pages.
+SEPARATORS = "|»›•·→"
 
 
 @dataclass(frozen=True)
 class LineRules:
     """Limits of the line rules and of the verdict."""
 
+    min_separators: int = 2  # of a menu line, whose links are shorter than ``max_link_chars`` on average
+    max_link_chars: int = 25
     max_mark_share: float = 0.05  # marks such as | # ! in a line, against its characters
     max_lost_share: float = 0.5  # characters of removed lines, against those of all lines with a word
     min_words: int = 10
@@ -91,7 +98,9 @@ def _line_fails(line: Column, rules: LineRules) -> Column:
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(p))
-    return cut | (marks > F.length(line) * rules.max_mark_share) | phrase
+    parts = F.length(F.regexp_replace(line, f"[^{SEPARATORS}]+", ""))
+    menu = (parts >= rules.min_separators) & (F.length(line) < (parts + 1) * rules.max_link_chars)
+    return cut | (marks > F.length(line) * rules.max_mark_share) | menu | phrase
 
 
 def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:

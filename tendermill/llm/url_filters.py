@@ -18,7 +18,7 @@ _TOKEN = r"[^a-z0-9]+"
 
 @dataclass(frozen=True)
 class UrlRule:
-    """A rule: ``pattern`` must be found in the lower-cased ``host/path``; ``literals`` are tokens every fitting URL has.
+    """A rule: ``pattern`` must be found in host and path (all in lower case if ``fold``); ``literals`` are tokens every fitting URL has.
 
     ``name`` is what a verdict shows, or null for the method's own rules. Of the rules that fit, the largest ``rank`` wins.
     """
@@ -28,6 +28,7 @@ class UrlRule:
     verdict: str
     rank: int
     name: str | None = None
+    fold: bool = False
 
 
 def host_rule(host: str, path: str, verdict: str) -> UrlRule:
@@ -41,21 +42,32 @@ def host_rule(host: str, path: str, verdict: str) -> UrlRule:
 
 def method_rule(pattern: str, literals: tuple[str, ...], verdict: str = "block", rank: int = 1) -> UrlRule:
     """A pattern rule without a name, used where no named rule fits."""
-    return UrlRule(pattern, literals, verdict, rank)
+    return UrlRule(pattern, literals, verdict, rank, fold=True)
 
 
-# The method's own patterns for spam and shops of expired names.
-DEFAULT_PATTERNS = [
-    (r"(?:^|[.\-])spam[.\-]", ("spam",)),
-    (r"(?:^|[.\-])casino[.\-]", ("casino",)),
-    (r"(?:^|[.\-])porn[.\-]", ("porn",)),
-    (r"(?:^|[.\-])xxx[.\-]", ("xxx",)),
-    (r"/wp-login(?:[./?]|$)", ("wp", "login")),
-]
+# Words of hosts, between dots or hyphens, that tell spam, shops of expired names, betting and adult sites.
+HOST_WORDS = [
+    "spam", "casino", "casinos", "poker", "slots", "roulette", "jackpot", "betting", "sportsbook", "bookmaker", "lottery",
+    "porn", "porno", "xxx", "sex", "adult", "escort", "escorts", "camgirls", "hentai", "viagra", "cialis", "pharmacy", "pills",
+    "payday", "loans", "forex", "replica", "warez", "torrent", "torrents", "keygen", "cracked", "phishing", "malware",
+    "clickbait", "linkfarm", "popunder", "adserver", "adserv", "doubleclick", "tracker", "parked", "domainparking",
+]
+# Names of pages, behind a slash, that hold no text: logins, carts, feeds, searches, machine interfaces.
+PATH_NAMES = [
+    "wp-login", "wp-admin", "wp-json", "wp-cron", "xmlrpc", "cgi-bin", "phpmyadmin", "administrator", "login", "logout", "signin", "signup",
+    "register", "lost-password", "reset-password", "my-account", "cart", "checkout", "wishlist", "add-to-cart", "unsubscribe", "trackback",
+    "print-version", "share-by-email", "captcha", "tag-cloud", "sitemap",
+]
+
+
+def default_patterns() -> list[tuple[str, tuple[str, ...]]]:
+    """The method's own patterns, over lower-cased URLs, each with the tokens that every fitting URL has."""
+    hosts = [(rf"^(?:[^/]*[.\-])?{w}[.\-]", (w,)) for w in HOST_WORDS]
+    return hosts + [(rf"/{n}(?:[./?]|$)", tuple(n.split("-"))) for n in PATH_NAMES]
 
 
 def default_rules() -> list[UrlRule]:
-    return [method_rule(p, t) for p, t in DEFAULT_PATTERNS]
+    return [method_rule(p, t) for p, t in default_patterns()]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -75,7 +87,8 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow",
     candidate rules; those run their expression, and of those that fit the largest rank wins (ties: the smallest name, then
     pattern). ``rule`` is the winner's name or null; ``verdict`` is the winner's, else ``default``.
 
-    One row comes out for each row that goes in, repeated rows and null ids included; a null URL fits no rule. Extra columns pass
+    One row comes out for each row that goes in, repeated rows and null ids included; a null URL fits no rule. An empty list of rules,
+    or a rule without a literal, is a ValueError. Extra columns pass
     through. Candidates are held as a row's own small array, so no page is matched against another and no key gathers rows.
     """
     spark = pages.sparkSession
@@ -89,8 +102,8 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow",
     listed = spark.range(1).select(
         F.inline(
             F.from_json(
-                F.lit(json.dumps([{"rule_id": i, "pattern": r.pattern, "rule_verdict": r.verdict, "rank": r.rank, "name": r.name, "literals": list(dict.fromkeys(r.literals))} for i, r in enumerate(rules)])),
-                "array<struct<rule_id int, pattern string, rule_verdict string, rank bigint, name string, literals array<string>>>",
+                F.lit(json.dumps([{"rule_id": i, "pattern": r.pattern, "rule_verdict": r.verdict, "rank": r.rank, "name": r.name, "fold": r.fold, "literals": list(dict.fromkeys(r.literals))} for i, r in enumerate(rules)])),
+                "array<struct<rule_id int, pattern string, rule_verdict string, rank bigint, name string, fold boolean, literals array<string>>>",
             )
         )
     )
@@ -99,7 +112,7 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow",
     seen = split.select(F.explode(tokens).alias("token")).join(small(literals), "token").groupBy("token").agg(F.count("*").alias("n"))
     ranked = listed.select("*", F.explode("literals").alias("token")).join(seen, "token", "left")
     # the smallest pair of count and token: the rarest literal of each rule
-    filed = ranked.groupBy("rule_id", "pattern", "rule_verdict", "rank", "name").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    filed = ranked.groupBy("rule_id", "pattern", "rule_verdict", "rank", "name", "fold").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
 
     target = F.concat("host", "path")
     key = F.struct(F.col("rank").alias("rank"), (-F.col("rule_id")).alias("order"))
@@ -110,7 +123,7 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow",
         .select("*", F.posexplode(tokens).alias("__pos", "token"))
         .withColumn("__rest", F.when(F.col("__pos") == 0, F.col("__rest")))
         .join(small(filed), "token", "left")
-        .select("__row", "__rest", F.when(F.rlike(target, F.col("pattern")), F.struct(key.alias("key"), F.col("name").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("__best"))
+        .select("__row", "__rest", F.when(F.rlike(F.when(F.col("fold"), F.lower(target)).otherwise(target), F.col("pattern")), F.struct(key.alias("key"), F.col("name").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("__best"))
     )
     best = found.groupBy("__row").agg(F.first("__rest", ignorenulls=True).alias("__rest"), F.max("__best").alias("__best")).select("__rest.*", "__best")
     return best.select(*pages.columns, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))

@@ -25,6 +25,9 @@ def plain_clean(text):
 
     def fails(x):
         marks = len(re.findall(r"[#*$%&|<>{}!~^=_]", x))
+        parts = sum(x.count(c) for c in quality_rules.SEPARATORS)
+        if parts >= 2 and len(x) < 25 * (parts + 1):
+            return True
         return x.rstrip(SPACE)[-1] not in quality_rules.TERMINAL or marks > len(x) * 0.05 or any(p in x.lower() for p in quality_rules.BOILERPLATE)
 
     good = [x for x in lines if not fails(x)]

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tendermill.llm import line_dedup, quality_rules, url_filters
@@ -95,6 +96,7 @@ def test_url_rules(spark):
     urls = [
         ("http://example.com/en/1", "example.com/en/", "block"), ("https://WWW.Example.com/en/1?x#y", "www.example.com/en/", "allow"), ("http://a.example.com/EN/1", "com/", "allow"),
         ("http://badexample.com/en/", "com/", "allow"), ("http://x.net/fr/a", "net/fr/", "block"), ("http://x.net/fr", None, "allow"), ("http://spam.site.org/", None, "block"),
+        ("http://x.org/WP-LOGIN.php", None, "block"), ("http://x.org/a/Cart", None, "block"), ("http://x.org/cartoon", None, "allow"), ("http://my-casino.org/", None, "block"),
         ("http://com", None, "allow"), (None, None, "allow"), ("no url", None, "allow"), ("", None, "allow"), ("ftp://é.com/", "com/", "allow"), ("http://example.com/en/1", "example.com/en/", "block"),
     ]
     df = spark.createDataFrame([(i % 12 or None, u, "h") for i, (u, _, _) in enumerate(urls)], "page_id long, url string, host string")
@@ -104,6 +106,19 @@ def test_url_rules(spark):
     assert split["https://WWW.Example.com/en/1?x#y"] == ("www.example.com", "/en/1") and split[None] == ("", "") and split["http://com"] == ("com", "")
 
 
+def test_url_rules_must_be_given(spark):
+    with pytest.raises(ValueError):
+        url_filters.filter_urls(spark.createDataFrame([], "url string"), [])
+    with pytest.raises(ValueError):
+        url_filters.filter_urls(spark.createDataFrame([], "url string"), [url_filters.method_rule("x", ())])
+
+
+def test_menus_are_no_text(spark):
+    menu, text = "Home | Shop | About us | Contact.", "A sentence with a dash → and a bullet • in it, but much longer than the links of any menu would be."
+    got = quality_rules.clean_lines(docs(spark, [f"{menu}\n{text}"])).first()
+    assert got["clean_text"] == text and got["n_bad_lines"] == 1
+
+
 def test_sha_of_nothing(spark):
     r = line_dedup.drop_frequent_lines(docs(spark, ["a", "a"]), min_docs=2).select(F.sha2(F.col("clean_text").cast("binary"), 256).alias("h")).first()
     assert r["h"] == hashlib.sha256(b"").hexdigest()
