@@ -25,6 +25,15 @@ def test_normalize_equals_the_definition(spark):
     assert one(spark, text.normalize(F.lit(None).cast("string"))) == ""
 
 
+def test_every_code_point_is_normalized_as_defined(spark):
+    signs = [chr(c) for c in [*range(0x80, 0xD800), *range(0xE000, 0x110000)] if unicodedata.decomposition(chr(c))]
+    signs += ["😀", "漢", "한", "\U00010330"]
+    texts = ["x" + "".join(signs[i : i + 5]) + "y" for i in range(0, len(signs), 5)]
+    got = {r["t"]: r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalize_light(F.col("t")).alias("n")).collect()}
+    assert len(signs) > 5_000 and all(got[t] == unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower() for t in texts)
+    assert one(spark, text.normalize(F.lit("10 ㎡ de ㎏, ㎝ ⑩"))) == "10 m2 de kg cm 10"
+
+
 def _lcs(a, b):
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -80,6 +89,25 @@ def test_numeric_attributes():
     assert ("litros", 2.0, "<=", False) in found("ate 2 litros")
 
 
+def test_attributes_of_whole_sentences():
+    """Units, labels, chains and limits together, written down by hand from the rules."""
+
+    def rows(light):
+        return [(u, v, o, raw, guess, chain is not None) for _, u, v, o, raw, guess, chain in attributes.numeric_attributes(light)]
+
+    assert rows("comprimento: 145, largura: 15") == [("mm", 145.0, "==", "145", True, False), ("mm", 15.0, "==", "15", True, False)]
+    assert rows("30x40cm") == [("cm", 30.0, "==", "30", False, True), ("cm", 40.0, "==", "40cm", False, False), ("cm", 40.0, "==", "40", False, True)]
+    assert rows("3x500ml") == [("ml", 500.0, "==", "500ml", False, False)]
+    assert rows("peso minimo de 1.234,5 kg, ate 2.500 folhas") == [("kg", 1234.5, ">=", "1.234,5 kg", False, False), ("folhas", 2500.0, "<=", "2.500 folhas", False, False)]
+    assert rows("altura: 12,5cm") == [("cm", 12.5, "==", "12,5cm", False, False)]
+    assert rows("tensao: 220 e numero de digitos: 12") == [("volts", 220.0, "==", "220 volts", False, False), ("digitos", 12.0, "==", "12 digitos", False, False)]
+    assert rows("10 x 20 x 500ml") == [("mm", 10.0, "==", "10", True, True), ("mm", 20.0, "==", "20", True, True), ("ml", 500.0, "==", "500ml", False, False)]
+    assert rows("largura: 21 x 30") == [("mm", 21.0, "==", "21", True, False), ("mm", 21.0, "==", "21", True, True), ("mm", 30.0, "==", "30", False, True)]
+    assert rows("fita 3m 3 m") == [("m", 3.0, "==", "3 m", False, False)]
+    assert rows("pelo menos 5 litros. 7 litros") == [("litros", 5.0, ">=", "5 litros", False, False), ("litros", 7.0, "==", "7 litros", False, False)]
+    assert rows("monitor 15,6\" 75.25 w 1.234.567 g") == [("polegadas", 15.6, "==", '15,6"', False, False), ("watts", 75.25, "==", "75.25 w", False, False), ("gramas", 1234567.0, "==", "1.234.567 g", False, False)]
+
+
 def test_validation_rules(spark):
     rows = [
         (1, "no mínimo 250 folhas", "bandeja de 300 folhas", None, 0, 0),
