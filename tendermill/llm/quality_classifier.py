@@ -12,6 +12,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
 from .common import written
@@ -28,12 +29,11 @@ MAX_BROADCAST_SITES = 50_000
 class BayesRules:
     """Bounds of what is fitted, and limits of the verdict.
 
-    ``max_labelled`` labelled documents (about, chosen by a hash of the id) fit the evidence; ``max_features`` features with the
-    strongest difference are kept, each in ``min_docs`` documents at least and ``min_z`` standard deviations off.
+    ``max_labelled`` labelled documents (about, chosen by a hash of the id) fit the evidence: all features that ``min_docs`` of them
+    have and that are ``min_z`` standard deviations off. So the size of the model is bounded by that of the sample.
     """
 
     max_labelled: int = 20_000
-    max_features: int = 5_000
     min_docs: int = 5
     min_z: float = 5.0
     ridge: float = 1e-4
@@ -90,7 +90,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, rules: BayesRules = BayesRu
     # how far a feature's count among the labelled is off what its frequency alone would give, in standard deviations
     off = [F.abs(F.col(c) - F.col("n") * (ones[c] / n)) / F.sqrt(F.col("n") * (ones[c] / n * (1 - ones[c] / n))) for c in fitted]
     strong = counts.filter(F.col("n") >= rules.min_docs).withColumn("z", F.greatest(*off, F.lit(0.0))).filter(F.col("z") >= rules.min_z)
-    chosen = [r["token"] for r in strong.orderBy(F.desc("z"), "token").limit(rules.max_features).collect()]
+    chosen = [r["token"] for r in strong.orderBy("token").collect()]  # of the sample, so bounded
     if not chosen:
         return {"prior": prior, "weights": {}}
     vectors = CountVectorizerModel.from_vocabulary(chosen, inputCol="tokens", outputCol="features").setBinary(True).transform(sample)
@@ -154,16 +154,16 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: tup
     odds in place of the global ones. ``kept``: good enough and not toxic.
 
     A null host or path column counts as the empty string; a null text has no words; null ids and repeated rows are judged like
-    any other. Sites are sums by group, added up in each task first, so a host with a third of all rows is no one's
+    any other; ``labels`` name documents by ``doc_id``. Other columns of ``docs`` are not returned, whatever their names. Sites are sums by group, added up in each task first, so a host with a third of all rows is no one's
     task; one row a site is broadcast while the sites are few. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit_evidence(docs.select("doc_id", "text"), labels, rules))
+    model = spark.sparkContext.broadcast(fit_evidence(docs.select(F.col(key).alias("doc_id"), "text"), labels, rules))
     site = docs.select(
         F.col("text"), F.col(key).alias(key), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in path]).alias("path"),
     )
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, host string, path string, quality_evidence double, toxic_evidence double"
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *[T.StructField(c, T.StringType()) for c in ("host", "path")], *[T.StructField(f"{c}_evidence", T.DoubleType()) for c in TARGETS]])
     scored = written(site.mapInArrow(_evidence(model), schema), "evidence")
 
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.avg(1 / (1 + F.exp(-F.col(f"{c}_evidence")))).alias(c) for c in TARGETS])
