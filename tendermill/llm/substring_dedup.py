@@ -8,7 +8,6 @@ one. A shard holds all stretches of some anchors: its automaton is built from th
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,9 +16,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import without, written
+from .common import Tables, without, written
 
 #: Words of the runs whose least hash names a window.
 GRAM = 4
@@ -218,12 +218,17 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
+    with Tables(spark) as tables:
+        return written(_spans(tables, docs, window), "spans")
+
+
+def _spans(tables: Tables, docs: DataFrame, window: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
     signed = texts.mapInArrow(_signatures(window), "doc_id bigint, seq binary, anchors array<bigint>")
-    signed = written(signed, "signatures")
+    signed = tables.written(signed, "signatures")
     # texts with the same words all over: the first stands for all
     reps = signed.groupBy("seq").agg(F.min(F.struct("doc_id", "anchors")).alias("r")).select("seq", "r.doc_id", "r.anchors")
-    reps = written(reps, "first-texts")
+    reps = tables.written(reps, "first-texts")
     copies = signed.select("doc_id", "seq").join(reps.select("seq", F.col("doc_id").alias("first_id")), "seq").filter("doc_id > first_id")
 
     each = reps.select("doc_id", "seq", F.explode("anchors").alias("anchor"))
@@ -233,12 +238,12 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
         .groupBy("doc_id", "seq")
         .agg(F.collect_list(F.when(~F.col("common"), F.col("anchor"))).alias("rare"), F.collect_list(F.when(F.col("common"), F.col("anchor"))).alias("common"))
     )
-    wanted = written(wanted, "shared-anchors")
+    wanted = tables.written(wanted, "shared-anchors")
     stretches = texts.join(wanted, "doc_id").select("doc_id", "text", "seq", "rare", "common").mapInArrow(_stretches(window), _STRETCH)
-    stretches = written(stretches, "stretches")
+    stretches = tables.written(stretches, "stretches")
 
     alike = stretches.groupBy("key", "stretch").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("words").alias("words"))
-    alike = written(alike, "distinct-stretches")
+    alike = tables.written(alike, "distinct-stretches")
     total = alike.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0)).alias("w")).first()["w"]
     shards = max(1, -(-int(total) // SHARD_WORDS))
     judged = (
@@ -254,7 +259,7 @@ def repeated_spans(docs: DataFrame, window: int = 13) -> DataFrame:
     )
     whole = copies.select("doc_id", "seq", F.lit(-1).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("bits"))
     spans = hits.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "start", "n", "bits")).alias("spans"))
-    return written(spans, "spans")
+    return spans
 
 
 def _clean(window: int, width: int, text_at: int):
@@ -311,9 +316,5 @@ def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     docs = without(docs, ["clean_text", "n_words", "n_removed"])
     spans = repeated_spans(docs, window)
     both = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, F.col("spans").alias("__spans"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "clean_text string, n_words bigint, n_removed bigint"])
+    schema = T.StructType([*docs.schema.fields, T.StructField("clean_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return both.mapInArrow(_clean(window, len(docs.columns), docs.columns.index("text")), schema)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
