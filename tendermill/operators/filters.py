@@ -78,6 +78,18 @@ def list_notices(matches: DataFrame, editais: DataFrame, itens: DataFrame, usuar
     return view_closed(both, as_of) if view == "encerrados" else view_active(both, as_of)
 
 
+#: Values in a block of a small side, and blocks that are broadcast at most (under 2 MB); more of them are joined by shuffle.
+BLOCK, MAX_BROADCAST_BLOCKS = 1_000, 50
+
+
+def _with_blocks(rows: DataFrame, values: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the values of a counted table as arrays ``name`` of about ``BLOCK`` each, a row for each array."""
+    n = max(1, -(-values.count() // BLOCK))
+    blocks = values.groupBy(F.pmod(F.xxhash64(value), F.lit(n)).cast("int").alias("__block")).agg(F.collect_set(value).alias(name))
+    blocks = F.broadcast(blocks) if n <= MAX_BROADCAST_BLOCKS else blocks
+    return rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "__block").drop("__block")
+
+
 def exclude(editais: DataFrame, itens: DataFrame, regras: DataFrame) -> DataFrame:
     """(``usuario_id, edital_id``) that a tenant's rules (``usuario_id, tipo, valor``) exclude: a term inside the normalized text, or a category."""
     texts = itens.groupBy("edital_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("numero", normalize(F.col("descricao")).alias("t")))), lambda x: x["t"]), " ").alias("itens"))
@@ -85,8 +97,10 @@ def exclude(editais: DataFrame, itens: DataFrame, regras: DataFrame) -> DataFram
     notices = notices.withColumn("alvo", F.concat_ws(" ", "objeto", F.coalesce("itens", F.lit(""))))
     terms = regras.filter("tipo = 'termo'").select("usuario_id", normalize(F.col("valor")).alias("termo")).filter("termo <> ''").distinct()
     kinds = regras.filter("tipo = 'categoria'").select("usuario_id", F.col("valor").alias("modalidade")).distinct()
-    # rules are few: a notice meets each distinct term once, whoever owns it
-    by_term = notices.join(terms.select("termo").distinct(), F.contains("alvo", "termo")).select("edital_id", "termo").join(terms, "termo").select("usuario_id", "edital_id")
+    # a notice meets each distinct term once, whoever owns it, some terms at a time
+    met = _with_blocks(notices.select("edital_id", "alvo"), terms.select("termo").distinct(), "termo", "termos")
+    met = met.select("edital_id", F.explode(F.filter("termos", lambda t: F.contains("alvo", t))).alias("termo"))
+    by_term = met.join(terms, "termo").select("usuario_id", "edital_id")
     by_kind = notices.join(kinds, "modalidade").select("usuario_id", "edital_id")
     return by_term.unionByName(by_kind).distinct()
 
@@ -94,8 +108,7 @@ def exclude(editais: DataFrame, itens: DataFrame, regras: DataFrame) -> DataFram
 def matching_scope(editais: DataFrame, usuarios: DataFrame, matches: DataFrame, as_of: dt.date) -> DataFrame:
     """(``usuario_id, edital_id``) to match: notices still open for every tenant, and those that a tenant tracks."""
     still = editais.filter(F.col("data_encerramento").isNull() | (F.col("data_encerramento") >= F.lit(as_of))).select(F.col("id").alias("edital_id"))
-    everyone = usuarios.agg(F.collect_set("id").alias("ids"))
-    open_pairs = still.join(F.broadcast(everyone)).select(F.explode("ids").alias("usuario_id"), "edital_id")
+    open_pairs = _with_blocks(still, usuarios.select("id").distinct(), "id", "ids").select(F.explode("ids").alias("usuario_id"), "edital_id")
     return open_pairs.unionByName(matches.filter(F.col("status").isin(TRACKED)).select(*MATCH_KEY)).distinct()
 
 
