@@ -502,7 +502,8 @@ def keep_first(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     An id with several texts is taken text by text: one that is a copy of an earlier document goes, the others stay. Rows with a null id all stay.
     """
     classes = _classes(docs, rules)
-    gone = classes.filter("doc_id <> class_id").select("doc_id", "sid").distinct()
+    # never broadcast, however few: what goes grows with the corpus
+    gone = classes.filter("doc_id <> class_id").select("doc_id", "sid").distinct().hint("merge")
     twice = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not twice.limit(1).count():
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
