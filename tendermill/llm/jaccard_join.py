@@ -23,9 +23,11 @@ MAX_RUNS = 1 << (64 - RUN_SHIFT)
 #: Bytes of a set's sketch, one for each bin of its hashes.
 BINS = 128
 #: Tokens hashed, and pairs compared, at a time: bounds of a task's memory, not of its work.
-_TOKENS, _PAIRS = 32_768, 131_072
+_TOKENS, _PAIRS, _COLUMNS = 32_768, 65_536, 1_024
+#: A tile of more sets than this is compared by itself.
+_SMALL_TILE = 64
 #: Rows of buckets, and tokens of texts, that a group of buckets holds on average.
-_GROUP_ROWS, _GROUP_TOKENS = 8_192, 1_000_000
+_GROUP_ROWS, _GROUP_TOKENS = 8_192, 500_000
 
 
 @dataclass(frozen=True)
@@ -44,8 +46,8 @@ class JoinRules:
     sketch_loss: float = 1e-6
     split: int = 512
     depth: int = 3
-    tile: int = 4096
-    tile_tokens: int = 4_000_000
+    tile: int = 2048
+    tile_tokens: int = 2_000_000
 
     @property
     def runs(self) -> int:
@@ -198,6 +200,16 @@ class _Keys:
         self.earlier = np.add.reduceat(np.append(before, False).astype(np.int64), self.start) if len(self.n) else self.n
         self.earlier[self.n == 0] = 0
 
+    def earlier_in(self, first: int, last: int) -> _Earlier:
+        """The earlier paths of the rows of one tile."""
+        n = self.earlier[first:last]
+        row = np.repeat(np.arange(last - first), n)
+        at = self.start[first:last][row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        _, number, times = np.unique(self.number[at], return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        shared = times[number] > 1
+        return _Earlier(first, last - first, row[shared], column[number[shared]])
+
     def met(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         n = self.earlier[left]
         pair = np.repeat(np.arange(len(left)), n)
@@ -218,47 +230,93 @@ def _filled(words: np.ndarray) -> np.ndarray:
     return (((words & _LOW7) + _LOW7) | words) & ~_LOW7
 
 
-def _candidates(rows: pa.Table, rules: JoinRules) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ordered rows that sizes and sketches allow, each in the first bucket where it meets, some at a time.
+class _Group:
+    """Ordered rows of tiles, and the pairs of them that sizes and sketches allow, each in the first bucket where it meets.
 
     A pair meets in every path it has in common; it is taken at the least of them. Sets whose sizes differ by more than the
     similarity can't have it.
     """
-    if not rows.num_rows:
-        return
-    begin, end = _partners(rows, _tile_starts(rows))
-    count = np.maximum(end - begin, 0)
-    total = np.cumsum(count)
-    keys = _Keys(rows)
-    size = rows["size"].to_numpy().astype(np.int64)
-    words = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint64).reshape(-1, BINS // 8)
-    full = _filled(words)
-    least = least_alike(rules.similarity, rules.sketch_loss) if rules.sketch_loss else None
-    per = round(rules.similarity * 1_000_000)
-    at = 0
-    while at < rows.num_rows:
-        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
-        n = count[at:upto]
-        left = np.repeat(np.arange(at, upto), n)
-        right = begin[left] + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
-        at = upto
-        ok = np.minimum(size[left], size[right]) * 1_000_000 >= per * np.maximum(size[left], size[right])
+
+    def __init__(self, rows: pa.Table, rules: JoinRules):
+        self.starts = _tile_starts(rows) if rows.num_rows else np.zeros(1, dtype=np.int64)
+        self.begin, self.end = _partners(rows, self.starts) if rows.num_rows else (np.zeros(0, dtype=np.int64),) * 2
+        self.keys = _Keys(rows)
+        self.size = rows["size"].to_numpy().astype(np.int64)
+        self.words = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint64).reshape(-1, BINS // 8)
+        self.full = _filled(self.words)
+        self.least = least_alike(rules.similarity, rules.sketch_loss) if rules.sketch_loss else None
+        self.per = round(rules.similarity * 1_000_000)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some pairs at a time: many small tiles together, a large one by itself."""
+        large = np.diff(self.starts) > _SMALL_TILE
+        cuts = np.unique(np.concatenate([[0, len(large)], np.flatnonzero(large), np.flatnonzero(large) + 1]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield from self._pairs_of(int(self.starts[lo]), int(self.starts[hi]), bool(large[lo]))
+
+    def _pairs_of(self, first: int, last: int, one_tile: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        count = np.maximum(self.end[first:last] - self.begin[first:last], 0)
+        total = np.cumsum(count)
+        earlier = None
+        at = 0
+        while at < last - first:
+            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+            n = count[at:upto]
+            left = np.repeat(np.arange(first + at, first + upto), n)
+            right = self.begin[left] + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+            left, right = self._alike(left, right)
+            if one_tile and len(left) > 4 * (last - first):
+                # nearly all of them are alike: what they have in common is a product of matrices
+                earlier = earlier or self.keys.earlier_in(first, last)
+                met = earlier.met(first + at, first + upto)[left - first - at, right - first]
+            else:
+                met = self.keys.met(left, right)
+            at = upto
+            if not met.all():
+                yield left[~met], right[~met]
+
+    def _alike(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.size[left], self.size[right]
+        ok = np.minimum(a, b) * 1_000_000 >= self.per * np.maximum(a, b)
         left, right = left[ok], right[ok]
-        if least is not None and len(left):
-            either = np.bitwise_count(full[left] | full[right]).sum(axis=1, dtype=np.int64)
-            differ = np.bitwise_count(_filled(words[left] ^ words[right])).sum(axis=1, dtype=np.int64)
-            ok = either - differ >= least[either]
-            left, right = left[ok], right[ok]
-        ok = ~keys.met(left, right)
-        if ok.any():
-            yield left[ok], right[ok]
+        if self.least is None or not len(left):
+            return left, right
+        either = np.bitwise_count(self.full[left] | self.full[right]).sum(axis=1, dtype=np.int64)
+        differ = np.bitwise_count(_filled(self.words[left] ^ self.words[right])).sum(axis=1, dtype=np.int64)
+        ok = either - differ >= self.least[either]
+        return left[ok], right[ok]
+
+
+class _Earlier:
+    """Paths before the tile's own that several rows of a tile have, as columns of 0 and 1."""
+
+    def __init__(self, first: int, m: int, row: np.ndarray, column: np.ndarray):
+        self.first, self.m, self.row, self.column = first, m, row, column
+        self.kept: np.ndarray | None = None
+
+    def _columns(self, c: int) -> np.ndarray:
+        a = np.zeros((self.m, _COLUMNS), dtype=np.float32)
+        here = (self.column >= c) & (self.column < c + _COLUMNS)
+        a[self.row[here], self.column[here] - c] = 1
+        return a
+
+    def met(self, lo: int, hi: int) -> np.ndarray:
+        """Which rows from ``lo`` to ``hi`` have met which rows of the tile."""
+        met = np.zeros((hi - lo, self.m), dtype=bool)
+        n = int(self.column.max()) + 1 if len(self.column) else 0
+        for c in range(0, n, _COLUMNS):
+            if n <= _COLUMNS:
+                self.kept = self._columns(c) if self.kept is None else self.kept
+            a = self.kept if n <= _COLUMNS else self._columns(c)
+            met |= a[lo - self.first : hi - self.first] @ a.T > 0
+        return met
 
 
 def _worth_reading(rules: JoinRules):
     def worth(rows: pa.Table) -> pa.Table:
         rows = _in_order(rows)
         some = np.zeros(rows.num_rows, dtype=bool)
-        for left, right in _candidates(rows, rules):
+        for left, right in _Group(rows, rules).pairs():
             some[left] = True
             some[right] = True
         left = rows.filter(pa.array(some)).select(["grp", *_ROW])
@@ -282,9 +340,9 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     owner, number = owner[shared], rank[number[shared]]
     a0, a1, b0, b1 = row.min(), row.max() + 1, col.min(), col.max() + 1
     common = np.zeros((a1 - a0, b1 - b0), dtype=np.float32)
-    for c in range(0, int(often.sum()), 2048):
-        here = (number >= c) & (number < c + 2048)
-        a = np.zeros((len(used), 2048), dtype=np.float32)
+    for c in range(0, int(often.sum()), _COLUMNS):
+        here = (number >= c) & (number < c + _COLUMNS)
+        a = np.zeros((len(used), _COLUMNS), dtype=np.float32)
         a[owner[here], number[here] - c] = 1
         common += a[a0:a1] @ a[b0:b1].T
     return np.rint(common[row - a0, col - b0]).astype(np.int64)
@@ -318,15 +376,14 @@ def _links(rules: JoinRules):
             sid = tile["sid"].to_pylist()
             sets = [shingles(expand.decompress(t), rules.words) for t in tile["z"].to_pylist()]
             size = np.array([len(s) for s in sets])
-            linked = []
-            for left, right in _candidates(tile, rules):
-                both = _overlaps(sets, left, right)
-                # both / (a + b - both) >= similarity, in whole numbers
-                near = both * (1_000_000 + per) >= per * (size[left] + size[right])
-                linked.append((left[near], right[near]))
-            if not linked:
+            found = [(left.astype(np.int32), right.astype(np.int32)) for left, right in _Group(tile, rules).pairs()]
+            if not found:
                 continue
-            left, right = (np.concatenate(x) for x in zip(*linked, strict=True))
+            left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+            both = _overlaps(sets, left, right)
+            # both / (a + b - both) >= similarity, in whole numbers
+            near = both * (1_000_000 + per) >= per * (size[left] + size[right])
+            left, right = left[near], right[near]
             n = np.bincount(left, minlength=len(sid)) + np.bincount(right, minlength=len(sid))
             top = _least_linked(len(sid), left, right)
             keep = np.flatnonzero(n).tolist()
