@@ -109,3 +109,13 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without columns that an operator is about to add (names compare without case, as Spark does)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference that holds for any name, also one with dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, sharding, substring_dedup, token_output, url_filters
+from . import decontaminate, hard_negatives, jaccard_join, line_dedup, merkle, mixing, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup, token_output, url_filters
 from .common import fresh_path
 
 # ---------------------------------------------------------------- parameters
@@ -87,6 +87,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("clean_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    ids = (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
+    return sentence_pieces.decode(coded, model).select("doc_id", *ids, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = {"text": F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    tree = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed=changed)
+    proof, verified = F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), (F.col("folded_root") == F.col("root")).alias("verified")
+    return tree.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", verified)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -99,6 +122,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_line_dedup": op10_line_dedup,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -208,6 +234,54 @@ o as (select string_split('{owners}', ',') as owner)
 select doc_id, source, lang, slot, 'shard-' || lpad(owner[slot + 1], 2, '0') as shard from s, o"""
 
 
+_H = "case when {0} is null then '-' else strlen({0}::varchar) || ':' || {0}::varchar end"
+_LEAF = " || ".join(_H.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
+
+def _op12_sql(levels: int = 24) -> str:
+    """Levels of all sources at once, then those of the subroots; sibling runs by window, crc32 bit by bit."""
+    crc = "list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))), 4294967295)"
+    changed = f"case when doc_id is not null and {crc.replace('list_transform(', 'list_prepend(4294967295, list_transform(').replace('ord(c)::bigint)', 'ord(c)::bigint))').replace(', 4294967295)', ')')} % 2 = 1 then replace(text, chr(10), '') else text end"
+    run = "partition by tree, i // 3 order by i"
+    return f"""
+with recursive d as (select row_number() over () as rid, *, {changed} as t2 from documents),
+l as (select rid, doc_id, source, sha256({_LEAF.format(text="text")}) as leaf, sha256({_LEAF.format(text="t2")}) as leaf2 from d),
+p as (select *, coalesce('+' || source, '') as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from l),
+up(tree, i, n, h, k) as (
+    select tree, i, n, leaf, 0 from p
+    union all
+    select tree, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' order by i)), any_value(k) + 1 from up where n > 1 group by tree, i // 3),
+g as (select tree, h, row_number() over (order by tree) - 1 as i, count(*) over () as n from up where n = 1),
+top(i, n, h, k) as (
+    select i, n, h, 0 from g
+    union all
+    select i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' order by i)), any_value(k) + 1 from top where n > 1 group by i // 3),
+nodes as (select 0 as part, tree, i, k, n, h from up union all select 1, '', i, k, n, h from top),
+sib as (select part, tree, i, k, coalesce(string_agg(h, '') over (partition by part, tree, k, i // 3 order by i rows between unbounded preceding and 1 preceding), '') as l,
+        coalesce(string_agg(h, '') over (partition by part, tree, k, i // 3 order by i rows between 1 following and unbounded following), '') as r from nodes where n > 1),
+fold(rid, part, tree, i, k, h, proof, g) as (
+    select rid, 0, p.tree, p.i, 0, leaf2, '', g.i from p join g using (tree)
+    union all
+    select f.rid, case when s.i is null then 1 else f.part end, case when s.i is null then '' else f.tree end, case when s.i is null then g else f.i // 3 end,
+        case when s.i is null then 0 else f.k + 1 end, case when s.i is null then f.h else sha256(s.l || f.h || s.r) end,
+        case when s.i is null then proof else proof || s.l || s.r end, g
+    from fold f left join sib s on s.part = f.part and s.tree = f.tree and s.i = f.i and s.k = f.k where s.i is not null or f.part = 0),
+e as (select rid, h, proof from fold f where part = 1 and not exists (select 1 from sib s where s.part = 1 and s.i = f.i and s.k = f.k)),
+r as (select h as root from top where n = 1)
+select doc_id, leaf, g.h as subroot, root, sha256(proof) as proof_sha256, e.h as folded_root, e.h = root as verified from p join g using (tree) join e using (rid), r"""
+
+
+_OP13_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as w from embeddings
+    where label is not null and embedding is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
+s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_sum(list_transform(list_zip(a.w, b.w), lambda z: z[1] * z[2]))::bigint as score
+    from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+n as (select p.*, other_id as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank
+    from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": _mix_sql(),
@@ -216,4 +290,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_url_filters": _op9_sql(),
         "op7_substring_dedup": _OP7_SQL,
         "op10_line_dedup": _OP10_SQL,
+        "op12_merkle_manifest": _op12_sql(),
+        "op13_hard_negatives": _OP13_SQL,
     }
