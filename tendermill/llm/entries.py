@@ -91,9 +91,9 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = str(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
-    ids = (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
-    return sentence_pieces.decode(coded, model).select("doc_id", *ids, F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

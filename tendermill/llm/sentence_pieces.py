@@ -21,7 +21,9 @@ from .token_output import _gather, _some_at_a_time
 MARK = "▁"
 _MARK_BYTES = np.frombuffer(MARK.encode(), dtype=np.uint8)
 #: Parts of texts whose pieces a worker remembers before it forgets all of them (about 200 bytes each).
-CACHE_PARTS = 600_000
+CACHE_PARTS = 400_000
+#: Bytes of text that a task encodes at a time, or one text.
+TEXT_BYTES = 1_000_000
 #: Parts of at most so many signs are merged many at a time; longer ones alone, in time that grows with n log n.
 SHORT = 48
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -356,24 +358,25 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True, decoded: bool = False) -> DataFrame:
     """``docs`` with the piece ids of ``text`` (``ids``: binary, 32 bits each, little-endian) and the original bytes of each piece.
 
     ``model`` is a sentencepiece file (BPE with byte fallback) that every executor has. ``begins`` and ``ends`` (arrays of int) say
     which bytes of the UTF-8 text a piece covers: ``text[begin:end]``. A sign without a piece becomes its bytes; the last of them
     covers the sign, those before are empty at its start. Begin and end ids (``ends=True``) are empty at 0 and at the text's
     length. A replaced stretch of text belongs as a whole to the pieces that start in its replacement. A null or empty text has no piece
-    but the begin and end ids. All other columns pass; ones named ``ids``, ``begins`` or ``ends`` are replaced. Repeated rows are
-    encoded each. Nothing is shuffled; a task holds 8 MB of text, or one text, at a time.
+    but the begin and end ids. All other columns pass; ones named ``ids``, ``begins``, ``ends`` (or ``decoded``) are replaced. Repeated rows are
+    encoded each. ``decoded=True`` adds what ``decode`` adds, in the same pass. Nothing is shuffled; a task holds 1 MB of text, or one
+    text, at a time.
     """
     ship(docs.sparkSession)
-    docs = without(docs, ["ids", "begins", "ends"])
+    docs = without(docs, ["ids", "begins", "ends", *["decoded"] * decoded])
     at = [c.lower() for c in docs.columns].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for batch in batches:
-            for lo, hi in _some_at_a_time(batch.column(at)):
+            for lo, hi in _some_at_a_time(batch.column(at), TEXT_BYTES):
                 some = batch.slice(lo, hi - lo)
                 coded = encoder.many([t or "" for t in some.column(at).to_pylist()], ends)
                 counts = pa.array(np.cumsum([0, *(len(c[0]) for c in coded)]), pa.int32())
@@ -382,7 +385,23 @@ def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True) -
                 yield pa.RecordBatch.from_arrays([*some.columns, ids, *spans], names=[*some.schema.names, "ids", "begins", "ends"])
 
     schema = StructType([*docs.schema.fields]).add("ids", "binary").add("begins", ArrayType(IntegerType())).add("ends", ArrayType(IntegerType()))
-    return docs.mapInArrow(run, schema)
+    if not decoded:
+        return docs.mapInArrow(run, schema)
+    ids = len(docs.columns)
+    return docs.mapInArrow(lambda batches: _decoded(run(batches), ids, model), StructType([*schema.fields]).add("decoded", "string"))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], at: int, model: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the library's text of the ids in column ``at``."""
+    library = _encoder(model).library
+    for batch in batches:
+        for lo, hi in _some_at_a_time(batch.column(at), TEXT_BYTES):
+            some = batch.slice(lo, hi - lo)
+            ids = [None if raw is None else np.frombuffer(raw, dtype="<u4").tolist() for raw in some.column(at).to_pylist()]
+            known = [i for i in ids if i is not None]
+            texts = iter(library.decode(known, num_threads=1) if known else [])
+            out = pa.array([None if i is None else next(texts) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*some.columns, out], names=[*some.schema.names, "decoded"])
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
@@ -391,17 +410,7 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     coded = without(coded, ["decoded"])
     at = [c.lower() for c in coded.columns].index("ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _encoder(model).library
-        for batch in batches:
-            for lo, hi in _some_at_a_time(batch.column(at)):
-                some = batch.slice(lo, hi - lo)
-                ids = [None if raw is None else np.frombuffer(raw, dtype="<u4").tolist() for raw in some.column(at).to_pylist()]
-                texts = iter(library.decode([i for i in ids if i is not None], num_threads=1) if any(i is not None for i in ids) else [])
-                out = pa.array([None if i is None else next(texts) for i in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*some.columns, out], names=[*some.schema.names, "decoded"])
-
-    return coded.mapInArrow(run, StructType([*coded.schema.fields]).add("decoded", "string"))
+    return coded.mapInArrow(lambda batches: _decoded(batches, at, model), StructType([*coded.schema.fields]).add("decoded", "string"))
 
 
 def covered(text: str, begins: list[int], ends: list[int]) -> list[str]:

@@ -181,12 +181,12 @@ def encode(texts: pa.Array | list[str], path: str) -> list[bytes]:
     return [next(rest).tobytes() if w else next(cut) for w in whole.to_pylist()]
 
 
-def _some_at_a_time(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of ``ENCODE_BYTES`` of text, or of one row."""
+def _some_at_a_time(texts: pa.Array, most: int = ENCODE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of ``most`` bytes of text, or of one row."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ENCODE_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
         yield lo, hi
         lo = hi
 
