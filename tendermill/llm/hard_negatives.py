@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -193,34 +192,27 @@ def mine(vectors: DataFrame, anchors: Column, id: str = "vec_id", vector: str =
         planes = np.random.default_rng(0).standard_normal((width, _CODE_BITS))
         for batch in batches:
             sides = (_matrix(batch.column(3), width, True) @ planes > 0) @ (1 << np.arange(_CODE_BITS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sides, pa.int64())], names=[*batch.schema.names, "code"])
-
-    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_blocks = [], 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n_blocks
-            some = pa.Table.from_batches(held)
-            vectors = _matrix(some["vec"].combine_chunks(), width, whole)
-            held, rest = some.slice(most).to_batches(), some.slice(0, most)
-            tree, order = Tree.grown(vectors[:most])
-            block = (TaskContext.get().partitionId() << 32) + n_blocks
-            n_blocks += 1
-            extra = {"block": np.full(len(order), block), "node": np.arange(len(order)), "parent": tree.parent, "edge": tree.edge}
-            rest = rest.take(pa.array(order))
-            yield from pa.table({c: rest[c] for c in ("rid", "id", "label", "vec")} | {c: pa.array(v) for c, v in extra.items()}).combine_chunks().to_batches()
-
-        for batch in batches:
-            held.append(batch)
-            while sum(b.num_rows for b in held) >= most:
-                yield from close()
-        if any(b.num_rows for b in held):
-            yield from close()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sides, pa.int64())], names=[*batch.schema.names, "side"])
+
+    def grown(key: tuple, table: pa.Table) -> pa.Table:
+        out = []
+        for k, at in enumerate(range(0, len(table), most)):
+            some = table.slice(at, most).combine_chunks()
+            tree, order = Tree.grown(_matrix(some["vec"].chunk(0), width, whole))
+            some = some.take(pa.array(order))
+            extra = {"block": np.full(len(order), (key[0].as_py() << 16) + k), "node": np.arange(len(order)), "parent": tree.parent, "edge": tree.edge}
+            out.append(pa.table({c: some[c] for c in ("rid", "id", "label", "vec")} | {c: pa.array(v) for c, v in extra.items()}))
+        return pa.concat_tables(out)
 
     picked = rows.where("anchor").select("rid", "id", "label", "vec")
-    parts = max(1, -(-n // most))
-    ranged = tables.written(picked.mapInArrow(coded, StructType([*picked.schema.fields]).add("code", "long")), "anchor-codes").repartitionByRange(parts, "code", "rid")
-    forest = tables.written(ranged.drop("code").mapInArrow(grown, "rid bigint, id bigint, label string, vec array<double>, block bigint, node bigint, parent bigint, edge double"), "anchor-trees")
+    # equal sides are told apart by a hash, so that blocks are of about equal size whatever the vectors are
+    code = F.shiftleft(F.col("side"), 32) + F.pmod(F.xxhash64("rid"), F.lit(1 << 32))
+    codes = tables.written(picked.mapInArrow(coded, StructType([*picked.schema.fields]).add("side", "long")).withColumn("code", code).drop("side"), "anchor-codes")
+    parts = max(1, -(-n * 5 // (most * 4)))
+    cuts = codes.agg(F.percentile_approx("code", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []  # a number for each pass
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("code"))).alias("place")
+    grouped = codes.select("rid", "id", "label", "vec", place).groupBy("place")
+    forest = tables.written(grouped.applyInArrow(grown, "rid bigint, id bigint, label string, vec array<double>, block bigint, node bigint, parent bigint, edge double"), "anchor-trees")
     blocks = [r["block"] for r in forest.select("block").distinct().orderBy("block").collect()]  # a number for each pass
 
     near, far = fresh_path(spark, "positives"), fresh_path(spark, "negatives")
