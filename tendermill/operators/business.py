@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..functions.text import first_int, is_package_unit, unit_price
+from ..runtime import written
 from .filters import MATCH_KEY, trusted, view_active
 
 MONEY = "decimal(18,4)"
@@ -41,9 +43,33 @@ def cost_margin(price: Column, cost: Column, per_unit: Column, unit: Column) ->
     )
 
 
+def group_median(values: DataFrame, group: list[str], value: str = "valor") -> DataFrame:
+    """The exact median ``m`` and the count ``n`` of each group's values that are not null; a group without any has no row.
+
+    Equal values are counted where they are read. The counts are dealt out by ranges of group and value; a value's place follows from
+    the counts before it in its range and in earlier ranges of its group, so that a group of any size is spread over tasks. The
+    median is the mean of the values in the two middle places.
+    """
+    spark = values.sparkSession
+    rows = values.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
+    counts = written(rows.groupBy(*group, "__v").agg(F.count("*").alias("__c")), "median-counts")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(counts.repartitionByRange(parts, *group, "__v").withColumn("__part", F.spark_partition_id()), "median-ranges")
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*group, "__part").agg(F.sum("__c").alias("__s"))
+    sums = sums.withColumns({"__base": F.coalesce(F.sum("__s").over(before), F.lit(0)), "n": F.sum("__s").over(whole)}).drop("__s")
+    inside = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "__part"]])
+    placed = ranged.withColumn("__upto", F.sum("__c").over(inside)).alias("a").join(sums.alias("b"), keyed)
+    upto = F.col("__upto") + F.col("__base")
+    middle = [F.min(F.when(upto >= k, F.col("__v"))) for k in (F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)]
+    return placed.groupBy(*[F.col(f"a.{c}").alias(c) for c in group], "n").agg((0.5 * middle[0] + 0.5 * middle[1]).alias("m")).select(*group, "m", "n")
+
+
 def outlier_band(values: DataFrame, group: list[str], value: str = "valor", mult: float = 15, min_n: int = 5) -> DataFrame:
     """``lo`` and ``hi`` around each group's median; null where the group is too small."""
-    g = values.groupBy(*group).agg(F.percentile(value, F.lit(0.5)).alias("m"), F.count(value).alias("n"))
+    g = group_median(values, group, value)
     ok = (F.col("n") >= min_n) & (F.col("m") > 0)
     return g.select(*group, F.when(ok, F.col("m") / mult).alias("lo"), F.when(ok, F.col("m") * mult).alias("hi"))
 
@@ -56,17 +82,19 @@ def price_stats(match_itens: DataFrame, itens: DataFrame) -> DataFrame:
     """Market prices of each product from trusted items, by piece, without outliers. (The band holds the median, so no sample is emptied.)"""
     refs = match_itens.filter(trusted() & F.col("produto_id").isNotNull()).select("produto_id", "edital_id", "numero")
     values = refs.join(itens.select("edital_id", "numero", unit_price(F.col("descricao"), F.col("valor_unitario")).alias("valor")), ["edital_id", "numero"]).filter("valor is not null")
+    values = written(values, "prices")
     kept = values.join(outlier_band(values, ["produto_id"]), "produto_id").filter(in_band(F.col("valor")))
-    return kept.groupBy("produto_id").agg(
-        F.count("*").alias("ocorrencias"), rounded(F.min("valor"), 2).alias("minimo"), rounded(F.percentile("valor", F.lit(0.5)), 2).alias("mediana"),
-        rounded(_sum(F.col("valor")) / F.count("*"), 2).alias("media"), rounded(F.max("valor"), 2).alias("maximo"),
+    totals = kept.groupBy("produto_id").agg(F.count("*").alias("ocorrencias"), F.min("valor").alias("__lo"), _sum(F.col("valor")).alias("__s"), F.max("valor").alias("__hi"))
+    return totals.join(group_median(kept, ["produto_id"]).select("produto_id", "m"), "produto_id").select(
+        "produto_id", "ocorrencias", rounded("__lo", 2).alias("minimo"), rounded("m", 2).alias("mediana"),
+        rounded(F.col("__s") / F.col("ocorrencias"), 2).alias("media"), rounded("__hi", 2).alias("maximo"),
     )
 
 
 def price_evidence(match_itens: DataFrame, itens: DataFrame, editais: DataFrame) -> DataFrame:
     """The items behind each product's prices, with the reason why one doesn't count. The band is over all items of the product's notices."""
-    refs = match_itens.filter(trusted() & F.col("produto_id").isNotNull()).select("produto_id", "edital_id", "numero")
-    priced = itens.select("edital_id", "numero", "descricao", "valor_unitario", unit_price(F.col("descricao"), F.col("valor_unitario")).alias("valor"))
+    refs = written(match_itens.filter(trusted() & F.col("produto_id").isNotNull()).select("produto_id", "edital_id", "numero"), "price-refs")
+    priced = written(itens.select("edital_id", "numero", "valor_unitario", unit_price(F.col("descricao"), F.col("valor_unitario")).alias("valor")), "priced")
     around = refs.select("produto_id", "edital_id").distinct().join(priced.filter("valor is not null").select("edital_id", "valor"), "edital_id")
     rows = refs.join(priced, ["edital_id", "numero"]).join(outlier_band(around, ["produto_id"]), "produto_id")
     rows = rows.join(editais.select(F.col("id").alias("edital_id"), "orgao", "uf"), "edital_id")

@@ -117,14 +117,16 @@ def seconds_since_end(logs: DataFrame, group: str, ts: str, now: dt.datetime) ->
     return last_finished(logs, group, ts).withColumn("segundos", F.floor(passed / 1_000_000).cast("long"))
 
 
-def search_unmatched(editais: DataFrame, itens: DataFrame, matches: DataFrame, usuario_id: int, term: str, as_of: dt.date, ufs=None, kind=None, n: int = 20, valor: tuple | None = None, today: bool = False) -> DataFrame:
+def search_unmatched(editais: DataFrame, itens: DataFrame, matches: DataFrame, usuario_id: int, term: str, as_of: dt.date, ufs=None, kind=None, n: int = 20, valor: tuple | None = None, today: bool = False, view: str = "ativos") -> DataFrame:
     """The newest notices with the term in an item and without a match of the tenant, each with up to 3 of those descriptions.
 
     ``valor`` are the least and the largest estimate (each may be null); ``today`` keeps those that open on ``as_of``.
+    Only the view ``ativos`` leaves out notices that have opened; every other view searches all.
     """
     hits = itens.filter(F.contains(F.lower("descricao"), F.lit(term.strip().lower())))
     e = by_uf(editais, ufs) if valor is None else by_range(by_uf(editais, ufs), "valor_estimado", *valor)
-    e = view_active(opens_on(e, as_of) if today else e, as_of).withColumnRenamed("id", "edital_id")
+    e = opens_on(e, as_of) if today else e
+    e = (view_active(e, as_of) if view == "ativos" else e).withColumnRenamed("id", "edital_id")
     e = has_item_kind(e, itens, kind).join(hits.select("edital_id"), "edital_id", "left_semi").join(for_tenant(matches, usuario_id).select("edital_id"), "edital_id", "left_anti")
     top = e.orderBy(F.desc("coletado_em"), F.desc("edital_id")).limit(n)
     some = hits.join(F.broadcast(top.select("edital_id")), "edital_id", "left_semi").groupBy("edital_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("numero", "descricao"))), 1, 3).alias("s"))

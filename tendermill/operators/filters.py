@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from .terms import term_hits
 
-TRACKED = ["vou_participar", "proposta_enviada", "ganho"]
+#: States of a match that its tenant took part in, whatever came of it (fixed values).
+TRACKED = ["proposta_enviada", "ganho", "perdido"]
 MATCH_KEY = ["usuario_id", "edital_id"]
 
 
@@ -97,9 +99,7 @@ def exclude(editais: DataFrame, itens: DataFrame, regras: DataFrame) -> DataFram
     notices = notices.withColumn("alvo", F.concat_ws(" ", "objeto", F.coalesce("itens", F.lit(""))))
     terms = regras.filter("tipo = 'termo'").select("usuario_id", normalize(F.col("valor")).alias("termo")).filter("termo <> ''").distinct()
     kinds = regras.filter("tipo = 'categoria'").select("usuario_id", F.col("valor").alias("modalidade")).distinct()
-    # a notice meets each distinct term once, whoever owns it, some terms at a time
-    met = _with_blocks(notices.select("edital_id", "alvo"), terms.select("termo").distinct(), "termo", "termos")
-    met = met.select("edital_id", F.explode(F.filter("termos", lambda t: F.contains("alvo", t))).alias("termo"))
+    met = term_hits(notices.select("edital_id", "alvo"), terms, "edital_id", "alvo")
     by_term = met.join(terms, "termo").select("usuario_id", "edital_id")
     by_kind = notices.join(kinds, "modalidade").select("usuario_id", "edital_id")
     return by_term.unionByName(by_kind).distinct()

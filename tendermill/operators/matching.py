@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine, rounded
 from ..functions.text import clip, digits, normalize, product_text, token_set_ratio
+from ..runtime import written
 from .filters import MATCH_KEY, engaged
+from .overlap import OverlapIndex
 from .tables import latest_confirmation
 
 ITEM_KEY = ["usuario_id", "edital_id", "numero"]
@@ -79,8 +81,13 @@ def code_winners(items: DataFrame, index: DataFrame, scores: DataFrame, floor: f
     """Items (``ITEM_KEY``, ``ncm, catalogo_codigo``) won by a code whose product's own score reaches the floor: ncm, then catmat, then catser."""
     asked = code_probes(items)
     found = asked.join(index, ["usuario_id", "tipo", "codigo"]).join(scores, [*ITEM_KEY, "produto_id"]).filter(F.col("score") >= floor)
-    best = found.groupBy(*ITEM_KEY).agg(F.min(F.struct("ordem", "produto_id", "tipo", "codigo")).alias("b"))
-    return best.select(*ITEM_KEY, "b.produto_id", F.concat(F.lit("código "), F.upper("b.tipo"), F.lit(" "), F.col("b.codigo")).alias("motivo"))
+    return first_by_code(found)
+
+
+def first_by_code(found: DataFrame, key: list[str] = ITEM_KEY) -> DataFrame:
+    """Of the products that an item's codes name (``ordem, tipo, codigo, produto_id``) the first."""
+    best = found.groupBy(*key).agg(F.min(F.struct("ordem", "produto_id", "tipo", "codigo")).alias("b"))
+    return best.select(*key, "b.produto_id", F.concat(F.lit("código "), F.upper("b.tipo"), F.lit(" "), F.col("b.codigo")).alias("motivo"))
 
 
 def code_probes(items: DataFrame) -> DataFrame:
@@ -219,17 +226,6 @@ def lifecycle(old: DataFrame, match_itens: DataFrame, fresh: DataFrame, excluded
     return out.withColumn("novo_forte", (F.col("acao") == "criar") & (F.col("nivel_novo") == "forte") & F.lit(not full)).drop("__o", "__x")
 
 
-def overlap_scorer(pairs: DataFrame) -> DataFrame:
-    """``score`` of (``texto_item, texto_produto``): words that both normalized texts have, of all their words. Columns only."""
-
-    def words(c: str) -> Column:
-        return F.array_distinct(F.array_remove(F.split(normalize(F.col(c)), " "), ""))
-
-    w = pairs.withColumns({"__i": words("texto_item"), "__p": words("texto_produto")})
-    all_words = F.size(F.array_union("__i", "__p"))
-    return w.withColumn("score", F.when(all_words > 0, F.size(F.array_intersect("__i", "__p")) / all_words).otherwise(0.0)).drop("__i", "__p")
-
-
 def text_scores(texts: DataFrame, produtos: DataFrame, scorer: Scorer = text_scorer) -> DataFrame:
     """``usuario_id, texto, produto_id, score`` of every distinct text (``usuario_id, texto``) with every product of its tenant.
 
@@ -249,45 +245,77 @@ def catalog_scores(scope: DataFrame, items: DataFrame, produtos: DataFrame, scor
     return asked.join(text_scores(asked, produtos, scorer), ["usuario_id", "texto"]).select(*ITEM_KEY, "produto_id", "score")
 
 
-def match_items(scope: DataFrame, items: DataFrame, produtos: DataFrame, scorer: Scorer = text_scorer, index: DataFrame | None = None, p: MatchParams = MatchParams()) -> DataFrame:
+def match_items(scope: DataFrame, items: DataFrame, produtos: DataFrame, scorer: Scorer | OverlapIndex = text_scorer, index: DataFrame | None = None, p: MatchParams = MatchParams()) -> DataFrame:
     """``ITEM_KEY, texto`` of every item in scope with what ``chosen`` finds for it, null where no product has a positive score.
 
-    Without codes the choice depends on the text alone, so products are ranked for each distinct text of a tenant and never for each
-    item. Items that a code names (``index``; ``items`` then have ``ncm`` and ``catalogo_codigo``) are few products each.
+    The choice depends on an item's text and codes alone (``index``; ``items`` then have ``ncm`` and ``catalogo_codigo``), so each
+    form, that is a text with its codes, is numbered, and products are ranked for each form of a tenant and never for each item. An
+    ``OverlapIndex`` finds the best products of a text without all pairs; any other scorer knows no bound and gets every product of
+    the tenant. Forms, items in scope and scores are written once, as several branches read them.
+    """
+    best, forms = _match_items(scope, items, produtos, scorer, index, p)
+    return best.join(forms.select("forma", "texto"), "forma").drop("forma")
+
+
+def _match_items(scope: DataFrame, items: DataFrame, produtos: DataFrame, scorer: Scorer | OverlapIndex, index: DataFrame | None, p: MatchParams) -> tuple[DataFrame, DataFrame]:
+    codes = [] if index is None else ["ncm", "catalogo_codigo"]
+    texts = written(items.select("texto").distinct().withColumn("texto_id", F.monotonically_increasing_id()), "match-texts")
+    forms = written(items.select("texto", *codes).distinct().join(texts, "texto").withColumn("forma", F.monotonically_increasing_id()), "match-forms")
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ["texto", *codes]]
+    numbered = items.alias("i").join(forms.alias("f"), same).select("i.edital_id", "i.numero", "f.forma")
+    asked = written(scope.join(numbered, "edital_id").select(*ITEM_KEY, "forma"), "match-asked")
+    key = ["usuario_id", "forma"]
+    mine = written(asked.select(*key).distinct().join(forms.select("forma", "texto_id", *codes), "forma"), "match-mine")
+    # a code's product counts by its own score for the text, so no form is paired with more than the products that its codes name
+    probes = None if index is None else written(code_probes(mine).join(index, ["usuario_id", "tipo", "codigo"]).drop(*codes), "match-probes")
+    if isinstance(scorer, OverlapIndex):
+        scores = scorer.search(mine, texts, also=probes)
+    else:
+        scores = text_scores(mine.select("usuario_id", "texto_id").distinct().join(texts, "texto_id"), produtos, scorer).join(texts, "texto").drop("texto")
+    scores = written(scores, "match-scores")
+    by_code = None if index is None else first_by_code(probes.join(scores, ["usuario_id", "texto_id", "produto_id"]).filter(F.col("score") >= p.code_floor), key)
+    ranked = chosen(mine.select(*key, "texto_id").join(scores, ["usuario_id", "texto_id"]).drop("texto_id"), by_code, p, key)
+    columns = [*ITEM_KEY, "forma", "produto_id", "score", "motivo", "por_codigo", "segundo", "candidatos"]
+    return asked.join(written(ranked, "match-ranked"), key, "left").select(columns), forms
+
+
+def keep_confirmed(detail: DataFrame, confirmed: DataFrame, itens: DataFrame, produtos: DataFrame) -> DataFrame:
+    """``detail`` in which what a tenant confirmed by hand stands, whatever was found afresh.
+
+    A confirmed item (``ITEM_KEY, produto_id``, a null product for "none of these") takes the place of the fresh row of that item, or
+    comes after all rows if there is none. A confirmation whose product has left the catalog counts for nothing.
     """
-    asked = scope.join(items, "edital_id")
-    scores = text_scores(asked, produtos, scorer)
-    found = asked.join(chosen(scores, p=p, key=["usuario_id", "texto"]), ["usuario_id", "texto"], "left")
-    columns = [*ITEM_KEY, "texto", "produto_id", "score", "motivo", "por_codigo", "segundo", "candidatos"]
-    if index is None:
-        return found.select(columns)
-    named = code_probes(asked).join(index, ["usuario_id", "tipo", "codigo"]).select("usuario_id", "texto", "produto_id").distinct()
-    own = asked.select(*ITEM_KEY, "texto").join(scores.join(named, ["usuario_id", "texto", "produto_id"], "left_semi"), ["usuario_id", "texto"])
-    by_code = code_winners(asked, index, own.select(*ITEM_KEY, "produto_id", "score"), p.code_floor)
-    # the coded items are ranked anew, with the code's winner first, among the products that were ranked for their text
-    coded = asked.select(*ITEM_KEY, "texto").join(by_code.select(*ITEM_KEY), ITEM_KEY, "left_semi").join(scores, ["usuario_id", "texto"])
-    again = asked.select(*ITEM_KEY, "texto").join(chosen(coded.select(*ITEM_KEY, "produto_id", "score"), by_code, p), ITEM_KEY)
-    return found.join(by_code, ITEM_KEY, "left_anti").select(columns).unionByName(again.select(columns))
+    known = produtos.select("usuario_id", F.col("id").alias("produto_id"), F.lit(True).alias("__k"))
+    kept = latest_confirmation(confirmed).join(known, ["usuario_id", "produto_id"], "left").filter("produto_id is null or __k")
+    kept = kept.join(itens.select("edital_id", "numero", "descricao"), ["edital_id", "numero"], "left").select(
+        *ITEM_KEY, clip(F.col("descricao"), 160).alias("descricao_item"), "produto_id", F.when(F.col("produto_id").isNull(), 0.0).otherwise(1.0).alias("score_item"),
+        F.lit("confirmado").alias("motivo"), F.lit("alta").alias("confianca"), F.lit(True).alias("confirmado_manualmente"),
+    )
+    place = detail.select(*ITEM_KEY, "posicao")
+    rows = detail.join(kept.select(*ITEM_KEY), ITEM_KEY, "left_anti").unionByName(kept.join(place, ITEM_KEY, "left"))
+    order = Window.partitionBy(*MATCH_KEY).orderBy(F.col("posicao").asc_nulls_last(), "numero")
+    return rows.withColumn("posicao", F.row_number().over(order))
 
 
 def full_matching(
     editais: DataFrame, itens: DataFrame, produtos: DataFrame, scope: DataFrame, excluded: DataFrame, old: DataFrame, match_itens: DataFrame, confirmed: DataFrame,
-    scorer: Scorer = text_scorer, index: DataFrame | None = None, full: bool = True, p: MatchParams = MatchParams(),
+    scorer: Scorer | OverlapIndex = text_scorer, index: DataFrame | None = None, full: bool = True, p: MatchParams = MatchParams(),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One run of matching for all tenants, from texts to what becomes of each match: rolled scores, actions, and the detail of listed items.
 
     ``scope`` (``usuario_id, edital_id``) are the open notices and those that a tenant follows (``matching_scope``). Excluded ones leave
     it before anything is scored, and an incremental run leaves out what has a match. Every item counts, at 0 without a product;
-    confirmations by hand come before scores.
+    confirmations by hand come before scores, and stay in the detail. What is found for the items is written once.
     """
-    asked = incremental_scope(scope.join(excluded.select(*MATCH_KEY), MATCH_KEY, "left_anti"), old, full)
+    asked = written(incremental_scope(scope.join(excluded.select(*MATCH_KEY), MATCH_KEY, "left_anti"), old, full), "match-scope")
     items = targets(editais, itens).join(asked.select("edital_id").distinct(), "edital_id", "left_semi")
-    best = match_items(asked, items, active_catalog(produtos), scorer, index, p)
+    best, _ = _match_items(asked, items, active_catalog(produtos), scorer, index, p)
     scores = best.select(*ITEM_KEY, F.coalesce("score", F.lit(0.0)).alias("score"))
-    rolled = rollup(merge_confirmations(scores, confirmed.join(asked, MATCH_KEY, "left_semi"), produtos), p)
+    mine = confirmed.join(asked, MATCH_KEY, "left_semi")
+    rolled = rollup(merge_confirmations(scores, mine, produtos), p)
     actions = lifecycle(old, match_itens, rolled, excluded, full)
-    detail = detail_rows(confidence(best.filter("produto_id is not null").drop("texto"), p), itens)
-    return rolled, actions, detail
+    detail = detail_rows(confidence(best.filter("produto_id is not null").drop("forma"), p), itens)
+    return rolled, actions, keep_confirmed(detail, mine, itens, produtos)
 
 
 def run_matching(item_scores: DataFrame, editais: DataFrame, excluded: DataFrame, old: DataFrame, match_itens: DataFrame, as_of: dt.date, full: bool = True, p: MatchParams = MatchParams()) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
 from ..functions.text import contains_all_tokens, expand_abbreviations, normalize, search_tokens, significant_words, token_set_ratio
+from ..runtime import written
 from ..sources.notices import first_of, get, parse_response
 from .calendar import document_status
+from .terms import PhraseIndex
 
 # Groups of required documents.
 CATEGORIES = {
@@ -107,12 +109,12 @@ def rank_codes(hits: DataFrame, queries: DataFrame, n: int = 30) -> DataFrame:
 
 
 def phrase_or_words(corpus: DataFrame, queries: DataFrame, text: str, code: str) -> DataFrame:
-    """Hits (``query_id``, code) of each whole phrase; of its significant words where the phrase has none."""
-    up = corpus.select(code, F.upper(text).alias("__c"))
+    """Hits (``query_id``, code) of each whole phrase; of its significant words where the phrase has none. A blank phrase has no hit."""
+    index = PhraseIndex(corpus.select(code, F.upper(text).alias("__u")), "__u", code)
     q = queries.select("query_id", F.upper(F.trim("termo")).alias("__q"), significant_words(F.col("termo")).alias("__w"))
-    whole = q.join(up, F.contains("__c", "__q")).select("query_id", code).distinct()
+    whole = written(q.select("query_id", "__q").join(index.search(q, "__q"), "__q").select("query_id", code).distinct(), "phrase-hits")
     rest = q.join(whole.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.explode("__w").alias("__q"))
-    return whole.unionByName(rest.join(up, F.contains("__c", "__q")).select("query_id", code).distinct())
+    return whole.unionByName(rest.join(index.search(rest, "__q"), "__q").select("query_id", code).distinct())
 
 
 def relevant_passages(chunks: DataFrame, chunk_vectors: DataFrame, query_vectors: DataFrame, k: int = 2, budget: int = 80_000) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, digits
@@ -112,16 +112,34 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
+# The columns of the exports, in order.
+MATCH_COLUMNS = ["nivel", "score", "itens_compativeis", "orgao", "uf", "municipio", "modalidade", "valor_estimado", "data_encerramento", "objeto", "link"]
+CATALOG_COLUMNS = [
+    "descricao", "palavras_chave", "ncm", "ean", "catmat", "catser", "fabricante", "marca", "modelo", "preco_custo", "preco_venda", "unidade_venda",
+    "itens_por_unidade", "fornecedor_telefone", "fornecedor_nome", "fornecedor_contato", "fornecedor_site",
+]
+
+
+def _with_all(df: DataFrame, columns: list[str]) -> list[Column]:
+    """``columns`` of ``df``; those that it lacks are null texts."""
+    return [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
+
+
 def export_matches(matches: DataFrame, editais: DataFrame, nivel: str | None = None) -> DataFrame:
+    """The export of matches, each tenant's best first: ``usuario_id``, then ``MATCH_COLUMNS``; the object is cut at 300 signs."""
     rows = matches if nivel is None else matches.filter(F.col("nivel") == nivel)
-    e = editais.withColumnRenamed("id", "edital_id")
-    out = rows.join(e, "edital_id").select("usuario_id", "edital_id", "nivel", "score", "orgao", clip(F.col("objeto"), 300).alias("objeto"), "modalidade", "uf", "valor_estimado", "data_abertura", "status")
-    return out.orderBy(F.desc("score"), "usuario_id", "edital_id")
+    notice = [c for c in MATCH_COLUMNS if c in editais.columns]
+    e = editais.select(F.col("id").alias("edital_id"), *notice).withColumn("objeto", clip(F.coalesce("objeto", F.lit("")), 300))
+    both = rows.drop(*notice).join(e, "edital_id").orderBy("usuario_id", F.desc("score"), "edital_id")
+    return both.select("usuario_id", *_with_all(both, MATCH_COLUMNS))
 
 
 def export_catalog(produtos: DataFrame, fornecedores: DataFrame) -> DataFrame:
-    phones = fornecedores.select(F.col("id").alias("fornecedor_id"), F.col("telefone").alias("fornecedor_telefone"))
-    return produtos.join(phones, "fornecedor_id", "left").orderBy("descricao", "id")
+    """The export of catalogs: ``usuario_id``, then ``CATALOG_COLUMNS`` by description; a product without a supplier has an empty phone."""
+    phones = fornecedores.select(F.col("id").alias("fornecedor_id"), F.coalesce("telefone", F.lit("")).alias("fornecedor_telefone"))
+    both = produtos.drop("fornecedor_telefone").join(phones, "fornecedor_id", "left").withColumn("fornecedor_telefone", F.coalesce("fornecedor_telefone", F.lit("")))
+    both = both.orderBy("usuario_id", "descricao", "id")
+    return both.select("usuario_id", *_with_all(both, CATALOG_COLUMNS))
 
 
 def run_log(batch: DataFrame, group: str) -> DataFrame:

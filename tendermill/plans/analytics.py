@@ -211,6 +211,12 @@ def _(t: Tables):
     return calendar.search_unmatched(t.editais, t.itens, t.matches, 1, "Caixa com 1", AS_OF)
 
 
+@R.add("srt_05_search_all_views", """with h as (select * from itens where contains(lower(descricao), 'caixa com 1')), top as (select * from editais e where uf in ('NATION_2', 'NATION_3', 'NATION_6') and id in (select edital_id from h) and id not in (select edital_id from matches where usuario_id = 1) order by coletado_em desc, id desc limit 20)
+select top.id as edital_id, top.uf, array_to_string(list_slice(list(h.descricao order by h.numero), 1, 3), ' | ') as amostra from top join h on h.edital_id = top.id group by top.id, top.uf""")
+def _(t: Tables):
+    return calendar.search_unmatched(t.editais, t.itens, t.matches, 1, "caixa com 1", AS_OF, ufs=["nation_2", "NATION_3", "NATION_6"], view="encerrados")
+
+
 @R.add("srt_06_ordered_items", "select edital_id, numero, descricao from itens")
 def _(t: Tables):
     return calendar.ordered_items(t.itens).select("edital_id", "numero", "descricao")

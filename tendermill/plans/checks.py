@@ -9,6 +9,8 @@ from ..functions import attributes, numbers, text
 from ..operators import matching, search, validation
 from ..runtime import scratch
 from ..streaming import streams
+from .matching import _FULL
+from .matching import _coded as coded_catalog
 from .views import AS_OF, Registry, Tables
 
 R = Registry()
@@ -262,6 +264,23 @@ def _(t: Tables):
     return t.spark.read.option("recursiveFileLookup", "true").parquet(out).select("usuario_id", "edital_id", "melhor", "itens_compativeis")
 
 
+_ARRIVED = _FULL.replace("m.edital_id % 10 = 0", "false").replace("item_scores where confirmado)", "item_scores where false)")
+
+
+@R.add("str_02_arrivals", f"{_ARRIVED} select usuario_id, edital_id, score as score_novo, nivel as nivel_novo, case when nivel = 'fraco' then 'ignorar' else 'criar' end as acao, nivel = 'forte' as novo_forte from lev")
+def _(t: Tables):
+    t.store("itens", "item_scores")
+    scores, none = t.item_scores, t.matches.limit(0)
+    excl = scores.filter("edital_id % 11 = 0").select("usuario_id", "edital_id").distinct()
+    codes, itens = coded_catalog(t), t.itens.withColumns({"ncm": (F.col("produto_ref") % 97).cast("string"), "catalogo_codigo": (F.col("produto_ref") % 53).cast("string")})
+    confirmed = scores.select("usuario_id", "edital_id", "numero", F.col("produto_ref").alias("produto_id")).limit(0)
+    index = streams.VersionedIndex(lambda: t.produtos, lambda: 1)
+    out, check = scratch(t.spark, "arrivals"), scratch(t.spark, "checkpoint")
+    streams.match_arrivals(_landed(t, t.editais), itens, t.produtos, t.usuarios, lambda: none, t.match_itens.limit(0), confirmed, lambda b: excl, index, AS_OF, out, check, matching.code_index(codes)).awaitTermination()
+    done = t.spark.read.option("recursiveFileLookup", "true").parquet(out)
+    return done.filter("nivel_novo is not null").select("usuario_id", "edital_id", "score_novo", "nivel_novo", "acao", "novo_forte")
+
+
 def _attempts(t: Tables) -> DataFrame:
     e = t.events.filter("event_type in ('error', 'signup')")
     return e.select(F.col("user_id").alias("chave"), "ts", (F.col("event_type") == "signup").alias("limpa"))

@@ -99,7 +99,7 @@ def _(t: Tables):
     return tables.backfill_unit(i, found).select("edital_id", "numero", "unidade_medida")
 
 
-@R.add("snk_11_backfill_scope", f"select id from editais e where exists (select 1 from itens i where i.edital_id = e.id and i.unidade_medida is null) and (e.data_abertura is null or e.data_abertura >= {_D} or exists (select 1 from matches m where m.edital_id = e.id and m.status in ('vou_participar', 'proposta_enviada', 'ganho')))")
+@R.add("snk_11_backfill_scope", f"select id from editais e where exists (select 1 from itens i where i.edital_id = e.id and i.unidade_medida is null) and (e.data_abertura is null or e.data_abertura >= {_D} or exists (select 1 from matches m where m.edital_id = e.id and m.status in ('proposta_enviada', 'ganho', 'perdido')))")
 def _(t: Tables):
     return tables.backfill_scope(t.editais, t.itens, t.matches, AS_OF, filters.TRACKED).select("id")
 
@@ -111,14 +111,45 @@ def _(t: Tables):
     return tables.apply_descriptions(t.itens, done).select("edital_id", "numero", "descricao", "mudou")
 
 
-@R.add("snk_13_export_matches", "select m.usuario_id, m.edital_id, m.nivel, m.score, e.orgao, substr(e.objeto, 1, 300) as objeto, e.modalidade, e.uf, e.valor_estimado, e.data_abertura, m.status from matches m join editais e on e.id = m.edital_id where m.nivel = 'forte'")
+_EXPORT = """with c as (select usuario_id, edital_id, count(*) filter (score >= 0.5) as itens_compativeis from item_scores group by all)
+select m.usuario_id, m.nivel, m.score, c.itens_compativeis, e.orgao, e.uf, 'Municipio ' || (e.id % 50) as municipio, e.modalidade, e.valor_estimado, e.data_encerramento, substr(e.objeto, 1, 300) as objeto, 'https://exemplo/' || e.id_externo as link
+from matches m join editais e on e.id = m.edital_id join c on c.usuario_id = m.usuario_id and c.edital_id = m.edital_id"""
+
+
+def _exported(t: Tables, nivel: str | None = None):
+    counts = t.item_scores.groupBy("usuario_id", "edital_id").agg(F.count_if(F.col("score") >= 0.5).alias("itens_compativeis"))
+    editais = t.editais.withColumns({"municipio": F.concat(F.lit("Municipio "), (F.col("id") % 50).cast("string")), "link": F.concat(F.lit("https://exemplo/"), "id_externo")})
+    return tables.export_matches(t.matches.join(counts, ["usuario_id", "edital_id"]), editais, nivel)
+
+
+@R.add("snk_13_export_matches", f"{_EXPORT} where m.nivel = 'forte'")
+def _(t: Tables):
+    return _exported(t, "forte")
+
+
+_CATALOG = """select p.usuario_id, p.descricao, p.marca || ' ' || p.modelo as palavras_chave, cast(p.id % 97 as varchar(20)) as ncm, null::varchar as ean, cast(p.id % 53 as varchar(20)) as catmat, null::varchar as catser, null::varchar as fabricante, p.marca, p.modelo,
+p.preco_custo, p.preco_venda, case when p.id % 2 = 0 then 'CX' end as unidade_venda, p.itens_por_unidade, coalesce(f.telefone, '') as fornecedor_telefone, f.nome as fornecedor_nome, null::varchar as fornecedor_contato, null::varchar as fornecedor_site
+from produtos p left join fornecedores f on f.id = p.fornecedor_id"""
+
+
+def _catalog(t: Tables):
+    k = F.col("id")
+    named = t.fornecedores.select(k.alias("fornecedor_id"), F.col("nome").alias("fornecedor_nome"))
+    more = {"palavras_chave": F.concat_ws(" ", "marca", "modelo"), "ncm": (k % 97).cast("string"), "catmat": (k % 53).cast("string"), "unidade_venda": F.when(k % 2 == 0, "CX")}
+    return tables.export_catalog(t.produtos.withColumns(more).join(named, "fornecedor_id", "left"), t.fornecedores)
+
+
+@R.add("snk_14_export_catalog", _CATALOG)
 def _(t: Tables):
-    return tables.export_matches(t.matches, t.editais, "forte")
+    return _catalog(t)
 
 
-@R.add("snk_14_export_catalog", "select p.id, p.descricao, f.telefone as fornecedor_telefone from produtos p left join fornecedores f on f.id = p.fornecedor_id")
+@R.add("snk_14_catalog_file", _CATALOG)
 def _(t: Tables):
-    return tables.export_catalog(t.produtos, t.fornecedores).select("id", "descricao", "fornecedor_telefone")
+    rows, path = _catalog(t), scratch(t.spark, "catalog")
+    tables.write_csv(rows, path)
+    back = t.spark.read.schema(rows.schema).option("sep", ";").option("header", True).option("escape", '"').csv(path)
+    return back.fillna("", ["fornecedor_telefone"])
 
 
 @R.add("snk_15_run_log", "select usuario_id, count(*) as vistos, count(*) filter (edital_id % 2 = 1) as novos, count(*) filter (edital_id % 2 = 1 and nivel = 'forte') as fortes from matches group by usuario_id")
@@ -196,9 +227,9 @@ def _(t: Tables):
     return tables.stamp_completed(t.editais, results, dt.datetime(1998, 8, 1, 12)).select("id", "completado_em")
 
 
-@R.add("snk_13_csv_file", "select m.usuario_id, m.edital_id, m.nivel, m.score, e.orgao, substr(e.objeto, 1, 300) as objeto, e.modalidade, e.uf, e.valor_estimado, e.data_abertura, m.status from matches m join editais e on e.id = m.edital_id")
+@R.add("snk_13_csv_file", _EXPORT)
 def _(t: Tables):
-    rows, path = tables.export_matches(t.matches, t.editais), scratch(t.spark, "export")
+    rows, path = _exported(t), scratch(t.spark, "export")
     tables.write_csv(rows, path)
     return t.spark.read.schema(rows.schema).option("sep", ";").option("header", True).option("escape", '"').csv(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..operators import business, filters, matching
+from ..operators.overlap import OverlapIndex
 from .views import AS_OF, Registry, Tables
 
 R = Registry()
@@ -66,7 +67,7 @@ def _(t: Tables):
     return filters.view_active(t.editais, AS_OF).select("id")
 
 
-@R.add("flt_09_view_closed", f"select m.usuario_id, m.edital_id, m.status from matches m join editais e on e.id = m.edital_id where e.data_abertura < {_D} and m.status in ('vou_participar', 'proposta_enviada', 'ganho')")
+@R.add("flt_09_view_closed", f"select m.usuario_id, m.edital_id, m.status from matches m join editais e on e.id = m.edital_id where e.data_abertura < {_D} and m.status in ('proposta_enviada', 'ganho', 'perdido')")
 def _(t: Tables):
     return filters.view_closed(t.matches.join(t.editais.withColumnRenamed("id", "edital_id"), "edital_id"), AS_OF).select("usuario_id", "edital_id", "status")
 
@@ -94,7 +95,7 @@ def _(t: Tables):
     return filters.exclude(t.editais, t.itens, _rules(t.customer))
 
 
-@R.add("flt_11_matching_scope", f"select u.id as usuario_id, e.id as edital_id from usuarios u, editais e where e.data_encerramento is null or e.data_encerramento >= {_D} union select usuario_id, edital_id from matches where status in ('vou_participar', 'proposta_enviada', 'ganho')")
+@R.add("flt_11_matching_scope", f"select u.id as usuario_id, e.id as edital_id from usuarios u, editais e where e.data_encerramento is null or e.data_encerramento >= {_D} union select usuario_id, edital_id from matches where status in ('proposta_enviada', 'ganho', 'perdido')")
 def _(t: Tables):
     return filters.matching_scope(t.editais, t.usuarios, t.matches, AS_OF)
 
@@ -306,7 +307,7 @@ _WORDS = f"list_distinct(list_filter(string_split({_PLAIN}, ' '), lambda x: x <>
 #: Of the old matches every tenth notice is there, so that some of the scope is new and some of it is followed.
 _FULL = f"""with {_INDEX}, old as (select m.*, (m.status <> 'novo' or m.lido or m.interessante or c.n is not null) as engajado from matches m left join (select usuario_id, edital_id, count(*) as n from match_itens where confirmado_manualmente group by all) c using (usuario_id, edital_id) where m.edital_id % 10 = 0),
 excl as (select distinct usuario_id, edital_id from item_scores where edital_id % 11 = 0),
-scope as (select * from (select u.id as usuario_id, e.id as edital_id from usuarios u, editais e where e.data_encerramento is null or e.data_encerramento >= {_D} union select usuario_id, edital_id from old where status in ('vou_participar', 'proposta_enviada', 'ganho')) where (usuario_id, edital_id) not in (select usuario_id, edital_id from excl)),
+scope as (select * from (select u.id as usuario_id, e.id as edital_id from usuarios u, editais e where e.data_encerramento is null or e.data_encerramento >= {_D} union select usuario_id, edital_id from old where status in ('proposta_enviada', 'ganho', 'perdido')) where (usuario_id, edital_id) not in (select usuario_id, edital_id from excl)),
 i as (select s.usuario_id, s.edital_id, i.numero, i.produto_ref, coalesce(nullif(trim(i.descricao), ''), e.objeto) as texto from scope s join editais e on e.id = s.edital_id left join itens i on i.edital_id = s.edital_id),
 t as (select texto, {_WORDS.format('texto')} as w from (select distinct texto from i)), pw as (select id, usuario_id, {_WORDS.format('descricao')} as w from produtos where ativo),
 s as (select d.usuario_id, d.texto, pw.id as produto_id, len(list_intersect(t.w, pw.w))::double / len(list_distinct(list_concat(t.w, pw.w))) as score from (select distinct usuario_id, texto from i) d join t using (texto) join pw using (usuario_id)),
@@ -324,13 +325,14 @@ case when x.usuario_id is not null then case when o.usuario_id is not null then
 when l.nivel = 'fraco' and o.engajado then 'atualizar' when l.nivel = 'fraco' then case when o.usuario_id is not null then 'apagar' else 'ignorar' end when o.usuario_id is not null then 'atualizar' else 'criar' end as acao
 from old o full outer join lev l on o.usuario_id = l.usuario_id and o.edital_id = l.edital_id left join excl x on x.usuario_id = coalesce(o.usuario_id, l.usuario_id) and x.edital_id = coalesce(o.edital_id, l.edital_id)""")
 def _(t: Tables):
+    t.store("itens", "item_scores", "matches")
     old = t.matches.filter("edital_id % 10 = 0")
     scores = t.item_scores
     excl = scores.filter("edital_id % 11 = 0").select("usuario_id", "edital_id").distinct()
     conf = scores.filter("confirmado").select("usuario_id", "edital_id", "numero", F.when(F.col("produto_ref") % 7 != 0, F.col("produto_ref")).alias("produto_id"))
     itens = t.itens.withColumns({"ncm": (F.col("produto_ref") % 97).cast("string"), "catalogo_codigo": (F.col("produto_ref") % 53).cast("string")})
     scope = filters.matching_scope(t.editais, t.usuarios, old, AS_OF)
-    _, actions, _ = matching.full_matching(t.editais, itens, t.produtos, scope, excl, old, t.match_itens, conf, matching.overlap_scorer, matching.code_index(_coded(t)))
+    _, actions, _ = matching.full_matching(t.editais, itens, t.produtos, scope, excl, old, t.match_itens, conf, OverlapIndex(matching.active_catalog(t.produtos)), matching.code_index(_coded(t)))
     return actions.select("usuario_id", "edital_id", "score_novo", "nivel_novo", "acao")
 
 

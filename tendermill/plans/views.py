@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import written
+
 AS_OF = dt.date(1998, 8, 1)
 
 VIEWS: dict[str, str] = {
@@ -84,13 +86,15 @@ class Tables:
     """The driver's tables of one folder and the tender tables over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._stored = spark, sf_dir, {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         """A tender table; the tables under it are seen as temporary views with a prefix."""
+        if name in self._stored:
+            return self._stored[name]
         text = VIEWS[name]
         for n in [*BASE, *VIEWS]:
             text, found = re.subn(rf"\b(from|join)\s+{n}\b", rf"\1 tender_{n}", text)
@@ -98,6 +102,12 @@ class Tables:
                 (self.base(n) if n in BASE else self.view(n)).createOrReplaceTempView(f"tender_{n}")
         return self.spark.sql(text)
 
+    def store(self, *names: str) -> Tables:
+        """Writes tender tables that a query reads more than once; those over them are read from what is written."""
+        for name in names:
+            self._stored[name] = written(self.view(name), f"view-{name}")
+        return self
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.view(name)

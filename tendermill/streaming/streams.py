@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import matching
+from ..operators.filters import matching_scope
+from ..operators.overlap import OverlapIndex
 from ..operators.tables import insert_if_absent, outbox
-from ..runtime import ship
+from ..runtime import ship, written
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -58,6 +62,39 @@ def match_stream(source: DataFrame, match: Callable[[DataFrame], DataFrame], out
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class VersionedIndex:
+    """A catalog index that batches share: built from ``catalog()`` when first asked for and when ``version()`` has changed, else kept."""
+
+    def __init__(self, catalog: Callable[[], DataFrame], version: Callable[[], object]):
+        self.catalog, self.version = catalog, version
+        self._index: OverlapIndex | None = None
+        self._at: object = None
+
+    def __call__(self) -> OverlapIndex:
+        now = self.version()
+        if self._index is None or now != self._at:
+            self._index, self._at = OverlapIndex(matching.active_catalog(self.catalog())), now
+        return self._index
+
+
+def match_arrivals(
+    notices: DataFrame, itens: DataFrame, produtos: DataFrame, usuarios: DataFrame, matches: Callable[[], DataFrame], match_itens: DataFrame, confirmed: DataFrame, excluded: Callable[[DataFrame], DataFrame],
+    index: VersionedIndex, as_of: dt.date, out: str, checkpoint: str, codes: DataFrame | None = None, alerts: str | None = None,
+) -> StreamingQuery:
+    """Matches notices as they arrive: each batch goes through the whole of matching against the tables as they are, new notices alone.
+
+    ``matches()`` are the matches so far and ``excluded(batch)`` the pairs that tenants' rules exclude. Actions (``lifecycle``) are
+    written under the batch's number, alerts too.
+    """
+
+    def match(batch: DataFrame) -> DataFrame:
+        old = matches()
+        scope = matching_scope(batch, usuarios, old.limit(0), as_of)
+        return matching.full_matching(batch, itens, produtos, scope, excluded(batch), old, match_itens, confirmed, index(), codes, full=False)[1]
+
+    return match_stream(notices, match, out, checkpoint, alerts)
+
+
 _LIMIT = "chave bigint, ts timestamp, admitido boolean, espera long"
 
 
@@ -76,44 +113,97 @@ def admit(times: list[float], clears: list[bool], alive: list[float], limit: int
     return out, alive
 
 
-def _decide(key: int, pdf: pd.DataFrame, alive: list[float], limit: int, window: float) -> tuple[pd.DataFrame, list[float]]:
-    pdf = pdf.sort_values(["ts", "limpa"])
-    times = (pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-    rows, alive = admit(times, pdf["limpa"].tolist(), alive, limit, window)
-    out = pd.DataFrame(rows, columns=["ts", "admitido", "espera"])
+def _seconds(ts: pd.Series) -> list[float]:
+    return (ts.astype("datetime64[us]").astype("int64") / 1e6).tolist()
+
+
+def _decisions(rows: list[tuple[int, float, bool, int]]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["chave", "ts", "admitido", "espera"])
     out["ts"] = pd.to_datetime((out["ts"].astype("float64") * 1e6).round().astype("int64"), unit="us")
-    out.insert(0, "chave", key)
-    return out.astype({"chave": "int64", "admitido": "bool", "espera": "int64"}), alive
+    return out.astype({"chave": "int64", "admitido": "bool", "espera": "int64"})
+
+
+def segments(events: DataFrame, window: int) -> DataFrame:
+    """Attempts (``chave, ts, limpa``) with ``trecho``: a stretch of a key's attempts that decides for itself.
+
+    A stretch begins at a clear and where no attempt was made for ``window`` seconds, as nothing before it is still counted. Attempts
+    are dealt out by ranges of key and time, so that a hot key is spread over tasks; what a range has before its first beginning
+    belongs to the last one of the ranges before, of which there are as many as partitions.
+    """
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ["chave", "ts", "limpa"]
+    ranged = written(events.select("chave", F.col("ts").cast("timestamp").alias("ts"), "limpa").repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__p", F.monotonically_increasing_id()), "attempts")
+    ranged = ranged.withColumn("__part", F.shiftright("__p", 33))
+    ends = ranged.groupBy("__part").agg(F.max_by(F.struct("chave", "ts"), "__p").alias("__end"))
+    earlier = Window.orderBy("__part")  # a row for each partition
+    ends = written(ends.select("__part", F.lag("__end").over(earlier).alias("__end")), "attempt-ends")
+    inside = Window.partitionBy("__part").orderBy("__p")
+    before = F.coalesce(F.lag(F.struct("chave", "ts")).over(inside), F.col("__end"))
+    quiet = F.col("ts").cast("double") - before["ts"].cast("double") >= window
+    begins = before.isNull() | ~before["chave"].eqNullSafe(F.col("chave")) | F.col("limpa") | quiet
+    marked = written(ranged.join(F.broadcast(ends), "__part").withColumn("__start", F.when(begins, F.col("__p"))).drop("__end"), "attempt-starts")
+    last = marked.groupBy("__part").agg(F.max("__start").alias("__s"))
+    carried = last.select("__part", F.last("__s", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    own = F.last("__start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("__own", own).join(F.broadcast(carried), "__part").select(*by, F.coalesce("__own", "__carried").alias("trecho"))
 
 
 def attempt_limiter(events: DataFrame, limit: int, window: int) -> DataFrame:
     """Decisions on attempts (``chave, ts, limpa``): admitted while fewer than ``limit`` admitted ones are younger than ``window`` seconds.
 
-    A decision depends on those before it, so each key's attempts are walked in order; the stream below keeps only what is in the window.
+    A decision depends on those before it, back to a clear or a quiet window. So the attempts of each such stretch are walked in order,
+    stretches of one key in different tasks; a task keeps the ``limit`` attempts in the window, not the stretch.
     """
     ship(events.sparkSession)
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _decide(int(key[0]), pdf, [], limit, window)[0]
+    def walk(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stretch, alive = None, []
+        for pdf in pdfs:
+            rows = []
+            for key, t, clear, own in zip(pdf["chave"].tolist(), _seconds(pdf["ts"]), pdf["limpa"].tolist(), pdf["trecho"].tolist(), strict=True):
+                if own != stretch:
+                    stretch, alive = own, []
+                made, alive = admit([t], [clear], alive, limit, window)
+                rows += [(key, *m) for m in made]
+            yield _decisions(rows)
 
-    return events.groupBy("chave").applyInPandas(walk, _LIMIT)
+    return segments(events, window).repartition("trecho").sortWithinPartitions("trecho", "ts", "limpa").mapInPandas(walk, _LIMIT)
 
 
-def attempt_limiter_stream(events: DataFrame, limit: int, window: int) -> DataFrame:
-    """The streaming twin, with the admitted attempts in the window as each key's state; an idle key's state expires."""
-    ship(events.sparkSession)
+class _Limiter(StatefulProcessor):
+    """Keeps each key's admitted attempts that are still in the window, as a list state that goes when nobody has written it for ``ttl`` milliseconds."""
+
+    def __init__(self, limit: int, window: int, ttl: int):
+        self.limit, self.window, self.ttl = limit, window, ttl
 
-    def walk(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        alive = list(state.get[0]) if state.exists else []
-        out, alive = _decide(int(key[0]), pd.concat(list(pdfs)), alive, limit, window)
-        state.update((alive,))
-        state.setTimeoutDuration(window * 1000)
-        yield out
-
-    return events.groupBy("chave").applyInPandasWithState(walk, _LIMIT, "vivas array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.alive = handle.getListState("vivas", "t double", ttlDurationMs=self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        alive = [r[0] for r in self.alive.get()] if self.alive.exists() else []
+        pdf = pd.concat(list(rows)).sort_values(["ts", "limpa"])
+        made, alive = admit(_seconds(pdf["ts"]), pdf["limpa"].tolist(), alive, self.limit, self.window)
+        if alive:
+            self.alive.put([(a,) for a in alive])
+        else:
+            self.alive.clear()
+        yield _decisions([(int(key[0]), *m) for m in made])
+
+    def close(self) -> None:
+        pass
+
+
+def attempt_limiter_stream(events: DataFrame, limit: int, window: int, spare: int = 86_400) -> DataFrame:
+    """The streaming twin: each key's state is its admitted attempts in the window, at most ``limit``.
+
+    Decisions go by the time of the attempts. An idle key's state is dropped ``window + spare`` seconds after it was last written, by the
+    clock; ``spare`` is how long the stream may stand still without forgetting. The session needs the RocksDB state store.
+    """
+    spark = events.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        raise ValueError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider, which keeps lists that expire")
+    ship(spark)
+    return events.groupBy("chave").transformWithStateInPandas(_Limiter(limit, window, (window + spare) * 1000), _LIMIT, "Append", "ProcessingTime")
 
 
 def attempt_counts(events: DataFrame, length: str = "5 minutes", slide: str = "1 minute", late: str = "1 hour") -> DataFrame:

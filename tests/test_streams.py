@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tendermill.operators import business, matching, tables
 from tendermill.sources import notices
+from tendermill.operators.overlap import overlap_scorer
 from tendermill.streaming import streams
 
 MATCH = "usuario_id long, edital_id long"
@@ -120,13 +121,13 @@ def test_matching_of_texts(spark):
     items = matching.targets(editais, itens)
     index = spark.createDataFrame([(1, "ncm", "10", 6)], "usuario_id long, tipo string, codigo string, produto_id long")
     live = produtos.filter("ativo")
-    by_text = {(r["edital_id"], r["numero"]): r for r in matching.match_items(scope, items, live, matching.overlap_scorer).collect()}
+    by_text = {(r["edital_id"], r["numero"]): r for r in matching.match_items(scope, items, live, overlap_scorer).collect()}
     assert (by_text[1, 1]["produto_id"], by_text[1, 1]["score"], by_text[1, 1]["segundo"]) == (5, 1.0, 0.5)
     assert [c["produto_id"] for c in by_text[1, 1]["candidatos"]] == [5, 6] and by_text[2, 1]["produto_id"] is None
-    coded = {(r["edital_id"], r["numero"]): r for r in matching.match_items(scope, items, live, matching.overlap_scorer, index).collect()}
+    coded = {(r["edital_id"], r["numero"]): r for r in matching.match_items(scope, items, live, overlap_scorer, index).collect()}
     assert (coded[1, 1]["produto_id"], coded[1, 1]["score"], coded[1, 1]["segundo"], coded[1, 1]["motivo"]) == (6, 1.0, 1.0, "código NCM 10")
     assert len(coded) == 3 and coded[1, 2]["produto_id"] == 7
-    scores = matching.catalog_scores(scope, items, live, matching.overlap_scorer)
+    scores = matching.catalog_scores(scope, items, live, overlap_scorer)
     assert scores.count() == 9 and scores.filter("numero = 1 and edital_id = 1 and produto_id = 6").first()["score"] == 0.5
 
 
