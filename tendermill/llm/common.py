@@ -58,6 +58,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _write(df, fresh_path(df.sparkSession, name))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes what lies under a path of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Tables:
     """Tables of one operator's run in the shared folder and the warehouse; all but those kept go when the ``with`` block ends."""
 
@@ -78,20 +84,18 @@ class Tables:
     def bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
         """``df`` dealt out by ``keys`` once; later joins on all of them find it in place."""
         buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        table = f"{name}_{uuid.uuid4().hex}"
+        table, path = f"{name}_{uuid.uuid4().hex}", fresh_path(self.spark, name)
         self._named.append(table)
+        self._paths.append(path)  # in the shared folder, as the warehouse may lie on one machine
         with _shuffle_files_go(self.spark):
-            df.repartition(buckets, *keys).write.option("compression", "zstd").bucketBy(buckets, *keys).format("parquet").saveAsTable(table)
+            df.repartition(buckets, *keys).write.option("compression", "zstd").bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(table)
         return self.spark.table(table)
 
     def drop(self) -> None:
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for p in self._paths:
-            path = path_of(p)
-            path.getFileSystem(hadoop).delete(path, True)
         for t in self._named:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        for p in self._paths:
+            delete(self.spark, p)
         self._paths, self._named = [], []
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import without, written
+from .common import all_of, without, written
 
 #: Characters of benchmark text that are broadcast at a time; a larger benchmark goes in several shards, one after the other.
 MAX_SHARD_CHARS = 32_000_000
@@ -239,4 +239,4 @@ def _judge(index, rules: TilingRules, text_at: int, width: int):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRules()) -> DataFrame:
     """The documents that hold no test item."""
-    return find_leaks(docs, benchmark, rules).filter("kept").select(*docs.columns)
+    return find_leaks(docs, benchmark, rules).filter("kept").select(*all_of(docs))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import Tables, written
+from .common import all_of, Tables, written
 
 #: A path's top bits hold its run.
 RUN_SHIFT = 58
@@ -563,11 +563,11 @@ def keep_first(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     gone = classes.filter("doc_id <> class_id").select("doc_id", "sid").distinct().hint("merge")
     twice = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if not twice.limit(1).count():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*all_of(docs))
     twice = written(twice, "repeated-ids")
-    once = docs.join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*all_of(docs))
     # only these rows are told apart by their text
     many = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("__text", F.encode("text", "UTF-8"))
     told = many.select(F.col("doc_id").cast("long").alias("doc_id"), "__text").mapInArrow(_sets(rules), "doc_id bigint, __text binary, sid binary")
     copies = told.join(gone, ["doc_id", "sid"], "left_semi").select("doc_id", "__text")
-    return once.unionByName(many.join(copies, ["doc_id", "__text"], "left_anti").select(*docs.columns))
+    return once.unionByName(many.join(copies, ["doc_id", "__text"], "left_anti").select(*all_of(docs)))

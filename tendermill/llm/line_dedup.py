@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, without, written
+from .common import all_of, delete, fresh_path, let, SPACE_CHARS, without, written
 
 
 def split_lines(text: Column) -> Column:
@@ -35,7 +35,7 @@ class LineRuns:
     A run is a table of ``h1, h2, n`` bucketed and sorted by the hash, so runs meet in merge joins without a shuffle. A new batch is
     anti-joined with the frequent runs, as what they hold needs no more counting, and what is left becomes a run of level
     0. ``fanout`` runs of a level are merged into one of the next; hashes that reach ``min_docs`` then move to a frequent run.
-    All runs lie in the warehouse, and ``close`` drops them.
+    All runs lie in the shared folder, and ``close`` drops them.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int, buckets: int, fanout: int = 2):
@@ -43,16 +43,20 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.frequent_runs: list[str] = []
         self._name, self._made = f"line_runs_{uuid.uuid4().hex}", []
+        self._paths: dict[str, str] = {}
 
     def _write(self, df: DataFrame) -> str:
         name = f"{self._name}_{len(self._made)}"
         self._made.append(name)
-        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        self._paths[name] = fresh_path(self.spark, "line-run")
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self._paths[name]).format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            if path := self._paths.pop(name, None):
+                delete(self.spark, path)
 
     def add(self, batch: DataFrame) -> None:
         """Takes ``h1, h2, n`` of a batch, each hash once, ``n`` the number of the batch's documents that have it."""
@@ -148,6 +152,6 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, m
         ),
     )
     plain = F.struct(F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("clean_text"))
-    return both.select(*docs.columns, F.when(F.col("__drop").isNull(), plain).otherwise(result).alias("__r")).select(
-        *docs.columns, "__r.clean_text", "__r.n_lines", "__r.n_dropped"
+    return both.select(*all_of(docs), F.when(F.col("__drop").isNull(), plain).otherwise(result).alias("__r")).select(
+        *all_of(docs), "__r.clean_text", "__r.n_lines", "__r.n_dropped"
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, without, words, written
+from .common import all_of, let, without, words, written
 
 #: Leaves that are broadcast at most (about 200 bytes each); beyond it the join is by shuffle, which AQE splits where a leaf is hot.
 MAX_BROADCAST_LEAVES = 50_000
@@ -147,4 +147,4 @@ def mix(
         )
         + F.col("epochs"),
     )
-    return chosen.filter("__times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), (F.col("__times") - 1).cast("int"))).alias("epoch"))
+    return chosen.filter("__times > 0").select(*all_of(docs), F.explode(F.sequence(F.lit(0), (F.col("__times") - 1).cast("int"))).alias("epoch"))

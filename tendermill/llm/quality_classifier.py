@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import written
+from .common import quoted, written
 
 _UPPER = bytes(range(65, 91))
 _MARKS = b"#*$%&|<>!"
@@ -67,6 +67,10 @@ def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string())), *batch.columns[1:]], names=["tokens", *TARGETS])
 
 
+#: Columns that ``classify`` adds to the key.
+RESULT = {"host", "path", "quality_score", "toxic_score", "kept"}
+
+
 def fit_evidence(docs: DataFrame, labels: DataFrame, rules: BayesRules = BayesRules()) -> dict:
     """Log-odds of each target: ``{"prior": {target: x}, "weights": {feature: (x, x)}}``, of bounded size.
 
@@ -75,10 +79,11 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, rules: BayesRules = BayesRu
     both kinds a target has no evidence and even odds.
     """
     ship(docs.sparkSession)
-    labels = labels.dropna(subset=["doc_id", *TARGETS])
+    labels = labels.select("doc_id", *TARGETS).dropna()
     total = max(1, labels.count())
     some = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < rules.max_labelled) if total > rules.max_labelled else labels
-    joined = docs.join(some, "doc_id").select("text", *[F.col(c).cast("int").alias(c) for c in TARGETS])
+    # about ``max_labelled`` rows at most, so no text is shuffled for them
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", *[F.col(c).cast("int").alias(c) for c in TARGETS])
     sample = written(joined.mapInArrow(_labelled_features, "tokens array<string>, quality int, toxic int"), "labelled-features")
     n, *sums = sample.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in TARGETS]).first()
     ones = dict(zip(TARGETS, sums, strict=True))
@@ -154,16 +159,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: tup
     odds in place of the global ones. ``kept``: good enough and not toxic.
 
     A null host or path column counts as the empty string; a null text has no words; null ids and repeated rows are judged like
-    any other; ``labels`` name documents by ``doc_id``. Other columns of ``docs`` are not returned, whatever their names. Sites are sums by group, added up in each task first, so a host with a third of all rows is no one's
+    any other; ``labels`` name documents by ``doc_id``, their other columns are not read. A ``key`` named like a column of the result is a ValueError. Other columns of ``docs`` are not returned, whatever their names. Sites are sums by group, added up in each task first, so a host with a third of all rows is no one's
     task; one row a site is broadcast while the sites are few. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit_evidence(docs.select(F.col(key).alias("doc_id"), "text"), labels, rules))
+    if key.lower() in RESULT:
+        raise ValueError(f"the key needs another name than {', '.join(sorted(RESULT))}")
+    model = spark.sparkContext.broadcast(fit_evidence(docs.select(F.col(quoted(key)).alias("doc_id"), "text"), labels, rules))
     site = docs.select(
-        F.col("text"), F.col(key).alias(key), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-        F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in path]).alias("path"),
+        F.col("text").alias("__text"), F.col(quoted(key)).alias("__key"), F.coalesce(F.col(quoted(host)).cast("string"), F.lit("")).alias("host"),
+        F.concat_ws("/", *[F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in path]).alias("path"),
     )
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *[T.StructField(c, T.StringType()) for c in ("host", "path")], *[T.StructField(f"{c}_evidence", T.DoubleType()) for c in TARGETS]])
+    schema = T.StructType([T.StructField("__key", docs.schema[key].dataType), *[T.StructField(c, T.StringType()) for c in ("host", "path")], *[T.StructField(f"{c}_evidence", T.DoubleType()) for c in TARGETS]])
     scored = written(site.mapInArrow(_evidence(model), schema), "evidence")
 
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.avg(1 / (1 + F.exp(-F.col(f"{c}_evidence")))).alias(c) for c in TARGETS])
@@ -178,5 +185,5 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: tup
     small = F.broadcast(sites) if sites.count() <= MAX_BROADCAST_SITES else sites
     out = scored.join(small, ["host", "path"])
     score = {c: (1 / (1 + F.exp(-(F.col(f"{c}_evidence") + F.col(f"{c}_shift"))))).alias(f"{c}_score") for c in TARGETS}
-    out = out.select(key, "host", "path", *score.values())
+    out = out.select(F.col("__key").alias(key), "host", "path", *score.values())
     return out.withColumn("kept", (F.col("quality_score") >= rules.min_quality) & (F.col("toxic_score") < rules.max_toxic))

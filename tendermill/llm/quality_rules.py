@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, let, without, words
+from .common import all_of, let, quoted, SPACE, SPACE_CHARS, without, words
 
 # Marks that may end a sentence.
 TERMINAL = [".", "!", "?", "…", ":", ";", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？"]
@@ -143,7 +143,7 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     base_failed = (F.col("__w.n_words") < rules.min_words) | (100 * F.col("__w.n_repeat_words") > rules.max_repeat_pct * F.col("__w.n_words"))
     lost = F.col("__l.chars_total") - F.col("__l.chars_good")
     return out.select(
-        *docs.columns,
+        *all_of(docs),
         F.col("__w.n_words").alias("n_words"), F.col("__w.word_chars").alias("word_chars"), "n_symbols",
         F.col("__l.n_dup_lines").alias("n_dup_lines"), F.col("__w.n_repeat_words").alias("n_repeat_words"),
         base_failed.alias("base_failed"),
@@ -157,4 +157,4 @@ def keep_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The kept documents, with failing lines gone from ``text`` and ``n_chars`` (if there is one) counted anew."""
     judged = clean_lines(docs, rules).filter("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judged.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return judged.select(*[new[c].alias(c) if c in new else F.col(quoted(c)) for c in docs.columns])

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import all_of, without
 
 #: Largest table that is broadcast: 24 bytes a row, so 25 MB at most.
 MAX_TABLE = 1_000_003
@@ -73,4 +73,4 @@ def assign_shards(docs: DataFrame, shards: list[str], size: int = 65_537, key: s
     """
     docs = without(docs, ["slot", "shard"])
     table = F.broadcast(slot_table(docs.sparkSession, shards, size, seed))
-    return docs.withColumn("slot", slot_of(F.col(key), size, seed)).join(table, "slot", "left").select(*docs.columns, "slot", "shard")
+    return docs.withColumn("slot", slot_of(F.col(key), size, seed)).join(table, "slot", "left").select(*all_of(docs), "slot", "shard")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import Tables, without, written
+from .common import all_of, Tables, without, written
 
 #: Words of the runs whose least hash names a window.
 GRAM = 4
@@ -315,6 +315,6 @@ def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     docs = without(docs, ["clean_text", "n_words", "n_removed"])
     spans = repeated_spans(docs, window)
-    both = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, F.col("spans").alias("__spans"))
+    both = docs.join(spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), F.col("doc_id") == F.col("__id"), "left").select(*all_of(docs), "__spans")
     schema = T.StructType([*docs.schema.fields, T.StructField("clean_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return both.mapInArrow(_clean(window, len(docs.columns), docs.columns.index("text")), schema)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import all_of, without
 
 #: More rules than this are joined by shuffle instead of broadcast (under 2 MB of rules).
 MAX_BROADCAST_RULES = 10_000
@@ -117,7 +117,7 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow",
     target = F.concat("host", "path")
     key = F.struct(F.col("rank").alias("rank"), (-F.col("rule_id")).alias("order"))
     # what passes through rides on a row's first token alone
-    rest = F.struct(*[F.col(f"`{c}`") for c in split.columns])
+    rest = F.struct(*all_of(split))
     found = (
         split.select("host", "path", F.monotonically_increasing_id().alias("__row"), rest.alias("__rest"))
         .select("*", F.posexplode(tokens).alias("__pos", "token"))
@@ -126,4 +126,4 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow",
         .select("__row", "__rest", F.when(F.rlike(F.when(F.col("fold"), F.lower(target)).otherwise(target), F.col("pattern")), F.struct(key.alias("key"), F.col("name").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("__best"))
     )
     best = found.groupBy("__row").agg(F.first("__rest", ignorenulls=True).alias("__rest"), F.max("__best").alias("__best")).select("__rest.*", "__best")
-    return best.select(*pages.columns, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    return best.select(*all_of(pages), "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
