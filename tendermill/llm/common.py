@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..runtime import scratch
 
@@ -123,3 +124,9 @@ def quoted(name: str) -> str:
 def all_of(df: DataFrame) -> list[Column]:
     """All columns of ``df``, whatever their names."""
     return [F.col(quoted(c)) for c in df.columns]
+
+
+def map_rows(df: DataFrame, run: Callable, added: list[StructField]) -> DataFrame:
+    """``df.mapInArrow(run)`` that adds columns behind all others, which may have any names: ``run`` sees them by their place."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *added])).toDF(*df.columns, *[a.name for a in added])

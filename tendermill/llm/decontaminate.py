@@ -208,8 +208,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = Tilin
     ship(spark)
     docs = without(docs, ["n_items", "item_id", "coverage", "kept"])
     added = [("n_items", T.LongType()), ("item_id", T.LongType()), ("coverage", T.DoubleType())]
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added]])
-    out, shards = docs, _shards(benchmark)
+    out, shards = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), _shards(benchmark)
+    schema = T.StructType([*out.schema.fields, *[T.StructField(n, t) for n, t in added]])
     for part in shards:
         rows = [(r["item_id"], r["text"], r["times"]) for r in part.collect()]
         index = spark.sparkContext.broadcast(SeedIndex(rows, rules.min_match))
@@ -217,6 +217,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = Tilin
         if len(shards) > 1:
             out = written(out, "leaks-of-shard")
             index.destroy()
+    out = out.toDF(*docs.columns, *[n for n, _ in added])
     return out.withColumn("kept", F.col("n_items") == 0)
 
 

@@ -11,10 +11,10 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField
 
 from ..runtime import ship
-from .common import without
+from .common import map_rows, without
 from .token_output import _gather, _some_at_a_time
 
 #: The sign that stands for a space, and its bytes.
@@ -384,11 +384,12 @@ def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True, d
                 ids = pa.array([c[0].tobytes() for c in coded], pa.binary())
                 yield pa.RecordBatch.from_arrays([*some.columns, ids, *spans], names=[*some.schema.names, "ids", "begins", "ends"])
 
-    schema = StructType([*docs.schema.fields]).add("ids", "binary").add("begins", ArrayType(IntegerType())).add("ends", ArrayType(IntegerType()))
+    spans = ArrayType(IntegerType())
+    added = [StructField("ids", BinaryType()), StructField("begins", spans), StructField("ends", spans)]
     if not decoded:
-        return docs.mapInArrow(run, schema)
+        return map_rows(docs, run, added)
     ids = len(docs.columns)
-    return docs.mapInArrow(lambda batches: _decoded(run(batches), ids, model), StructType([*schema.fields]).add("decoded", "string"))
+    return map_rows(docs, lambda batches: _decoded(run(batches), ids, model), [*added, StructField("decoded", StringType())])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], at: int, model: str) -> Iterator[pa.RecordBatch]:
@@ -410,7 +411,7 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     coded = without(coded, ["decoded"])
     at = [c.lower() for c in coded.columns].index("ids")
 
-    return coded.mapInArrow(lambda batches: _decoded(batches, at, model), StructType([*coded.schema.fields]).add("decoded", "string"))
+    return map_rows(coded, lambda batches: _decoded(batches, at, model), [StructField("decoded", StringType())])
 
 
 def covered(text: str, begins: list[int], ends: list[int]) -> list[str]:

@@ -316,5 +316,8 @@ def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     docs = without(docs, ["clean_text", "n_words", "n_removed"])
     spans = repeated_spans(docs, window)
     both = docs.join(spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), F.col("doc_id") == F.col("__id"), "left").select(*all_of(docs), "__spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("clean_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return both.mapInArrow(_clean(window, len(docs.columns), docs.columns.index("text")), schema)
+    added = [T.StructField("clean_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    plain = both.toDF(*[f"c{i}" for i in range(len(docs.columns))], "__spans")
+    schema = T.StructType([*plain.schema.fields[:-1], *added])
+    out = plain.mapInArrow(_clean(window, len(docs.columns), docs.columns.index("text")), schema)
+    return out.toDF(*docs.columns, *[a.name for a in added])
