@@ -6,8 +6,10 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import cosine
+from ..functions.shapes import is_object, shaped
 from ..functions.text import contains_all_tokens, expand_abbreviations, normalize, search_tokens, significant_words, token_set_ratio
 from ..runtime import written
 from ..sources.notices import first_of, get, parse_response
@@ -41,13 +43,33 @@ def document_check(responses: DataFrame) -> DataFrame:
     return rows.select("edital_id", get(F.col("d"), "exigido").alias("exigido"), F.coalesce(get(F.col("d"), "atendido").try_cast("boolean"), F.lit(False)).alias("atendido"), get(F.col("d"), "documento").alias("documento")).filter("coalesce(exigido, '') <> ''")
 
 
-def normalize_analysis(responses: DataFrame, version: int) -> DataFrame:
-    """Answers as fixed columns: a list or one value becomes a list, what is missing '' or false; answers of another prompt version are left out."""
-    v = parse_response(F.col("resposta"))
-    many = F.coalesce(F.try_variant_get(v, "$.riscos", "array<string>"), F.when(get(v, "riscos").isNotNull(), F.array(get(v, "riscos"))), F.array().cast("array<string>"))
-    return responses.filter(F.col("versao") == version).select(
-        "edital_id", F.coalesce(get(v, "resumo"), F.lit("")).alias("resumo"), many.alias("riscos"), F.coalesce(get(v, "exige_visita").try_cast("boolean"), F.lit(False)).alias("exige_visita")
-    )
+# The fields of an analysis, by group.
+ANALYSIS = T._parse_datatype_string("""
+    objeto string,
+    documentos_habilitacao struct<juridica: array<string>, fiscal_trabalhista: array<string>, tecnica: array<string>, economico_financeira: array<string>, declaracoes: array<string>>,
+    validade_documentos_habilitacao string,
+    requisitos_tecnicos array<string>,
+    dados_orgao struct<numero_processo: string, modo_disputa: string, criterio_julgamento: string, plataforma: string, data_sessao: string, pregoeiro_responsavel: string, contato_orgao: string, exclusivo_regional: boolean, regiao_exclusiva: string>,
+    dados_proposta struct<validade_dias: string, prazo_entrega: string, local_entrega: string, condicoes_pagamento: string, aceita_similar: boolean, forma_apresentacao: string, garantia_proposta: string, identificacao_marca_modelo: boolean, prospecto_catalogo: string, entrega_tecnica: boolean, assistencia_tecnica: boolean, garantia_produto: string>,
+    prazos array<string>,
+    exige_amostra boolean,
+    exige_visita boolean,
+    exclusivo_me_epp boolean,
+    julgamento string,
+    garantia_contratual string,
+    pontos_atencao array<string>
+""")
+
+
+def normalize_analysis(responses: DataFrame, version: int, schema: T.StructType = ANALYSIS) -> DataFrame:
+    """Answers (``edital_id, versao, resposta``) of one prompt version as ``edital_id, status`` and the fields of ``schema``.
+
+    ``status`` is ok, or resposta_invalida with null fields where the answer holds no JSON object. Fields of a wrong shape are brought to
+    the schema (``shaped``).
+    """
+    mine = responses.filter(F.col("versao") == version).select("edital_id", parse_response(F.col("resposta")).alias("__v"))
+    known = mine.withColumn("__o", is_object(F.col("__v"))).withColumn("__s", F.when(F.col("__o"), shaped(F.col("__v"), schema)))
+    return known.select("edital_id", F.when(F.col("__o"), "ok").otherwise("resposta_invalida").alias("status"), *[F.col(f"__s.{f.name}").alias(f.name) for f in schema.fields])
 
 
 def flatten_required(required: DataFrame) -> DataFrame:

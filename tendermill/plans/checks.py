@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import attributes, numbers, text
 from ..operators import matching, search, validation
@@ -171,7 +172,41 @@ def _(t: Tables):
     risks = F.when(F.col("id") % 4 == 0, '["a","b"]').when(F.col("id") % 4 == 1, '"só um"').otherwise("null")
     parts = [F.lit('{"riscos":'), risks, F.when(F.col("id") % 3 != 0, F.concat(F.lit(',"resumo":"'), "objeto", F.lit('"'))).otherwise(""), F.when(F.col("id") % 5 == 0, ',"exige_visita":true').otherwise(""), F.lit("}")]
     answers = t.editais.select(F.col("id").alias("edital_id"), (F.col("id") % 2).alias("versao"), F.concat(*parts).alias("resposta"))
-    return search.normalize_analysis(answers, 1).withColumn("riscos", F.array_join("riscos", "|"))
+    own = T._parse_datatype_string("resumo string, riscos array<string>, exige_visita boolean")
+    return search.normalize_analysis(answers, 1, own).withColumn("riscos", F.array_join("riscos", "|")).drop("status")
+
+
+#: Answers with every kind of wrong shape, and what they come to.
+_SHAPES = """select id as edital_id, case when id % 11 = 0 then 'resposta_invalida' else 'ok' end as status,
+case when id % 11 = 0 then null else case id % 4 when 0 then objeto when 1 then '12' when 2 then '' else '["a"]' end end as objeto,
+case when id % 11 = 0 then null else case id % 5 when 0 then 'x|1|None' when 1 then 'so um' when 4 then '7' else '' end end as prazos,
+case when id % 11 = 0 then null else id % 6 in (0, 1, 4) end as exige_amostra,
+case when id % 11 = 0 then null else case when id % 3 = 0 then '5' else '' end end as numero_processo,
+case when id % 11 = 0 then null else case when id % 3 = 0 then orgao else '' end end as contato_orgao,
+case when id % 11 = 0 then null else id % 3 = 0 end as exclusivo_regional,
+case when id % 11 = 0 then null else case when id % 2 = 0 then 'um' else '' end end as tecnica,
+case when id % 11 = 0 then null else case when id % 2 = 0 then 'a|b' else '' end end as juridica,
+case when id % 11 = 0 then null else case when id % 7 = 0 then '2.5' else '' end end as validade_dias,
+case when id % 11 = 0 then null else id % 7 = 0 end as aceita_similar,
+case when id % 11 = 0 then null else '' end as pontos_atencao from editais"""
+
+
+@R.add("mat_19_all_fields", _SHAPES)
+def _(t: Tables):
+    k = F.col("id")
+    pick = lambda n, *texts: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in texts]), (k % n + 1).cast("int"))
+    said = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    parts = {
+        "objeto": pick(4, said("objeto"), "12", "null", '["a"]'), "prazos": pick(5, '["x", 1, null]', '"so um"', "0", "{}", "7"), "exige_amostra": pick(6, "true", '"false"', "0", "[]", "[0]", '""'),
+        "dados_orgao": pick(3, F.concat(F.lit('{"numero_processo": 5, "exclusivo_regional": 1, "contato_orgao": '), said("orgao"), F.lit("}")), '["x"]', '"x"'),
+        "documentos_habilitacao": pick(2, '{"tecnica": "um", "juridica": ["a", "b"], "outra": 1}', "null"),
+        "dados_proposta": F.when(k % 7 == 0, '{"validade_dias": 2.50, "aceita_similar": {"x": 0}}').otherwise("{}"),
+    }
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{name}": '), value) for name, value in parts.items()]), F.lit("}"))
+    answers = t.editais.select(k.alias("edital_id"), F.lit(1).alias("versao"), F.when(k % 11 == 0, "[1]").otherwise(F.concat(F.lit("Segue: "), body)).alias("resposta"))
+    rows = search.normalize_analysis(answers, 1)
+    joined = lambda c: F.array_join(c, "|").alias(c.split(".")[-1])
+    return rows.select("edital_id", "status", "objeto", joined("prazos"), "exige_amostra", "dados_orgao.numero_processo", "dados_orgao.contato_orgao", "dados_orgao.exclusivo_regional", joined("documentos_habilitacao.tecnica"), joined("documentos_habilitacao.juridica"), "dados_proposta.validade_dias", "dados_proposta.aceita_similar", joined("pontos_atencao"))
 
 
 @R.add("mat_20_checklist")
