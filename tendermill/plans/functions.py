@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..sources import notices
+from ..runtime import scratch
+from ..sources import notices, schemas
 from .views import AS_OF, Registry, Tables
 
 R = Registry()
@@ -297,6 +298,13 @@ def _(t: Tables):
     return t.editais.agg(F.count("*").alias("n"), F.count("valor_estimado").alias("com_valor"), F.min("data_abertura").alias("primeiro"))
 
 
+@R.add("src_13_typed_load", "select id, fonte, id_externo, uf, null::varchar as municipio, valor_estimado, data_abertura, coletado_em, 0 as itens_completados_qtd from editais")
+def _(t: Tables):
+    root = scratch(t.spark, "landed")
+    t.editais.withColumns({"itens_completados_qtd": F.lit(0).cast("smallint"), "outra": F.lit("x")}).write.parquet(f"{root}/editais")
+    return schemas.load(t.spark, root, "editais").select("id", "fonte", "id_externo", "uf", "municipio", "valor_estimado", "data_abertura", "coletado_em", "itens_completados_qtd")
+
+
 @R.add("src_14_route_file", "select page_id, case when page_id % 3 = 0 then 'ole2' when page_id % 3 = 1 then 'zip' else 'pdf' end as rota from pages")
 def _(t: Tables):
     head = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("D0CF11E0A1B11AE1"))).when(F.col("page_id") % 3 == 1, F.unhex(F.lit("504B0304")))
