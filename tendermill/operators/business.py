@@ -12,6 +12,7 @@ from ..functions.numbers import rounded
 from ..functions.text import first_int, is_package_unit, unit_price
 from ..runtime import written
 from .filters import MATCH_KEY, trusted, view_active
+from .validation import attach_validation
 
 MONEY = "decimal(18,4)"
 
@@ -170,6 +171,17 @@ def notice_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame,
     return rows.select(*MATCH_KEY, "numero", F.col("produto_id").isNotNull().alias("compativel"), "produto_id", "produto", "score_item", "confianca", "m.margem", "m.margem_pct", "m.custo_comparavel", "m.alerta_unidade")
 
 
+def validated_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, matches: DataFrame) -> DataFrame:
+    """``notice_detail`` with the technical validation of every compatible item that has a score.
+
+    ``avaliacao`` is null for items without a compatible product, without a score, or without anything that could be checked; then
+    ``pendencias`` is null too. Texts are scanned once each, whatever items and tenants have them.
+    """
+    detail = notice_detail(match_itens, itens, produtos, matches)
+    judged = attach_validation(match_itens.filter(trusted()), itens, produtos, None).filter("avaliacao is not null")
+    return detail.join(judged, [*MATCH_KEY, "numero"], "left")
+
+
 def summary(matches: DataFrame, editais: DataFrame, produtos: DataFrame, as_of: dt.date) -> DataFrame:
     """Dashboard of each tenant over its active matches."""
     e = editais.select(F.col("id").alias("edital_id"), "data_abertura", "valor_estimado")

@@ -101,7 +101,7 @@ def validate_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def attach_validation(rows: DataFrame, itens: DataFrame, produtos: DataFrame, first_n: int | None = 4) -> DataFrame:
-    """Match items with ``avaliacao``: those with a product and a score, the first of each match in a listing; null where nothing can be checked."""
+    """Match items with ``avaliacao, criticas, avisos, pendencias``: those with a product and a score, the first of each match in a listing; ``avaliacao`` is null where nothing can be checked."""
     key = ["usuario_id", "edital_id", "numero"]
     use = rows.filter("produto_id is not null and score_item is not null")
     if first_n:
@@ -113,4 +113,4 @@ def attach_validation(rows: DataFrame, itens: DataFrame, produtos: DataFrame, fi
     both = both.withColumn("par", F.xxhash64("item_texto", "produto_texto", "itens_por_unidade"))
     judged = validate_pairs(both.select("par", "item_texto", "produto_texto", "itens_por_unidade").dropDuplicates(["par"]))
     out = both.join(judged, "par")
-    return out.select(*key, F.when(F.col("verificavel"), classify(F.col("score_item"), F.col("criticas"), F.col("avisos"), F.col("verificavel"))).alias("avaliacao"), "criticas", "avisos")
+    return out.select(*key, F.when(F.col("verificavel"), classify(F.col("score_item"), F.col("criticas"), F.col("avisos"), F.col("verificavel"))).alias("avaliacao"), "criticas", "avisos", "pendencias")

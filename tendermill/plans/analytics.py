@@ -124,6 +124,13 @@ def _(t: Tables):
     return business.notice_detail(t.match_itens, t.itens, t.produtos, t.matches).drop("produto", "confianca", "custo_comparavel")
 
 
+@R.add("mrg_02_validated_detail")
+def _(t: Tables):
+    t.store("itens", "item_scores")
+    rows = business.validated_detail(t.match_itens, t.itens, t.produtos, t.matches)
+    return rows.select("usuario_id", "edital_id", "numero", "compativel", "produto_id", "margem", "alerta_unidade", "avaliacao", "criticas", "avisos", F.size("pendencias").alias("n_pendencias"))
+
+
 @R.add("mrg_03_quotation", f"select m.usuario_id, m.edital_id, m.numero, m.produto_id, round(10.0 * p.itens_por_unidade / i.quantidade, 4) as frete_unitario, round(p.preco_custo + 10.0 * p.itens_por_unidade / i.quantidade, 4) as custo_total_unitario, round(round(p.preco_custo + 10.0 * p.itens_por_unidade / i.quantidade, 4) * i.quantidade, 2) as total from match_itens m join itens i on i.edital_id = m.edital_id and i.numero = m.numero join produtos p on p.id = m.produto_id where {_TRUST}")
 def _(t: Tables):
     rows = business.quotation(t.match_itens, t.itens, t.produtos, 10.0 * F.col("itens_por_unidade"))
