@@ -44,7 +44,7 @@ def document_check(responses: DataFrame) -> DataFrame:
 
 
 # The fields of an analysis, by group.
-ANALYSIS = T._parse_datatype_string("""
+ANALYSIS = """
     objeto string,
     documentos_habilitacao struct<juridica: array<string>, fiscal_trabalhista: array<string>, tecnica: array<string>, economico_financeira: array<string>, declaracoes: array<string>>,
     validade_documentos_habilitacao string,
@@ -58,15 +58,16 @@ ANALYSIS = T._parse_datatype_string("""
     julgamento string,
     garantia_contratual string,
     pontos_atencao array<string>
-""")
+"""
 
 
-def normalize_analysis(responses: DataFrame, version: int, schema: T.StructType = ANALYSIS) -> DataFrame:
-    """Answers (``edital_id, versao, resposta``) of one prompt version as ``edital_id, status`` and the fields of ``schema``.
+def normalize_analysis(responses: DataFrame, version: int, fields: str = ANALYSIS) -> DataFrame:
+    """Answers (``edital_id, versao, resposta``) of one prompt version as ``edital_id, status`` and the ``fields``.
 
     ``status`` is ok, or resposta_invalida with null fields where the answer holds no JSON object. Fields of a wrong shape are brought to
     the schema (``shaped``).
     """
+    schema = T.StructType.fromDDL(fields)
     mine = responses.filter(F.col("versao") == version).select("edital_id", parse_response(F.col("resposta")).alias("__v"))
     known = mine.withColumn("__o", is_object(F.col("__v"))).withColumn("__s", F.when(F.col("__o"), shaped(F.col("__v"), schema)))
     return known.select("edital_id", F.when(F.col("__o"), "ok").otherwise("resposta_invalida").alias("status"), *[F.col(f"__s.{f.name}").alias(f.name) for f in schema.fields])

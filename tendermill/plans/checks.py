@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import attributes, numbers, text
 from ..operators import matching, search, validation
@@ -172,7 +171,7 @@ def _(t: Tables):
     risks = F.when(F.col("id") % 4 == 0, '["a","b"]').when(F.col("id") % 4 == 1, '"só um"').otherwise("null")
     parts = [F.lit('{"riscos":'), risks, F.when(F.col("id") % 3 != 0, F.concat(F.lit(',"resumo":"'), "objeto", F.lit('"'))).otherwise(""), F.when(F.col("id") % 5 == 0, ',"exige_visita":true').otherwise(""), F.lit("}")]
     answers = t.editais.select(F.col("id").alias("edital_id"), (F.col("id") % 2).alias("versao"), F.concat(*parts).alias("resposta"))
-    own = T._parse_datatype_string("resumo string, riscos array<string>, exige_visita boolean")
+    own = "resumo string, riscos array<string>, exige_visita boolean"
     return search.normalize_analysis(answers, 1, own).withColumn("riscos", F.array_join("riscos", "|")).drop("status")
 
 

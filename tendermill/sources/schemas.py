@@ -63,7 +63,7 @@ class SchemaError(ValueError):
 def schema_of(table: str) -> T.StructType:
     if table not in TABLES:
         raise KeyError(f"no table {table}; there are {', '.join(TABLES)}")
-    return T._parse_datatype_string(TABLES[table])
+    return T.StructType.fromDDL(TABLES[table])
 
 
 def _fits(have: T.DataType, want: T.DataType) -> bool:
