@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -412,14 +411,3 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     at = [c.lower() for c in coded.columns].index("ids")
 
     return map_rows(coded, lambda batches: _decoded(batches, at, model), [StructField("decoded", StringType())])
-
-
-def covered(text: str, begins: list[int], ends: list[int]) -> list[str]:
-    """What each piece covers of an original text."""
-    raw = text.encode()
-    return [raw[a:b].decode(errors="replace") for a, b in zip(begins, ends, strict=True)]
-
-
-def gaps(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """Stretches of the original between one piece and the next that no piece covers, such as spaces that were taken away."""
-    return [(a, b) for a, b in pairwise([x for s in zip(begins, ends, strict=True) for x in s]) if a < b and (a, b) not in set(zip(begins, ends, strict=True))]
