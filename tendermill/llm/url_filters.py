@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_of, without
+from .common import all_of, let, without
 
-#: More rules than this are joined by shuffle instead of broadcast (under 2 MB of rules).
+#: So many rules are one constant of the plan (under 2 MB); more go in several.
 MAX_BROADCAST_RULES = 10_000
 _TOKEN = r"[^a-z0-9]+"
 
@@ -80,50 +81,57 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, empty), F.coalesce(path, empty)
 
 
+def _filed(tokens: DataFrame, rules: list[UrlRule]) -> list[str]:
+    """The literal of each rule that fewest rows of ``tokens`` have (ties: the smallest). The driver gets a count for each literal."""
+    named = sorted({t for r in rules for t in r.literals})
+    literals = tokens.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(named)), "array<string>")).alias("token"))
+    small = F.broadcast if len(named) <= MAX_BROADCAST_RULES else (lambda df: df)
+    seen = tokens.select(F.explode("tokens").alias("token")).join(small(literals), "token").groupBy("token").agg(F.count("*").alias("n"))
+    counts = {r["token"]: r["n"] for r in seen.collect()}
+    return [min(r.literals, key=lambda t: (counts.get(t, 0), t)) for r in rules]
+
+
+def _best(rules: list[tuple[int, UrlRule, str]], tokens: Column, target: Column) -> Column:
+    """The best of ``rules`` (number, rule, the token it is filed under) that fits ``target``, or null.
+
+    The rules are a constant array of slots by the CRC-32 of their token, so a token of a URL reads one slot, however many rules there are.
+    """
+    slots: list[list[dict]] = [[] for _ in range(2 * len(rules) + 1)]
+    for number, r, token in rules:
+        entry = {"token": token, "pattern": r.pattern, "fold": r.fold, "rank": r.rank, "number": -number, "name": r.name, "verdict": r.verdict}
+        slots[zlib.crc32(token.encode()) % len(slots)].append(entry)
+    kind = "array<array<struct<token string, pattern string, fold boolean, rank bigint, number int, name string, verdict string>>>"
+    table = F.from_json(F.lit(json.dumps(slots)), kind)
+
+    def fitting(token: Column) -> Column:
+        slot = F.get(table, F.pmod(F.crc32(token.cast("binary")), F.lit(len(slots)).cast("long")).cast("int"))
+        fits = F.filter(slot, lambda r: (r["token"] == token) & F.rlike(F.when(r["fold"], F.lower(target)).otherwise(target), r["pattern"]))
+        return F.transform(fits, lambda r: F.struct(r["rank"].alias("rank"), r["number"].alias("number"), r["name"].alias("rule"), r["verdict"].alias("verdict")))
+
+    return F.array_max(F.flatten(F.transform(tokens, fitting)))
+
+
 def filter_urls(pages: DataFrame, rules: list[UrlRule], default: str = "allow", url: str = "url") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict`` for the column ``url``; input columns of these names are replaced.
 
-    Each rule is filed under the literal token that fewest URLs have, counted over all of them. A URL's tokens fetch its
-    candidate rules; those run their expression, and of those that fit the largest rank wins (ties: the smallest name, then
-    pattern). ``rule`` is the winner's name or null; ``verdict`` is the winner's, else ``default``.
+    Each rule is filed under the literal token that fewest URLs have, counted over all of them (one pass at once, whose result is a
+    count for each literal). A URL's tokens fetch its candidate rules; those run their expression, and of those that fit the
+    largest rank wins (ties: the rule listed first). ``rule`` is the winner's name or null; ``verdict`` is the winner's, else ``default``.
 
     One row comes out for each row that goes in, repeated rows and null ids included; a null URL fits no rule. An empty list of rules,
-    or a rule without a literal, is a ValueError. Extra columns pass
-    through. Candidates are held as a row's own small array, so no page is matched against another and no key gathers rows.
+    or a rule without a literal, is a ValueError. Extra columns pass through. A row is judged where it lies: none is shuffled, numbered or
+    put together again, so a hot host costs nothing and a lost task is simply run again. Rules go in blocks of ``MAX_BROADCAST_RULES``,
+    each a constant of the plan.
     """
-    spark = pages.sparkSession
     if not rules or any(not r.literals for r in rules):
         raise ValueError("give one rule at least, and each rule a literal token to be filed under")
     pages = without(pages, ["host", "path", "rule", "verdict"])
     host, path = split_url(F.col(url))
     split = pages.withColumn("host", host).withColumn("path", path)
     tokens = F.array_distinct(F.split(F.lower(F.concat("host", F.lit("/"), "path")), _TOKEN))
-
-    listed = spark.range(1).select(
-        F.inline(
-            F.from_json(
-                F.lit(json.dumps([{"rule_id": i, "pattern": r.pattern, "rule_verdict": r.verdict, "rank": r.rank, "name": r.name, "fold": r.fold, "literals": list(dict.fromkeys(r.literals))} for i, r in enumerate(rules)])),
-                "array<struct<rule_id int, pattern string, rule_verdict string, rank bigint, name string, fold boolean, literals array<string>>>",
-            )
-        )
-    )
-    small = F.broadcast if len(rules) <= MAX_BROADCAST_RULES else (lambda df: df)
-    literals = listed.select(F.explode("literals").alias("token")).distinct()
-    seen = split.select(F.explode(tokens).alias("token")).join(small(literals), "token").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = listed.select("*", F.explode("literals").alias("token")).join(seen, "token", "left")
-    # the smallest pair of count and token: the rarest literal of each rule
-    filed = ranked.groupBy("rule_id", "pattern", "rule_verdict", "rank", "name", "fold").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-
-    target = F.concat("host", "path")
-    key = F.struct(F.col("rank").alias("rank"), (-F.col("rule_id")).alias("order"))
-    # what passes through rides on a row's first token alone
-    rest = F.struct(*all_of(split))
-    found = (
-        split.select("host", "path", F.monotonically_increasing_id().alias("__row"), rest.alias("__rest"))
-        .select("*", F.posexplode(tokens).alias("__pos", "token"))
-        .withColumn("__rest", F.when(F.col("__pos") == 0, F.col("__rest")))
-        .join(small(filed), "token", "left")
-        .select("__row", "__rest", F.when(F.rlike(F.when(F.col("fold"), F.lower(target)).otherwise(target), F.col("pattern")), F.struct(key.alias("key"), F.col("name").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("__best"))
+    numbered = list(zip(range(len(rules)), rules, _filed(split.select(tokens.alias("tokens")), rules), strict=True))
+    blocks = [numbered[i : i + MAX_BROADCAST_RULES] for i in range(0, len(numbered), MAX_BROADCAST_RULES)]
+    best = F.array_max(F.array(*[_best(b, tokens, F.concat("host", "path")) for b in blocks]))
+    return split.select(*all_of(pages), "host", "path", let(best, lambda b: F.struct(b["rule"].alias("rule"), F.coalesce(b["verdict"], F.lit(default)).alias("verdict"))).alias("__best")).select(
+        *all_of(pages), "host", "path", "__best.rule", "__best.verdict"
     )
-    best = found.groupBy("__row").agg(F.first("__rest", ignorenulls=True).alias("__rest"), F.max("__best").alias("__best")).select("__rest.*", "__best")
-    return best.select(*all_of(pages), "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))

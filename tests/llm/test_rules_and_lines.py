@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -113,6 +114,26 @@ def test_url_rules_must_be_given(spark):
         url_filters.filter_urls(spark.createDataFrame([], "url string"), [url_filters.method_rule("x", ())])
 
 
+@pytest.mark.parametrize("block", [7, 10_000])
+def test_many_url_rules_in_blocks(spark, monkeypatch, block):
+    """Against a plain loop over all rules, in one block and in many; ties go to the rule listed first, and no row is shuffled."""
+    monkeypatch.setattr(url_filters, "MAX_BROADCAST_RULES", block)
+    draw = random.Random(block)
+    word = lambda: draw.choice("abcd") + draw.choice("xyz") + draw.choice(["", "é", "1"])
+    rules = [url_filters.host_rule(f"{draw.choice('abcd')}{draw.choice('xyz')}.{draw.choice(['com', 'net'])}", draw.choice(["/", "/ax", "/ax/"]), draw.choice(["allow", "block"])) for _ in range(40)]
+    rules += [url_filters.method_rule(rf"/{w}(?:/|$)", (w,), draw.choice(["block", "hold"]), draw.randint(1, 3)) for w in ("ax", "bx", "cy", "dz", "ax", "b1", "zz") for _ in range(3)]
+    urls = [f"http://{draw.choice(['', 'WWW.', 'q-'])}{word()}.{draw.choice(['com', 'net', 'NET.org'])}/{word()}/{word()}{draw.choice(['', '?ax', '#bx'])}" for _ in range(400)] + [None, "", "ax"]
+
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = url_filters.filter_urls(df, rules)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        whole = r["host"] + r["path"]
+        fits = [(x.rank, -i, x) for i, x in enumerate(rules) if re.search(x.pattern, whole.lower() if x.fold else whole)]
+        best = max(fits, default=None)
+        assert (r["rule"], r["verdict"]) == ((best[2].name, best[2].verdict) if best else (None, "allow")), r
+
+
 def test_menus_are_no_text(spark):
     menu, text = "Home | Shop | About us | Contact.", "A sentence with a dash → and a bullet • in it, but much longer than the links of any menu would be."
     got = quality_rules.clean_lines(docs(spark, [f"{menu}\n{text}"])).first()
