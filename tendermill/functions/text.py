@@ -156,10 +156,12 @@ def _indel_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_indel(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def token_set_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
+def token_set_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio", floor: Column | None = None) -> DataFrame:
     """``pairs`` with the token-set similarity (0 to 1) of columns ``a`` and ``b``; 0 where either has no token.
 
-    All but the edit distance of the two rests is expressed in columns; the distance is an Arrow function over distinct rests only.
+    All but the edit distance of the two rests is expressed in columns; the distance is an Arrow function over distinct rests only. With
+    a ``floor`` (of each pair) no distance is taken where lengths rule out that the ratio reaches it; such a pair's ratio may come
+    out smaller than it is.
     """
     ship(pairs.sparkSession)
     indel = F.pandas_udf(_indel_batch, "long")
@@ -175,12 +177,14 @@ def token_set_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> Dat
     empty = (F.size("__ts_a") == 0) | (F.size("__ts_b") == 0)
     inside = (F.size("__ts_s") > 0) & ((F.size("__ts_x") == 0) | (F.size("__ts_y") == 0))
     t = t.withColumns({"__ts_easy": F.when(empty, F.lit(0.0)).when(inside, F.lit(1.0)), "__ts_xs": F.array_join("__ts_x", " "), "__ts_ys": F.array_join("__ts_y", " ")})
-    hard = t.filter(F.col("__ts_easy").isNull()).select("__ts_xs", "__ts_ys").distinct()
-    far = hard.withColumn("__ts_d", indel("__ts_xs", "__ts_ys"))
-    t = t.join(far, ["__ts_xs", "__ts_ys"], "left")
     s, x, y = size("__ts_s"), size("__ts_x"), size("__ts_y")
     g = F.when(F.size("__ts_s") > 0, F.lit(1)).otherwise(F.lit(0))
+    hard = t.filter(F.col("__ts_easy").isNull())
+    if floor is not None:
+        hard = hard.filter(1 - F.abs(x - y) / ((s + g + x) + (s + g + y)) >= floor - 1e-9)
+    far = hard.select("__ts_xs", "__ts_ys").distinct().withColumn("__ts_d", indel("__ts_xs", "__ts_ys"))
+    t = t.join(far, ["__ts_xs", "__ts_ys"], "left")
     whole = 1 - F.col("__ts_d") / ((s + g + x) + (s + g + y))
     rest = [1 - (g + n) / (s + s + g + n) for n in (x, y)]
-    ratio = F.coalesce("__ts_easy", F.when(g == 0, whole).otherwise(F.greatest(whole, *rest)))
+    ratio = F.coalesce("__ts_easy", F.when(g == 0, whole).otherwise(F.greatest(whole, *rest)), F.lit(0.0))
     return t.withColumn(out, ratio).drop("__ts_a", "__ts_b", "__ts_s", "__ts_x", "__ts_y", "__ts_easy", "__ts_xs", "__ts_ys", "__ts_d")

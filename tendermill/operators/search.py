@@ -13,6 +13,7 @@ from ..functions.shapes import is_object, shaped
 from ..functions.text import contains_all_tokens, expand_abbreviations, normalize, search_tokens, significant_words, token_set_ratio
 from ..runtime import written
 from ..sources.notices import first_of, get, parse_response
+from .alike import AlikeTexts
 from .calendar import document_status
 from .terms import PhraseIndex
 
@@ -81,19 +82,21 @@ def flatten_required(required: DataFrame) -> DataFrame:
 
 
 def document_checklist(required: DataFrame, documentos: DataFrame, as_of: dt.date, floor: float = 0.55) -> DataFrame:
-    """For every requirement of a tenant's notice the best matching active document and its state; nao_cadastrado below the floor."""
+    """For every requirement of a tenant's notice the best matching active document (ties: the smallest id) and its state.
+
+    ``status`` is nao_cadastrado where none reaches the floor, and null where the document found has no date.
+    """
     asked = flatten_required(required).withColumn("__a", expand_abbreviations(F.col("exigido")))
-    held = documentos.filter("ativo").select("usuario_id", F.col("id").alias("documento_id"), F.col("data_validade"), expand_abbreviations(F.col("nome")).alias("__b"))
-    texts = asked.select("usuario_id", "__a").distinct().join(held.select("usuario_id", "__b").distinct(), "usuario_id")
-    scored = token_set_ratio(texts, "__a", "__b", "relevancia").filter(F.col("relevancia") >= floor)
-    best = scored.join(held, ["usuario_id", "__b"]).groupBy("usuario_id", "__a").agg(F.max_by(F.struct("documento_id", "data_validade", "relevancia"), F.struct("relevancia", -F.col("documento_id"))).alias("m"))
+    held = documentos.filter("ativo").select("usuario_id", F.col("id").alias("documento_id"), F.col("nome").alias("nome_cadastrado"), "data_validade", expand_abbreviations(F.col("nome")).alias("__b"))
+    scored = AlikeTexts(asked, held, "usuario_id", "__a", "__b", floor).search()
+    best = scored.join(held, ["usuario_id", "__b"]).groupBy("usuario_id", "__a").agg(F.max_by(F.struct("documento_id", "nome_cadastrado", "data_validade", "relevancia"), F.struct("relevancia", -F.col("documento_id"))).alias("m"))
     out = asked.join(best, ["usuario_id", "__a"], "left").select(*required.drop("exigencias").columns, "categoria", "exigido", "m.*")
     state = document_status(out, as_of)
-    return state.withColumns({"status": F.coalesce("status", F.lit("nao_cadastrado")), "relevancia": F.coalesce(F.round("relevancia", 2), F.lit(0.0))})
+    return state.withColumns({"status": F.when(F.col("documento_id").isNull(), "nao_cadastrado").otherwise(F.col("status")), "relevancia": F.coalesce(F.round("relevancia", 2), F.lit(0.0))})
 
 
-def _relevance(pairs: DataFrame, query: str, field: str, contained) -> DataFrame:
-    return token_set_ratio(pairs, query, field, "relevancia").withColumn("relevancia", F.when(contained, F.greatest("relevancia", F.lit(0.9))).otherwise(F.col("relevancia")))
+def _relevance(pairs: DataFrame, query: str, field: str, contained, floor=None) -> DataFrame:
+    return token_set_ratio(pairs, query, field, "relevancia", floor).withColumn("relevancia", F.when(contained, F.greatest("relevancia", F.lit(0.9))).otherwise(F.col("relevancia")))
 
 
 def rank_groups(groups: DataFrame, queries: DataFrame, top: int = 6, block: int = 1000) -> DataFrame:
@@ -126,7 +129,8 @@ def rank_codes(hits: DataFrame, queries: DataFrame, n: int = 30) -> DataFrame:
     first = hits.filter("coalesce(codigo, '') <> ''").withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "codigo").orderBy("ordem"))).filter("__n = 1")
     both = first.join(queries.select("query_id", normalize(F.col("termo")).alias("__q"), search_tokens(F.col("termo")).alias("__t")), "query_id").withColumn("__d", normalize(F.col("descricao")))
     inside = contains_all_tokens(F.concat_ws(" ", "__d", normalize(F.col("pdm"))), F.col("__t"))
-    ranked = _relevance(both.withColumn("__in", inside), "__q", "__d", F.col("__in")).filter("__in or relevancia >= 0.5")
+    needed = F.when(F.col("__in"), 0.9).otherwise(0.5)  # no smaller ratio changes anything
+    ranked = _relevance(both.withColumn("__in", inside), "__q", "__d", F.col("__in"), needed).filter("__in or relevancia >= 0.5")
     order = Window.partitionBy("query_id").orderBy(F.desc("ativo"), F.desc("relevancia"), "codigo")
     return ranked.withColumn("posicao", F.row_number().over(order)).filter(F.col("posicao") <= n).select("query_id", "codigo", "descricao", F.round("relevancia", 3).alias("relevancia"), "posicao")
 
