@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, digits
@@ -154,6 +154,40 @@ def run_log_by_source(batch: DataFrame, errors: DataFrame, source: str = "fonte"
     return rows.fillna(0, ["vistos", "novos", "fortes"]).withColumn("erro", clip(F.col("erro"), 500))
 
 
+#: So many sources, with four counts each, are observed in one write.
+MAX_OBSERVED = 200
+
+
+def write_observed(rows: DataFrame, path: str, metrics: dict[str, Column]) -> dict:
+    """Writes ``rows`` over the Parquet folder ``path`` and returns aggregates of them (``name: aggregate``), taken by the write itself."""
+    seen = Observation()
+    rows.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def write_with_log(batch: DataFrame, path: str, sources: list[str], errors: DataFrame, source: str = "fonte") -> DataFrame:
+    """Writes a run's rows and returns ``run_log_by_source`` of them, with no other scan and no shuffle of the rows.
+
+    ``sources`` are all that a run asks, up to ``MAX_OBSERVED`` of them; a row of any other source, or of none, is a ValueError once all is
+    written. ``errors`` as in ``run_log_by_source``.
+    """
+    names = list(dict.fromkeys(sources))
+    if len(names) > MAX_OBSERVED:
+        raise ValueError(f"at most {MAX_OBSERVED} sources are observed; use run_log_by_source")
+    strong, metrics = F.col("novo") & (F.col("nivel") == "forte"), {"todos": F.count(F.lit(1))}
+    for i, name in enumerate(names):
+        own = F.col(source) == name
+        metrics |= {f"vistos_{i}": F.count_if(own), f"novos_{i}": F.count_if(own & F.col("novo")), f"fortes_{i}": F.count_if(own & strong)}
+    seen = write_observed(batch, path, metrics)
+    counts = [(name, *[seen[f"{m}_{i}"] for m in ("vistos", "novos", "fortes")]) for i, name in enumerate(names)]
+    if sum(c[1] for c in counts) != seen["todos"]:
+        raise ValueError("the batch has rows of sources that were not named")
+    log = batch.sparkSession.createDataFrame([c for c in counts if c[1]], f"{source} string, vistos long, novos long, fortes long")
+    failed = errors.groupBy(source).agg(F.min("erro").alias("erro"))
+    rows = log.join(failed, source, "full_outer")
+    return rows.fillna(0, ["vistos", "novos", "fortes"]).withColumn("erro", clip(F.col("erro"), 500))
+
+
 def outbox(alerts: DataFrame, kind: str, channel: str) -> DataFrame:
     """One message for each tenant: ``n`` and the notices in order."""
     return alerts.groupBy("usuario_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("edital_id")), ",").alias("editais")).withColumns({"tipo": F.lit(kind), "canal": F.lit(channel)})

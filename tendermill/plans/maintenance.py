@@ -234,11 +234,25 @@ def _(t: Tables):
     return t.spark.read.schema(rows.schema).option("sep", ";").option("header", True).option("escape", '"').csv(path)
 
 
-@R.add("snk_15_run_log_by_source", "with b as (select e.uf as fonte, m.nivel, m.edital_id % 2 = 1 as novo from matches m join editais e on e.id = m.edital_id where e.uf <> 'NATION_3') select n_name as fonte, count(b.fonte) as vistos, count(*) filter (novo) as novos, count(*) filter (novo and nivel = 'forte') as fortes, case when n_nationkey % 3 = 0 then substr(repeat(n_name, 90), 1, 500) end as erro from nation left join b on b.fonte = n_name group by n_name, n_nationkey having count(b.fonte) > 0 or n_nationkey % 3 = 0")
-def _(t: Tables):
+def _run_of_sources(t: Tables):
     b = t.matches.join(t.editais.select(F.col("id").alias("edital_id"), F.col("uf").alias("fonte")), "edital_id").filter("fonte <> 'NATION_3'").withColumn("novo", F.col("edital_id") % 2 == 1)
     errors = t.nation.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("fonte"), F.repeat("n_name", F.lit(90)).alias("erro"))
-    return tables.run_log_by_source(b, errors)
+    return b, errors
+
+
+_BY_SOURCE = "with b as (select e.uf as fonte, m.nivel, m.edital_id % 2 = 1 as novo from matches m join editais e on e.id = m.edital_id where e.uf <> 'NATION_3') select n_name as fonte, count(b.fonte) as vistos, count(*) filter (novo) as novos, count(*) filter (novo and nivel = 'forte') as fortes, case when n_nationkey % 3 = 0 then substr(repeat(n_name, 90), 1, 500) end as erro from nation left join b on b.fonte = n_name group by n_name, n_nationkey having count(b.fonte) > 0 or n_nationkey % 3 = 0"
+
+
+@R.add("snk_15_run_log_by_source", _BY_SOURCE)
+def _(t: Tables):
+    return tables.run_log_by_source(*_run_of_sources(t))
+
+
+@R.add("snk_15_observed_log", _BY_SOURCE)
+def _(t: Tables):
+    sources = [r["n_name"] for r in t.nation.select("n_name").collect()]
+    run, errors = _run_of_sources(t)
+    return tables.write_with_log(run, scratch(t.spark, "run-rows"), sources, errors)
 
 
 @R.add("snk_19_store_cache", "select m.usuario_id, m.edital_id, case when edital_id % 4 = 0 then null else status end as valor, u.id % 3 as versao_calc from matches m left join usuarios u on u.id = m.usuario_id")

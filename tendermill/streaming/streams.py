@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import matching
 from ..operators.filters import matching_scope
 from ..operators.overlap import OverlapIndex
-from ..operators.tables import insert_if_absent, outbox
+from ..operators.tables import insert_if_absent, outbox, write_observed
 from ..runtime import ship, written
 
 
@@ -46,15 +47,19 @@ def ingest_stream(source: DataFrame, table: str, checkpoint: str, key: tuple[str
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def match_stream(source: DataFrame, match: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, alerts: str | None = None) -> StreamingQuery:
+def match_stream(source: DataFrame, match: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, alerts: str | None = None, log: str | None = None) -> StreamingQuery:
     """Runs a matching job (``full_matching`` and the like) on the notices of each batch and writes what it finds under the batch's number.
 
     With ``alerts`` each batch also leaves a message for every tenant with strong matches that are new (``novo_forte``), under the same
-    number: a batch that is run again replaces its messages.
+    number: a batch that is run again replaces its messages. With ``log`` each batch leaves a row ``n, escrito_em``, counted by the write
+    of its matches and not by reading them; ``recompute_progress`` reads it.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        match(batch).write.mode("overwrite").parquet(f"{out}/lote={n}")
+        seen = write_observed(match(batch), f"{out}/lote={n}", {"n": F.count(F.lit(1)), "escrito_em": F.max(F.current_timestamp())})
+        if log is not None:
+            row = batch.sparkSession.createDataFrame([(seen["n"], seen["escrito_em"])], "n long, escrito_em timestamp")
+            row.coalesce(1).write.mode("overwrite").parquet(f"{log}/lote={n}")
         if alerts is not None:
             done = batch.sparkSession.read.parquet(f"{out}/lote={n}")
             outbox(done.filter("novo_forte"), "novos", "email").write.mode("overwrite").parquet(f"{alerts}/lote={n}")
@@ -222,20 +227,45 @@ def last_interaction(events: DataFrame) -> DataFrame:
     return events.groupBy("usuario_id", "edital_id").agg(F.max("ts").alias("interagido_em"))
 
 
-def resumable_recompute(source: DataFrame, match: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+def resumable_recompute(source: DataFrame, match: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, log: str | None = None) -> StreamingQuery:
     """A full recompute in checkpointed batches of files: a stopped run goes on where it was, a finished one has nothing to do.
 
-    ``stop()`` of what is returned cancels it between batches; ``recompute_progress`` tells how far it is.
+    ``stop()`` of what is returned cancels it between batches; ``recompute_progress`` tells how far it is, and a ``BatchProgress``
+    listener hears of each batch as it ends.
     """
-    return match_stream(source, match, out, checkpoint)
+    return match_stream(source, match, out, checkpoint, log=log)
 
 
-def recompute_progress(spark: SparkSession, out: str) -> DataFrame:
-    """``lote`` and ``n`` (rows) of the batches that are done."""
-    if not _exists(spark, out):
+def recompute_progress(spark: SparkSession, out: str, log: str | None = None) -> DataFrame:
+    """``lote`` and ``n`` (rows) of the batches that are done; from the run's ``log``, a row for each batch, where it kept one."""
+    if not _exists(spark, log or out):
         return spark.createDataFrame([], "lote int, n long")
+    if log is not None:
+        return spark.read.schema("n long, lote int").parquet(log).select("lote", "n")
     return spark.read.parquet(out).groupBy(F.col("lote").cast("int").alias("lote")).agg(F.count("*").alias("n"))
 
 
+class BatchProgress(StreamingQueryListener):
+    """What the batches of queries read and took, as they end: ``batches`` holds (query id, batch, rows read, milliseconds), ``ended`` the ids
+    of queries that are over, with their error or None. Register it with ``spark.streams.addListener``."""
+
+    def __init__(self, keep: int = 10_000):
+        self.batches: deque[tuple[str, int, int, int]] = deque(maxlen=keep)
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.pop(str(event.id), None)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append((str(p.id), p.batchId, p.numInputRows, p.durationMs.get("triggerExecution", 0)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)] = event.exception
+
+
 def read_files(spark: SparkSession, path: str, schema, per_batch: int = 2) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
