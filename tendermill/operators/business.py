@@ -162,6 +162,22 @@ def live_candidates(items: DataFrame, produtos: DataFrame) -> DataFrame:
     return live.groupBy(*MATCH_KEY, "numero").agg(F.sort_array(F.collect_list(F.struct("posicao", "produto_id", "score", "produto", "preco_custo"))).alias("candidatos"))
 
 
+def with_live_products(itens: DataFrame, produtos: DataFrame, ref: str) -> DataFrame:
+    """``itens`` with ``vivos``: what the products under ``ref`` are now, by tenant."""
+    fact = F.struct("usuario_id", F.col("id").alias("produto_id"), F.col("descricao").alias("produto"), "preco_custo")
+    return itens.join(produtos.groupBy(F.col("id").alias(ref)).agg(F.sort_array(F.collect_list(fact)).alias("vivos")), ref, "left").withColumn("vivos", F.coalesce("vivos", F.array()))
+
+
+def live_of_lists(items: DataFrame) -> DataFrame:
+    """``live_candidates`` of items that have the products of their notice in ``vivos`` (``usuario_id, produto_id, produto, preco_custo``)."""
+
+    def facts(c):
+        mine = F.array_distinct(F.filter("vivos", lambda v: (v["produto_id"] == c["produto_id"]) & (v["usuario_id"] == F.col("usuario_id"))))
+        return F.transform(mine, lambda v: F.struct(c["posicao"].alias("posicao"), c["produto_id"].alias("produto_id"), c["score"].alias("score"), v["produto"].alias("produto"), v["preco_custo"].alias("preco_custo")))
+
+    return items.select(*MATCH_KEY, "numero", F.flatten(F.transform("candidatos", facts)).alias("candidatos")).filter(F.size("candidatos") > 0)
+
+
 def notice_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, matches: DataFrame) -> DataFrame:
     """Each item of matched notices with its compatible product and margin; compatible ones first."""
     scope = matches.select(*MATCH_KEY).join(itens, "edital_id")
