@@ -205,8 +205,9 @@ def route_files(files: DataFrame) -> DataFrame:
 
 
 def parse_response(text: Column) -> Column:
-    """The JSON of a model's answer: as it is, or what lies between its first and last brace."""
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))))
+    """The JSON of a model's answer: as it is, or what lies between its first and last brace. What begins like no JSON is not tried as a whole, as each failure is dear."""
+    whole = F.when(~F.rlike(text, F.lit(r"^\s*(?:`|[A-Za-z&&[^tfnNI]])")), F.try_parse_json(text))
+    return F.coalesce(whole, F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))))
 
 
 def union_sources(*dfs: DataFrame) -> DataFrame:
