@@ -178,13 +178,21 @@ def live_of_lists(items: DataFrame) -> DataFrame:
     return items.select(*MATCH_KEY, "numero", F.flatten(F.transform("candidatos", facts)).alias("candidatos")).filter(F.size("candidatos") > 0)
 
 
-def notice_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, matches: DataFrame) -> DataFrame:
-    """Each item of matched notices with its compatible product and margin; compatible ones first."""
+def notice_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, matches: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """Each item of matched notices with its compatible product and margin; compatible ones first. Columns of ``judged`` (of ``ITEM_KEY``) come last.
+
+    What is known of a compatible item is put together before the notices' items are joined with it, once: most of these have no
+    product, and would all meet in one task if they were joined by it.
+    """
+    key = [*MATCH_KEY, "numero"]
     scope = matches.select(*MATCH_KEY).join(itens, "edital_id")
-    mine = match_itens.filter(trusted()).select(*MATCH_KEY, "numero", "produto_id", "score_item", "confianca", "confirmado_manualmente")
+    mine = match_itens.filter(trusted()).select(*key, "produto_id", "score_item", "confianca", "confirmado_manualmente")
     p = produtos.select(F.col("id").alias("produto_id"), F.col("descricao").alias("produto"), "preco_custo", "itens_por_unidade")
-    rows = scope.join(mine, [*MATCH_KEY, "numero"], "left").join(p, "produto_id", "left").withColumn("m", cost_margin(F.col("valor_unitario"), F.col("preco_custo"), F.col("itens_por_unidade"), F.col("unidade_medida")))
-    return rows.select(*MATCH_KEY, "numero", F.col("produto_id").isNotNull().alias("compativel"), "produto_id", "produto", "score_item", "confianca", "m.margem", "m.margem_pct", "m.custo_comparavel", "m.alerta_unidade")
+    mine, more = mine.join(p, "produto_id", "left"), []
+    if judged is not None:
+        mine, more = mine.join(judged, key, "left"), [c for c in judged.columns if c not in key]
+    rows = scope.join(mine, key, "left").withColumn("m", cost_margin(F.col("valor_unitario"), F.col("preco_custo"), F.col("itens_por_unidade"), F.col("unidade_medida")))
+    return rows.select(*key, F.col("produto_id").isNotNull().alias("compativel"), "produto_id", "produto", "score_item", "confianca", "m.margem", "m.margem_pct", "m.custo_comparavel", "m.alerta_unidade", *more)
 
 
 def validated_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFrame, matches: DataFrame) -> DataFrame:
@@ -193,9 +201,8 @@ def validated_detail(match_itens: DataFrame, itens: DataFrame, produtos: DataFra
     ``avaliacao`` is null for items without a compatible product, without a score, or without anything that could be checked; then
     ``pendencias`` is null too. Texts are scanned once each, whatever items and tenants have them.
     """
-    detail = notice_detail(match_itens, itens, produtos, matches)
     judged = attach_validation(match_itens.filter(trusted()), itens, produtos, None).filter("avaliacao is not null")
-    return detail.join(judged, [*MATCH_KEY, "numero"], "left")
+    return notice_detail(match_itens, itens, produtos, matches, judged)
 
 
 def summary(matches: DataFrame, editais: DataFrame, produtos: DataFrame, as_of: dt.date) -> DataFrame:
