@@ -52,7 +52,7 @@ def test_all_pairs_are_scored_where_they_meet(spark):
 def test_confirmations_are_dealt_out_once(spark, name):
     """Confirmations meet scores without a join of all items."""
     plan = plan_of(registry.queries()[name](spark, SF))
-    assert "__has" in plan
+    assert "REPARTITION_BY_NUM" in plan
 
 
 def test_confirmations_meet_items_by_whole_keys(spark):
