@@ -113,15 +113,14 @@ def is_package_unit(text: Column) -> Column:
 
 
 def package_count(description: Column) -> Column:
-    """Pieces in a package by its description, or null."""
-    groups = [F.nullif(F.regexp_extract(description, PACKAGE_PATTERN, g), F.lit("")) for g in (1, 2, 3)]
-    return F.coalesce(*groups).try_cast("int")
+    """Pieces in a package by its description, or null. The pattern is tried once: what it finds holds one number."""
+    return F.regexp_extract(F.regexp_extract(description, PACKAGE_PATTERN, 0), r"\d+", 0).try_cast("int")
 
 
 def unit_price(description: Column, price: Column) -> Column:
     """Price of a piece; null unless the price is positive."""
-    n = package_count(description)
-    return F.when(price > 0, F.when(F.coalesce(n, F.lit(0)) > 1, price / n).otherwise(price))
+    # the count stands here once, as it is taken again wherever it stands
+    return F.when(price > 0, price / F.greatest(F.coalesce(package_count(description), F.lit(1)), F.lit(1)))
 
 
 def chunk(texts: DataFrame, text: str = "texto", size: int = 2500) -> DataFrame:

@@ -44,17 +44,43 @@ def cost_margin(price: Column, cost: Column, per_unit: Column, unit: Column) ->
     )
 
 
-def group_median(values: DataFrame, group: list[str], value: str = "valor") -> DataFrame:
+#: A group of more different values than this is spread over tasks for its median.
+HOT_GROUP = 100_000
+
+
+def group_median(values: DataFrame, group: list[str], value: str = "valor", hot: int = HOT_GROUP) -> DataFrame:
     """The exact median ``m`` and the count ``n`` of each group's values that are not null; a group without any has no row.
 
-    Equal values are counted where they are read. The counts are dealt out by ranges of group and value; a value's place follows from
-    the counts before it in its range and in earlier ranges of its group, so that a group of any size is spread over tasks. The
-    median is the mean of the values in the two middle places.
+    Equal values are counted first, and the counts of a group are ordered in one task. A group of more than ``hot`` different values is
+    spread over tasks by ranges (``_spread_median``). The median is the mean of the values in the two middle places.
     """
-    spark = values.sparkSession
-    rows = values.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
-    counts = written(rows.groupBy(*group, "__v").agg(F.count("*").alias("__c")), "median-counts")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = values.select(*group, F.col(value).cast("double").alias("__v"))
+    # nulls leave what is written, as a filter before would take each value twice
+    counts = written(rows.groupBy(*group, "__v").agg(F.count("*").alias("__c")), "median-counts").filter(F.col("__v").isNotNull())
+    large = written(counts.groupBy(*group).agg(F.count("*").alias("__k")).filter(F.col("__k") > hot).drop("__k"), "median-hot")
+    if large.isEmpty():
+        return _plain_median(counts, group)
+    is_large = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group])
+    part = lambda how: counts.alias("a").join(large.alias("b"), is_large, how)
+    return _plain_median(part("left_anti"), group).unionByName(_spread_median(part("left_semi"), group))
+
+
+def _plain_median(counts: DataFrame, group: list[str]) -> DataFrame:
+    whole = Window.partitionBy(*group)
+    upto = F.sum("__c").over(whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumns({"__upto": upto, "n": F.sum("__c").over(whole)})
+    return _middle(placed.select(*group, "__v", "__upto", "n"), group)
+
+
+def _middle(placed: DataFrame, group: list[str]) -> DataFrame:
+    """The median from each value's last place ``__upto`` in its group of ``n``."""
+    middle = [F.min(F.when(F.col("__upto") >= k, F.col("__v"))) for k in (F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)]
+    return placed.groupBy(*group, "n").agg((0.5 * middle[0] + 0.5 * middle[1]).alias("m")).select(*group, "m", "n")
+
+
+def _spread_median(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Counts are dealt out by ranges of group and value; a value's place follows from the counts before it in its range and in earlier ranges of its group."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(counts.repartitionByRange(parts, *group, "__v").withColumn("__part", F.spark_partition_id()), "median-ranges")
     whole = Window.partitionBy(*group)
     before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,10 +88,8 @@ def group_median(values: DataFrame, group: list[str], value: str = "valor") -> D
     sums = sums.withColumns({"__base": F.coalesce(F.sum("__s").over(before), F.lit(0)), "n": F.sum("__s").over(whole)}).drop("__s")
     inside = Window.partitionBy(*group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keyed = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "__part"]])
-    placed = ranged.withColumn("__upto", F.sum("__c").over(inside)).alias("a").join(sums.alias("b"), keyed)
-    upto = F.col("__upto") + F.col("__base")
-    middle = [F.min(F.when(upto >= k, F.col("__v"))) for k in (F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)]
-    return placed.groupBy(*[F.col(f"a.{c}").alias(c) for c in group], "n").agg((0.5 * middle[0] + 0.5 * middle[1]).alias("m")).select(*group, "m", "n")
+    placed = ranged.withColumn("__inside", F.sum("__c").over(inside)).alias("a").join(sums.alias("b"), keyed)
+    return _middle(placed.select(*[F.col(f"a.{c}").alias(c) for c in group], "__v", (F.col("__inside") + F.col("__base")).alias("__upto"), "n"), group)
 
 
 def outlier_band(values: DataFrame, group: list[str], value: str = "valor", mult: float = 15, min_n: int = 5) -> DataFrame:
@@ -82,8 +106,12 @@ def in_band(value: Column) -> Column:
 def price_stats(match_itens: DataFrame, itens: DataFrame) -> DataFrame:
     """Market prices of each product from trusted items, by piece, without outliers. (The band holds the median, so no sample is emptied.)"""
     refs = match_itens.filter(trusted() & F.col("produto_id").isNotNull()).select("produto_id", "edital_id", "numero")
-    values = refs.join(itens.select("edital_id", "numero", unit_price(F.col("descricao"), F.col("valor_unitario")).alias("valor")), ["edital_id", "numero"]).filter("valor is not null")
-    values = written(values, "prices")
+    return stats_of_prices(refs.join(itens.select("edital_id", "numero", unit_price(F.col("descricao"), F.col("valor_unitario")).alias("valor")), ["edital_id", "numero"]))
+
+
+def stats_of_prices(prices: DataFrame) -> DataFrame:
+    """``price_stats`` of (``produto_id, valor``)."""
+    values = written(prices.select("produto_id", "valor"), "prices").filter("valor is not null")
     kept = values.join(outlier_band(values, ["produto_id"]), "produto_id").filter(in_band(F.col("valor")))
     totals = kept.groupBy("produto_id").agg(F.count("*").alias("ocorrencias"), F.min("valor").alias("__lo"), _sum(F.col("valor")).alias("__s"), F.max("valor").alias("__hi"))
     return totals.join(group_median(kept, ["produto_id"]).select("produto_id", "m"), "produto_id").select(
@@ -97,8 +125,23 @@ def price_evidence(match_itens: DataFrame, itens: DataFrame, editais: DataFrame)
     refs = written(match_itens.filter(trusted() & F.col("produto_id").isNotNull()).select("produto_id", "edital_id", "numero"), "price-refs")
     priced = written(itens.select("edital_id", "numero", "valor_unitario", unit_price(F.col("descricao"), F.col("valor_unitario")).alias("valor")), "priced")
     around = refs.select("produto_id", "edital_id").distinct().join(priced.filter("valor is not null").select("edital_id", "valor"), "edital_id")
-    rows = refs.join(priced, ["edital_id", "numero"]).join(outlier_band(around, ["produto_id"]), "produto_id")
-    rows = rows.join(editais.select(F.col("id").alias("edital_id"), "orgao", "uf"), "edital_id")
+    return _evidence(refs.join(priced, ["edital_id", "numero"]), around, editais)
+
+
+def evidence_of_items(itens: DataFrame, editais: DataFrame) -> DataFrame:
+    """``price_evidence`` where each item is trusted for one product at most, its own ``produto_id`` (else null), so that no item is joined with another.
+
+    An item takes along the products of its notice, for whose bands its price counts.
+    """
+    price = unit_price(F.col("descricao"), F.col("valor_unitario"))
+    items = itens.filter("edital_id is not null").select("edital_id", "numero", "valor_unitario", price.alias("valor"), "produto_id", F.collect_set("produto_id").over(Window.partitionBy("edital_id")).alias("__all"))
+    items = written(items.filter(F.size("__all") > 0), "priced")
+    around = items.filter("valor is not null").select(F.explode("__all").alias("produto_id"), "valor")
+    return _evidence(items.filter("produto_id is not null").drop("__all"), around, editais)
+
+
+def _evidence(rows: DataFrame, around: DataFrame, editais: DataFrame) -> DataFrame:
+    rows = rows.join(outlier_band(around, ["produto_id"]), "produto_id").join(editais.select(F.col("id").alias("edital_id"), "orgao", "uf"), "edital_id")
     reason = F.when(F.col("valor").isNull(), "sem_valor").when(~in_band(F.col("valor")), "fora_do_padrao")
     return rows.select(
         "produto_id", "edital_id", "numero", "orgao", "uf", rounded("valor", 4).alias("valor"),
