@@ -112,6 +112,19 @@ def matching_scope(editais: DataFrame, usuarios: DataFrame, matches: DataFrame,
     return open_pairs.unionByName(matches.filter(F.col("status").isin(TRACKED)).select(*MATCH_KEY)).distinct()
 
 
+def scope_by_notice(editais: DataFrame, usuarios: DataFrame, matches: DataFrame, as_of: dt.date) -> DataFrame:
+    """``matching_scope`` as ``edital_id, usuarios``, a row for each notice: tenants of open notices are one list, which no row is made from. With more tenants than are broadcast the pairs are gathered."""
+    ids = usuarios.select("id").distinct()
+    if ids.count() > BLOCK * MAX_BROADCAST_BLOCKS:
+        return matching_scope(editais, usuarios, matches, as_of).groupBy("edital_id").agg(F.collect_set("usuario_id").alias("usuarios"))
+    still = editais.filter(F.col("data_encerramento").isNull() | (F.col("data_encerramento") >= F.lit(as_of))).select(F.col("id").alias("edital_id")).distinct()
+    every = still.crossJoin(F.broadcast(ids.agg(F.array_sort(F.collect_set("id")).alias("__all"))))
+    followed = matches.filter(F.col("status").isin(TRACKED)).groupBy("edital_id").agg(F.collect_set("usuario_id").alias("__own"))
+    both = every.join(followed, "edital_id", "full_outer")
+    merged = F.when(F.col("__own").isNull(), F.col("__all")).when(F.col("__all").isNull(), F.col("__own")).otherwise(F.array_union("__all", "__own"))
+    return both.select("edital_id", merged.alias("usuarios")).filter(F.size("usuarios") > 0)
+
+
 def resume_from(df: DataFrame, at: dt.datetime | None, at_id: int | None, now: dt.datetime, max_age: dt.timedelta = dt.timedelta(hours=12), saved: dt.datetime | None = None) -> DataFrame:
     """Rows after a checkpoint in descending (``coletado_em, id``); a checkpoint that is too old counts for nothing."""
     if at is None or saved is None or now - saved > max_age:

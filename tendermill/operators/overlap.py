@@ -125,6 +125,16 @@ class OverlapIndex:
         scored = named.join(self.products, ["usuario_id", "produto_id"]).select("usuario_id", "texto_id", "produto_id", F.coalesce(overlap(F.col("conjunto"), F.col("palavras")), F.lit(0.0)).alias("score"))
         return found.unionByName(scored).distinct()
 
+    def score_named(self, probes: DataFrame, named: DataFrame, on: list[str], texts: DataFrame) -> DataFrame:
+        """``usuario_id, texto_id, produto_id``, ``on`` and ``score`` of the products that texts name: ``probes`` (``texto_id``) and ``named`` (``usuario_id, produto_id``) meet by ``on``.
+
+        Both bring their words, so a score is taken where they meet and no pair is shuffled. A product that is not in the index has none.
+        """
+        sets = texts.select("texto_id", F.array_sort(words(F.trim(F.coalesce("texto", F.lit(""))))).alias("conjunto"))
+        own = written(named.join(self.products, ["usuario_id", "produto_id"]).select("usuario_id", "produto_id", *on, "palavras"), "index-named")
+        met = probes.join(sets, "texto_id").join(own, on)
+        return met.select("usuario_id", "texto_id", "produto_id", *on, overlap(F.col("conjunto"), F.col("palavras")).alias("score"))
+
     def _best(self, met: DataFrame, sets: DataFrame, k: int) -> DataFrame:
         """The ``k`` best products of each set; entries are cut to ``k`` before their ids are told apart, as each has one at least."""
         pairs = met.join(self.entries.select("entrada", "palavras", "ids"), "entrada").join(sets.select("usuario_id", "conjunto_id", "conjunto"), ["usuario_id", "conjunto_id"])

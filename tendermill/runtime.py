@@ -45,10 +45,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """``df`` dealt out by ``keys`` once and written as a table in the shared folder; joins on the keys find it in place."""
+def bucketed(df: DataFrame, name: str, *keys: str, dealt: bool = False) -> DataFrame:
+    """``df`` dealt out by ``keys`` once and written as a table in the shared folder; joins on the keys find it in place. If it is ``dealt`` out by them already, it is written as it lies."""
     spark = df.sparkSession
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
+    (df if dealt else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
     return spark.table(table)

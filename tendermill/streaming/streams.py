@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import matching
-from ..operators.filters import matching_scope
+from ..operators.filters import scope_by_notice
 from ..operators.overlap import OverlapIndex
 from ..operators.tables import insert_if_absent, outbox, write_observed
 from ..runtime import ship, written
@@ -94,7 +94,7 @@ def match_arrivals(
 
     def match(batch: DataFrame) -> DataFrame:
         old = matches()
-        scope = matching_scope(batch, usuarios, old.limit(0), as_of)
+        scope = scope_by_notice(batch, usuarios, old.limit(0), as_of)
         return matching.full_matching(batch, itens, produtos, scope, excluded(batch), old, match_itens, confirmed, index(), codes, full=False)[1]
 
     return match_stream(notices, match, out, checkpoint, alerts)
