@@ -32,7 +32,8 @@ PACKAGE_PATTERN = (
     r"(?iu)(?:caixa|cx|pacote|pct|kit|fardo|embalagem)\s*(?:com|c/)?\s*(\d+)\s*(?:unidades?|und?|un\.?|pe[cç]as?|folhas?)?\b"
     r"|(?:com|c/)\s*(\d+)\s*(?:unidades?|und?|un\.?|pe[cç]as?|folhas?)\b|\(\s*(\d+)\s*(?:unidades?|und?|un\.?)\s*\)"
 )
-_SPACES = r"[\s\x1c-\x1f]+"
+#: ASCII signs that are in no word.
+_NO_WORD = "".join(c for c in map(chr, range(128)) if c not in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @lru_cache(maxsize=1)
@@ -65,8 +66,10 @@ def _ascii(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Accents and marks off, lower case, one space between words; '' for a null."""
-    low = F.regexp_replace(F.lower(_ascii(F.coalesce(text, F.lit("")))), r"[^a-z0-9\s\x1c-\x1f]", " ")
-    return F.trim(F.regexp_replace(low, _SPACES, " "))
+    # marks and white space are told sign by sign, as that is much cheaper than a pattern, which only texts with a run of spaces get
+    low = F.translate(F.lower(_ascii(F.coalesce(text, F.lit("")))), _NO_WORD, " " * len(_NO_WORD))
+    whole = F.trim(low)
+    return F.when(F.contains(whole, F.lit("  ")), F.regexp_replace(whole, " +", " ")).otherwise(whole)
 
 
 def normalize_light(text: Column) -> Column:
