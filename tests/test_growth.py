@@ -1,11 +1,14 @@
 """What made queries dear on larger tables: values taken again and again, rows that can't count, and tables joined with themselves."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tendermill import registry
 from tendermill.functions import shapes
+from tendermill.functions.numbers import cosine, rounded, rounded_column
 from tendermill.operators import matching
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +69,33 @@ def test_items_without_a_product_are_not_dealt_out_by_product(spark):
     """The last join is by item: a product's facts are known before."""
     plan = registry.queries()["mrg_02_notice_detail"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "numero" in next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+
+
+@pytest.mark.parametrize(("items", "products", "rows"), [(3, 2, 1), (2048, 1024, 4)])
+def test_cells_score_as_columns_do(spark, monkeypatch, items, products, rows):
+    """Vectors of all shapes over many cells, to the last bit; nulls, zeros, numbers that are none, repeated texts."""
+    draw = random.Random(items)
+    shape = lambda i: [[draw.gauss(0, 1) for _ in range(6)], [draw.gauss(0, 1) for _ in range(3)], [0.0] * 6, [1.0, None, 2.0], [], None, [float("nan"), 1.0, 2.0], [1e200] * 6][i % 8]
+    one, two = ([(f"{s}{i}" if i else None, shape(i)) for i in range(n)] + [(f"{s}1", shape(8))] for s, n in (("a", 25), ("b", 40)))
+    for name, value in (("CELL_ITEMS", items), ("CELL_PRODUCTS", products), ("CELL_ROWS", rows)):
+        monkeypatch.setattr(matching, name, value)
+    left, right = spark.createDataFrame(one, "texto_item string, vetor array<double>"), spark.createDataFrame(two, "texto_produto string, vetor array<double>")
+    pairs = left.withColumnRenamed("vetor", "__i").crossJoin(right.withColumnRenamed("vetor", "__p"))
+    want = pairs.select("texto_item", "texto_produto", cosine(F.col("__i"), F.col("__p")).alias("score")).collect()
+    got = matching.score_all(left, right)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 26 * 41
+
+
+def test_pairs_are_scored_as_columns_of_numbers(spark):
+    """No plan node takes one sum for each pair."""
+    plan = plan_of(registry.queries()["mat_03_score_pairs"](spark, SF))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("n", [0, 2, 5, 7])
+def test_quick_rounding_is_rounding(spark, n):
+    draw = random.Random(n)
+    some = [draw.uniform(-2, 2) for _ in range(3000)] + [round(draw.randint(-(10**6), 10**6) * 10.0**-n + 5 * 10.0 ** (-n - 1), 10) for _ in range(2000)]
+    some += [0.0, -0.0, 1e-9, -1e-9, 0.125, -0.125, 2.5, -2.5, 999.999999, 1000.0, 123456.7890125, float("nan"), float("inf"), None, 0.000005, 0.0000049999, 0.00000499999999, -0.00000499999999]
+    rows = spark.createDataFrame([(x,) for x in some], "x double").select("x", rounded("x", n).alias("a"), rounded_column("x", n).alias("b")).collect()
+    assert [r for r in rows if str(r["a"]) != str(r["b"])] == []
